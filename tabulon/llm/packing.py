@@ -32,33 +32,60 @@ def word_tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+def _fold(text: str) -> str:
+    """Lower-cased where that cannot differ from what the tokenizer does first: in Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class WordIds:
+    MARK = "\x01"
+
     def __init__(self, tokenizer):
-        self.tokenizer, self.table, self.flat = tokenizer, ChunkTable(self.describe), np.zeros(0, np.uint32)
+        self.tokenizer, self.table, self.flat = tokenizer, ChunkTable(self.describe, 800_000), np.zeros(0, np.uint32)
+        mark = self.ids(self.MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def describe(self, words: list[str]) -> list[np.ndarray]:
+        """Start and size of every word's ids in flat; many words are encoded in one text, a mark between them."""
         if not self.table.columns:
             self.flat = np.zeros(0, np.uint32)
-        # a lone line feed stands for the end of a text
-        ids = [[END] if w == "\n" else x.ids for w, x in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        starts = len(self.flat) + np.cumsum(sizes) - sizes
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
-        return [starts, sizes]
+        flat, sizes = [], []
+        for i in range(0, len(words), 5000):
+            own = words[i : i + 5000]
+            ids = self.ids(f" {self.MARK} ".join(own))
+            at = np.flatnonzero(ids == self.mark) if self.mark is not None else ()
+            if len(at) == len(own) - 1:
+                sizes.append(np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1)
+                flat.append(np.delete(ids, at))
+            else:  # a word has the mark itself
+                each = [self.ids(w) for w in own]
+                sizes.append(np.array([len(x) for x in each]))
+                flat.append(np.concatenate(each))
+        n = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+        starts = len(self.flat) + np.cumsum(n) - n
+        self.flat = np.concatenate([self.flat, *flat])
+        return [starts, n]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts back to back, each with END behind it; the offset of each text."""
         words: list[str] = []
         ends = [0]
         for text in texts:
-            words += [w for w in text.replace("\n", " ").split(" ") if w]
-            words.append("\n")
+            words += _fold(text).replace("\n", " ").split(" ")
             ends.append(len(words))
         rows = self.table.rows(words)
         starts, sizes = (c[rows] for c in self.table.columns)
         before = np.concatenate([[0], np.cumsum(sizes)])
         at = np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])
-        return self.flat[at], before[np.array(ends)]
+        ends = before[np.array(ends)]
+        return np.insert(self.flat[at], ends[1:], np.uint32(END)), ends + np.arange(len(ends))
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
