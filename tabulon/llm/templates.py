@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, bitmap, hash_text, in_bitmap, read_table, small_batches, window_hashes
+from .common import ChunkTable, bitmap, hash_text, in_bitmap, materialize, read_table, small_batches, window_hashes
 
 UNITS = frozenset(
     "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres gallon gallons "
@@ -54,7 +54,7 @@ class Templates:
             self.place[k] = hash_text(text)
 
     def __call__(self, texts: list[str]):
-        """raw codes, template codes, slots (which words a placeholder replaces), the words, the text of each word."""
+        """raw codes, template codes, slots (which words a placeholder replaces), the place of each word in words, words, its text."""
         words: list[str] = []
         sizes = []
         for text in texts:
@@ -74,7 +74,7 @@ class Templates:
         kind = np.where(name, NAME, kind)[told]
         slot = kind >= NUMBER
         codes = np.where(slot, self.place[kind], raw[told])
-        return raw[told], codes, slot, [words[i] for i in told], doc[told]
+        return raw[told], codes, slot, told, words, doc[told]
 
 
 def windows(raw, codes, slot, doc, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ def window_rows(df: DataFrame, key: str, width: int, widths: list[int] | None, s
         templates = Templates()
         flags = np.unpackbits(np.frombuffer(seen.value, np.uint8)) if seen is not None else None
         for batch in small_batches(batches, "text"):
-            raw, codes, slot, words, doc = templates([t or "" for t in batch.column("text").to_pylist()])
+            raw, codes, slot, told, words, doc = templates([t or "" for t in batch.column("text").to_pylist()])
             size = np.bincount(doc, minlength=batch.num_rows)
             begin = np.cumsum(size) - size
             out: list[list] = [[] for _ in range(7)]
@@ -114,7 +114,7 @@ def window_rows(df: DataFrame, key: str, width: int, widths: list[int] | None, s
                 for i, x in zip(at[keep].tolist(), h[keep].tolist(), strict=True):
                     d = int(doc[i])
                     slots = np.flatnonzero(slot[i : i + w]).tolist()
-                    for column, v in zip(out, (d, i - int(begin[d]), w, x - (1 << 64) if x >> 63 else x, slots, [words[i + s].lower().strip(".,;:!?\"'()") for s in slots], int(size[d])), strict=True):
+                    for column, v in zip(out, (d, i - int(begin[d]), w, x - (1 << 64) if x >> 63 else x, slots, [words[told[i + s]].lower().strip(".,;:!?\"'()") for s in slots], int(size[d])), strict=True):
                         column.append(v)
             if out[0]:
                 types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32()]
@@ -140,7 +140,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words:
     seen = spark.sparkContext.broadcast(bitmap(items.select("h"), "h", bits))
     found = window_rows(docs, "doc_id", width, widths or [width], seen, bits).where(F.col("doc_id").isNotNull())
     pairs = found.join(items, ["h", "width"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
-    pairs = pairs.where(F.size("slot_text") == F.size("item_slots"))
+    pairs = materialize(pairs.where(F.size("slot_text") == F.size("item_slots")), "pairs")  # used twice, made by one scan of the texts
     line = ["doc_id", "item_id", "shift"]
     slots = pairs.where(F.size("slot_text") > 0).select(*line, F.explode(F.arrays_zip("item_slots", "slot_text")).alias("s"))
     values = slots.groupBy(*line, F.col("s.item_slots").alias("value")).agg(F.min("s.slot_text").alias("low"), F.max("s.slot_text").alias("high"))
