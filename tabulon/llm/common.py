@@ -39,12 +39,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tabulon/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it back."""
+    """Cuts the lineage: writes df as a table in the shared folder and reads it back. The write's own shuffle files, which
+    nothing needs any more, go when it ends."""
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and nothing reads any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +105,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class ChunkTable:
     """Rows of numbers that describe words, worked out once per word: texts repeat their words. Emptied beyond limit."""
 
-    def __init__(self, describe: Callable[[list[str]], list[np.ndarray]], limit: int = 300_000):
+    def __init__(self, describe: Callable[[list], list[np.ndarray]], limit: int = 300_000):
         self.describe, self.limit, self.at, self.columns = describe, limit, {}, []
 
-    def rows(self, words: list[str]) -> np.ndarray:
+    def rows(self, words: list) -> np.ndarray:
         """The row of every word; columns[k][rows] are its numbers."""
         if len(self.at) > self.limit:
             self.at, self.columns = {}, []

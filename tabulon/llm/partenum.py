@@ -12,16 +12,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import BLANKS, UPPER, ChunkTable, bitmap, components, hash_text, in_bitmap, materialize, mix64, read_table, small_batches, window_hashes
+from .common import ChunkTable, bitmap, components, in_bitmap, materialize, mix64, read_table, small_batches, text_bytes, window_hashes
 
 SMALL = 64
 #: The low bits of a signature name its scheme: 0 for single features, else the band.
 SCHEME_BITS = 6
-_FOLD = str.maketrans(UPPER + BLANKS[1:], UPPER.lower() + " " * 5)
 
 
 @lru_cache(maxsize=None)
@@ -95,13 +95,15 @@ class Shingles:
     """Sorted distinct shingle hashes of texts: A-Z lower-cased, words between blanks, width words each; fewer words are one."""
 
     def __init__(self, width: int):
-        self.width, self.table = width, ChunkTable(lambda words: [np.array([hash_text(w) for w in words], np.uint64)])
+        self.width, self.table = width, ChunkTable(lambda words: [np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)])
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words: list[str] = []
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        data, at = text_bytes(column)
+        whole = data.tobytes().lower()  # of bytes: A-Z only
+        words: list[bytes] = []
         ends = [0]
-        for text in texts:
-            words += [w for w in text.translate(_FOLD).split(" ") if w]
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            words += whole[a:b].split()  # of bytes: at the six ASCII blanks
             ends.append(len(words))
         codes = self.table.columns[0][rows] if len(rows := self.table.rows(words)) else np.zeros(0, np.uint64)
         out = []
@@ -116,10 +118,6 @@ def set_code(features: np.ndarray) -> int:
     return int(mix64(np.array([np.add.reduce(features, dtype=np.uint64), np.bitwise_xor.reduce(features)], np.uint64)).astype(object).dot([1, 3]) & 0x7FFFFFFFFFFFFFFF)
 
 
-def _texts(batch: pa.RecordBatch) -> list[str]:
-    return [t or "" for t in batch.column("text").to_pylist()]
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
@@ -130,7 +128,7 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in small_batches(batches, "text"):
-            sets = shingles(_texts(batch))
+            sets = shingles(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_code(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "v"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, v long")
@@ -143,7 +141,7 @@ def signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
         shingles, met = Shingles(width), set()
         for batch in small_batches(batches, "text"):
             sigs, codes = [], []
-            for s in shingles(_texts(batch)):
+            for s in shingles(batch.column("text")):
                 if len(s) >= 4 and (v := set_code(s)) not in met:
                     if len(met) < 1_000_000:
                         met.add(v)
@@ -190,12 +188,10 @@ def fetch_sets(docs: DataFrame, vertices: DataFrame, width: int, bits: int) -> D
     seen = docs.sparkSession.sparkContext.broadcast(bitmap(vertices.select(F.xxhash64("v").alias("v")), "v", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         flags, shingles, met = np.unpackbits(np.frombuffer(seen.value, np.uint8)), Shingles(width), set()
         for batch in small_batches(batches, "text"):
             codes, sets = [], []
-            for s in shingles(_texts(batch)):
+            for s in shingles(batch.column("text")):
                 if len(s) < 4 or (v := set_code(s)) in met:
                     continue
                 if in_bitmap(flags, np.array([xxhash.xxh64_intdigest(v.to_bytes(8, "little"), 42)], np.uint64))[0]:
@@ -211,6 +207,13 @@ def fetch_sets(docs: DataFrame, vertices: DataFrame, width: int, bits: int) -> D
     return found.groupBy("v").agg(F.first("features").alias("features"))
 
 
+def shareable(sets: DataFrame) -> DataFrame:
+    """(v, most): how many features of v some other of the sets has, which bounds what it can have in common with any."""
+    features = sets.select("v", F.explode("features").alias("f"))
+    alone = features.groupBy("f").agg(F.count("*").alias("n"), F.min("v").alias("v")).where("n = 1").groupBy("v").agg(F.count("*").alias("alone"))
+    return sets.select("v", F.size("features").alias("_n")).join(alone, "v", "left").select("v", (F.col("_n") - F.coalesce("alone", F.lit(0))).alias("most"))
+
+
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs(a, b) with common and total (sizes of intersection and union) and linked."""
     out = pairs.join(sets.select(F.col("v").alias("a"), F.col("features").alias("fa")), "a").join(sets.select(F.col("v").alias("b"), F.col("features").alias("fb")), "b")
@@ -233,35 +236,51 @@ def candidates(docs: DataFrame, sizes: DataFrame, width: int, percent: int) -> D
     small = F.ceil((m + low) * percent / (100 + percent)) - 1
     t = F.when(F.col("scheme") == 0, small).otherwise(F.floor(F.pow(F.lit(2.0), F.col("scheme")) * 0.15))
     place = F.row_number().over(W.partitionBy("v", "scheme").orderBy(F.desc("n"), F.desc("sig")))
-    return rows.withColumn("place", place).where(F.col("place") > t).select("sig", "v", "size")
+    weight = F.sum("n").over(W.partitionBy("v"))  # how much of the set others have: large in the middle of a group
+    return rows.withColumns({"place": place, "weight": weight}).where(F.col("place") > t).select("sig", "v", "size", "weight")
 
 
 def linked_sets(docs: DataFrame, sizes: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
     """Links (a, b) whose components are those of all links.
 
-    Within every signature all members are first compared with one leader, which settles most groups in linear work. Members
-    that are left in another component than the rest are then compared with those that the triangle inequality of the
-    Jaccard distance does not rule out."""
+    Sets of which too many features are nobody else's are left out. Within every signature all members are first compared with one leader, which settles most groups in linear work. Members
+    that are left in another component than their leader are then compared with those members of the same leader that neither
+    their own features nor the triangle inequality of the Jaccard distance rule out."""
     cand = materialize(candidates(docs, sizes, width, percent), "cand")
-    heads = cand.groupBy("sig").agg(F.min(F.struct("v", "size")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    cand = materialize(cand.join(heads.select("sig", F.col("head.v").alias("head"), F.col("head.size").alias("head_size")), "sig"), "cand")
     sets = materialize(fetch_sets(docs, cand.select("v").distinct(), width, bits), "sets")
-    near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    first = materialize(compare(cand.where("v <> head").where(near(F.col("size"), F.col("head_size"))).select(F.col("head").alias("a"), F.col("v").alias("b")).distinct(), sets, percent), "first")
+    cand = cand.join(shareable(sets), "v").where(100 * F.col("most") >= percent * F.col("size"))
+    heads = cand.groupBy("sig").agg(F.max(F.struct("weight", "v", "size", "most")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    cand = cand.join(heads.select("sig", F.col("head.v").alias("head"), F.col("head.size").alias("head_size"), F.col("head.most").alias("head_most")), "sig")
+    cand = materialize(cand, "cand")
+
+    def near(x, y, p, q):  # by size x, y and features that others have p, q
+        common = F.least(p, q)
+        return 100 * common >= percent * (x + y - common)
+
+    first = materialize(compare(cand.where("v <> head").where(near(F.col("size"), F.col("head_size"), F.col("most"), F.col("head_most"))).select(F.col("head").alias("a"), F.col("v").alias("b")).distinct(), sets, percent), "first")
     links = first.where("linked").select("a", "b")
     groups = components(links)
-    far = cand.join(first.select(F.col("a").alias("head"), F.col("b").alias("v"), (1 - F.col("common") / F.col("total")).alias("apart")), ["head", "v"], "left")
+    far = cand.join(first.select(F.col("a").alias("head"), F.col("b").alias("v"), "common", (1 - F.col("common") / F.col("total")).alias("apart")), ["head", "v"], "left")
     # without a comparison the sizes alone bound the distance
     far = far.withColumn("apart", F.when(F.col("v") == F.col("head"), F.lit(0.0)).otherwise(F.col("apart")))
-    far = far.withColumn("least", F.coalesce("apart", 1 - F.least("size", "head_size") / F.greatest("size", "head_size"))).withColumn("most", F.coalesce("apart", F.lit(1.0)))
+    far = far.withColumns({"low": F.coalesce("apart", 1 - F.least("size", "head_size") / F.greatest("size", "head_size")), "high": F.coalesce("apart", F.lit(1.0))})
     far = far.join(groups.select(F.col("id").alias("v"), "component"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     far = far.join(groups.select(F.col("id").alias("head"), F.col("component").alias("main")), "head", "left").withColumn("main", F.coalesce("main", "head"))
-    far = materialize(far.select("sig", "v", "size", "least", "most", "component", "main"), "far")
+    far = materialize(far.select("head", "v", "size", "most", F.when(F.col("v") == F.col("head"), F.col("most")).otherwise(F.col("common")).cast("int").alias("common"), "low", "high", "component", "main").distinct(), "far")
+    heads = far.groupBy("v").agg(F.sort_array(F.collect_set("head")).alias("heads"))  # no more than a set's signatures
+    far = far.join(heads, "v")
     out = far.where("component <> main")
     gap = 1 - percent / 100 + 1e-9
     x, y = out.alias("x"), far.alias("y")
-    apart = (F.col("x.component") != F.col("y.component")) & near(F.col("x.size"), F.col("y.size")) & (F.col("x.least") - F.col("y.most") <= gap) & (F.col("y.least") - F.col("x.most") <= gap)
-    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & apart).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.v") < F.col("y.v"))
+    # a pair that has several leaders is compared under the first
+    once = once & (F.col("x.head") == F.array_min(F.array_intersect("x.heads", "y.heads")))
+    # what both can have in common: inside the leader, and outside it where others have it too
+    inside = F.least("x.common", "y.common") + F.greatest(F.lit(0), F.least(F.col("x.most") - F.col("x.common"), F.col("y.most") - F.col("y.common")))
+    common = F.coalesce(inside, F.least("x.most", "y.most"))
+    once = once & (100 * common >= percent * (F.col("x.size") + F.col("y.size") - common))
+    apart = once & (F.col("x.component") != F.col("y.component")) & near(F.col("x.size"), F.col("y.size"), F.col("x.most"), F.col("y.most")) & (F.col("x.low") - F.col("y.high") <= gap) & (F.col("y.low") - F.col("x.high") <= gap)
+    rest = x.join(y, (F.col("x.head") == F.col("y.head")) & apart).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
     rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     return links.union(materialize(compare(rest, sets, percent), "rest").where("linked").select("a", "b"))
 
