@@ -93,10 +93,10 @@ def dedup_lines(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout:
 
 def _apply(out: DataFrame) -> DataFrame:
     out = out.withColumn("_lines", line_array(F.col("text"))).withColumn("n_lines", F.size("_lines").cast("long"))
-    kept = F.filter("_lines", lambda line, i: ~F.array_contains("_at", i))
-    text = F.when(F.col("_at").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    dropped = F.when(F.col("_at").isNull(), F.lit(0)).otherwise(F.size(F.array_intersect("_at", F.sequence(F.lit(0), F.size("_lines") - 1))))
-    return out.withColumns({"text": text, "n_dropped": dropped.cast("long")}).drop("_at", "_id", "_lines")
+    out = out.withColumn("_kept", F.when(F.col("_at").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda line, i: ~F.array_contains("_at", i))))
+    text = F.when(F.col("_at").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("_kept", "\n"))
+    dropped = F.col("n_lines") - F.size("_kept")
+    return out.withColumns({"text": text, "n_dropped": dropped}).drop("_at", "_id", "_lines", "_kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
