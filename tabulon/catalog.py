@@ -1,6 +1,8 @@
-"""Every registered query and, where SQL can express it, its SQL."""
+"""Every registered query of the library and, where SQL can express it, its SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import learning, relational, text  # noqa: F401
+from .plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -99,7 +99,7 @@ def tokenize(c: Column) -> Column:
 def ngrams(tokens: Column, n: int, ordered: bool = True) -> Column:
     """Runs of n tokens, none if there are fewer; ordered=False: each run sorted, so that order does not count."""
     run = F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.slice(tokens, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>"))
-    return run if ordered else F.transform(run, F.array_sort)
+    return run if ordered else F.transform(run, lambda r: F.array_sort(r))
 
 
 def common_tokens(a: Column, b: Column) -> Column:
