@@ -95,7 +95,7 @@ class Shingles:
     """Sorted distinct shingle hashes of texts: A-Z lower-cased, words between blanks, width words each; fewer words are one."""
 
     def __init__(self, width: int):
-        self.width, self.table = width, ChunkTable(lambda words: [np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)])
+        self.width, self.table = width, ChunkTable(lambda words: [np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)], 800_000)
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
         data, at = text_bytes(column)
@@ -106,16 +106,17 @@ class Shingles:
             words += whole[a:b].split()  # of bytes: at the six ASCII blanks
             ends.append(len(words))
         codes = self.table.columns[0][rows] if len(rows := self.table.rows(words)) else np.zeros(0, np.uint64)
-        out = []
+        hashes, out = window_hashes(codes, self.width), []
         for a, b in zip(ends, ends[1:], strict=False):
             n = b - a
-            out.append(np.unique(window_hashes(codes[a:b], self.width) if n >= self.width else window_hashes(codes[a:b], n) + np.uint64(n) if n else codes[:0]))
+            out.append(np.unique(hashes[a : b - self.width + 1] if n >= self.width else window_hashes(codes[a:b], n) + np.uint64(n) if n else codes[:0]))
         return out
 
 
 def set_code(features: np.ndarray) -> int:
     """A 64-bit hash of a whole set: equal sets are one vertex."""
-    return int(mix64(np.array([np.add.reduce(features, dtype=np.uint64), np.bitwise_xor.reduce(features)], np.uint64)).astype(object).dot([1, 3]) & 0x7FFFFFFFFFFFFFFF)
+    a, b = int(np.add.reduce(features, dtype=np.uint64)), int(np.bitwise_xor.reduce(features))
+    return xxhash.xxh64_intdigest(a.to_bytes(8, "little") + b.to_bytes(8, "little")) >> 1
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -184,26 +185,24 @@ def shared_rows(rows: DataFrame) -> DataFrame:
 
 
 def fetch_sets(docs: DataFrame, vertices: DataFrame, width: int, bits: int) -> DataFrame:
-    """(v, features) of the vertices, worked out again from the texts; a fixed-size bitmap keeps other texts from travelling."""
-    seen = docs.sparkSession.sparkContext.broadcast(bitmap(vertices.select(F.xxhash64("v").alias("v")), "v", bits))
+    """(v, features) of vertices(v, doc_id), worked out again from the text of doc_id; a fixed-size bitmap of these ids passes
+    over the other texts. It may let some more through, which harms nothing. Texts without id are always read."""
+    seen = docs.sparkSession.sparkContext.broadcast(bitmap(vertices.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h")), "h", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, shingles, met = np.unpackbits(np.frombuffer(seen.value, np.uint8)), Shingles(width), set()
+        flags, shingles = np.unpackbits(np.frombuffer(seen.value, np.uint8)), Shingles(width)
         for batch in small_batches(batches, "text"):
-            codes, sets = [], []
-            for s in shingles(batch.column("text")):
-                if len(s) < 4 or (v := set_code(s)) in met:
-                    continue
-                if in_bitmap(flags, np.array([xxhash.xxh64_intdigest(v.to_bytes(8, "little"), 42)], np.uint64))[0]:
-                    if len(met) < 1_000_000:
-                        met.add(v)
-                    codes.append(v)
-                    sets.append(s.view(np.int64))
-            if codes:
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), lists], names=["v", "features"])
+            ids = batch.column("doc_id").to_pylist()
+            keys = np.array([0 if d is None else xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42) for d in ids], np.uint64)
+            batch = batch.filter(pa.array(in_bitmap(flags, keys) | np.array([d is None for d in ids])))
+            if not batch.num_rows:
+                continue
+            sets = [s for s in shingles(batch.column("text")) if len(s) >= 4]
+            if sets:
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([set_code(s) for s in sets], pa.int64()), lists], names=["v", "features"])
 
-    found = docs.select("text").mapInArrow(run, "v long, features array<long>")
+    found = docs.select("doc_id", "text").mapInArrow(run, "v long, features array<long>")
     return found.groupBy("v").agg(F.first("features").alias("features"))
 
 
@@ -229,7 +228,7 @@ def candidates(docs: DataFrame, sizes: DataFrame, width: int, percent: int) -> D
     shared = materialize(shared_rows(signature_rows(docs, width, percent)), "shared")
     counts = shared.groupBy("sig").agg(F.count("*").alias("n"))
     rows = shared.join(counts, "sig").withColumn("scheme", F.col("sig").bitwiseAND((1 << SCHEME_BITS) - 1).cast("int"))
-    rows = rows.join(sizes, "v")
+    rows = rows.join(sizes.select("v", "size"), "v")
     # the slack t of kept(), as an expression
     m = F.col("size")
     low = F.ceil(m * percent / 100)
@@ -247,7 +246,7 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, width: int, percent: int, bit
     that are left in another component than their leader are then compared with those members of the same leader that neither
     their own features nor the triangle inequality of the Jaccard distance rule out."""
     cand = materialize(candidates(docs, sizes, width, percent), "cand")
-    sets = materialize(fetch_sets(docs, cand.select("v").distinct(), width, bits), "sets")
+    sets = materialize(fetch_sets(docs, cand.select("v").distinct().join(sizes, "v").select("v", "doc_id"), width, bits), "sets")
     cand = cand.join(shareable(sets), "v").where(100 * F.col("most") >= percent * F.col("size"))
     heads = cand.groupBy("sig").agg(F.max(F.struct("weight", "v", "size", "most")).alias("head"), F.count("*").alias("n")).where("n > 1")
     cand = cand.join(heads.select("sig", F.col("head.v").alias("head"), F.col("head.size").alias("head_size"), F.col("head.most").alias("head_most")), "sig")
@@ -293,7 +292,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bits: in
     all but the row count; rows with a null id keep the smallest id of their group, or null."""
     docs = docs.select("doc_id", "text")
     rows = materialize(set_rows(docs, width), "rows")
-    sizes = rows.where("v is not null").groupBy("v").agg(F.first("n_shingles").cast("int").alias("size"))
+    sizes = rows.where("v is not null").groupBy("v").agg(F.first("n_shingles").cast("int").alias("size"), F.min("doc_id").alias("doc_id"))
     groups = components(linked_sets(docs, sizes, width, percent, bits)).withColumnRenamed("id", "v")
     rows = rows.join(groups, "v", "left").withColumn("component", F.coalesce("component", "v"))
     least = rows.where("v is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
