@@ -23,10 +23,10 @@ def clean_sql(c: str) -> str:
 
 def _site_tokens(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("source", F.explode(tx.clean_tokens(F.upper("text"))).alias("token"))
+    return docs.select("source", F.explode(tx.clean_tokens(F.col("text"))).alias("token"))
 
 
-_SITE = f"WITH t AS (SELECT source, unnest({clean_sql('upper(text)')}) AS token FROM documents), c AS (SELECT source, token, count(*) AS n FROM t GROUP BY ALL)"
+_SITE = f"WITH t AS (SELECT source, unnest({clean_sql('text')}) AS token FROM documents), c AS (SELECT source, token, count(*) AS n FROM t GROUP BY ALL)"
 
 
 @query("site_word_topn", _SITE + ", s AS (SELECT *, round(n / sum(n) OVER (PARTITION BY source), 9) AS share, row_number() OVER (PARTITION BY source ORDER BY n DESC, token) AS rank FROM c) SELECT source, token, n, share, rank FROM s WHERE rank <= 10")
@@ -42,7 +42,10 @@ def frequent_tokens(spark, d):
     return counts.where("share > 0.01 and token not in ('%', '#')").select("source", "token", "n")
 
 
-@query("clean_names", f"SELECT p_partkey, upper(trim(p_name)) AS std, array_to_string({clean_sql('upper(p_name || ' / ' || p_brand || '-' || p_type)')}, ' ') AS cleaned FROM part")
+_BOTH = clean_sql("upper(p_name || ' / ' || p_brand || '-' || p_type)")
+
+
+@query("clean_names", f"SELECT p_partkey, upper(trim(p_name)) AS std, array_to_string({_BOTH}, ' ') AS cleaned FROM part")
 def clean_names(spark, d):
     both = F.upper(F.concat("p_name", F.lit(" / "), "p_brand", F.lit("-"), "p_type"))
     return table(spark, d, "part").select("p_partkey", tx.standardize(F.col("p_name")).alias("std"), tx.clean_term(both).alias("cleaned"))
