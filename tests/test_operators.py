@@ -38,8 +38,10 @@ def test_fmax(spark):
 
 
 def test_weighted_median(spark):
-    rows = spark.createDataFrame([(1, 7.0, 1.0), (1, 1.0, 0.5), (1, 2.0, 0.25), (1, 10.0, 0.25)], "g int, v double, w double")
-    assert profile.weighted_median(rows, ["g"], "v", "w").first()["weighted_median"] == 4.5
+    heavy = [(1, 7.0, 1.0), (1, 1.0, 0.5), (1, 2.0, 0.25), (1, 10.0, 0.25)]
+    even = [(2, v, 1.0) for v in (1.0, 2.0, 3.0, 4.0)]
+    rows = spark.createDataFrame(heavy + even, "g int, v double, w double")
+    assert {r.g: r.weighted_median for r in profile.weighted_median(rows, ["g"], "v", "w").collect()} == {1: 7.0, 2: 2.5}
 
 
 def test_sql_text():
