@@ -80,7 +80,7 @@ def majority_vote(spark, d):
     return metrics.majority(votes, "doc_id", "v")
 
 
-@query("cluster_purity", "WITH c AS (SELECT vec_id % 7 AS g, label, count(*) AS n FROM embeddings GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY g) AS t, row_number() OVER (PARTITION BY g ORDER BY n DESC, label) AS r FROM c) SELECT g, label AS majority, t AS n, round(n / t, 6) AS purity FROM r WHERE r = 1")
+@query("cluster_purity", "WITH c AS (SELECT vec_id % 7 AS g, label, count(*) AS n FROM embeddings GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY g) AS t, row_number() OVER (PARTITION BY g ORDER BY n DESC, label) AS r FROM c) SELECT g, label AS majority, CAST(t AS BIGINT) AS n, round(n / t, 6) AS purity FROM r WHERE r = 1")
 def cluster_purity(spark, d):
     return cluster.purity(table(spark, d, "embeddings").withColumn("g", F.col("vec_id") % 7), "g", "label").withColumn("purity", F.round("purity", 6))
 
