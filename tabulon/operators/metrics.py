@@ -1,4 +1,4 @@
-"""Scores of binary predictions as aggregates. Thresholds are grouped first, so that windows run over distinct scores."""
+"""Scores of binary predictions as aggregates. Scores are grouped first; sums over thresholds run in parts."""
 
 from __future__ import annotations
 
@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .running import running_sums
+
 
 def curve(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """(keys, score, tp, fp, positives, total) at every distinct score taken as threshold."""
     counts = df.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count("*").alias("_n"))
-    by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    down = by.orderBy(F.desc(score))
-    return counts.select(*keys, score, F.sum("_p").over(down).alias("tp"), F.sum(F.col("_n") - F.col("_p")).over(down).alias("fp"), F.sum("_p").over(by).alias("positives"), F.sum("_n").over(by).alias("total"))
+    rows = running_sums(counts, keys, score, ["_p", "_n"], down=True)
+    return rows.select(*keys, score, F.col("run__p").alias("tp"), (F.col("run__n") - F.col("run__p")).alias("fp"), F.col("all__p").alias("positives"), F.col("all__n").alias("total"))
 
 
 def fmax(df: DataFrame, keys: list[str], label: str, score: str, beta: float = 1.0) -> DataFrame:
@@ -26,8 +27,8 @@ def fmax(df: DataFrame, keys: list[str], label: str, score: str, beta: float = 1
 def roc_auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """Area by the rank sum, ties by their mean rank."""
     c = df.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count("*").alias("_n"))
-    up = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy(score)
-    rank = F.sum("_n").over(up) - (F.col("_n") - 1) / 2
+    c = running_sums(c, keys, score, ["_n"])
+    rank = F.col("run__n") - (F.col("_n") - 1) / 2
     sums = c.withColumn("_r", rank * F.col("_p")).groupBy(*keys).agg(F.sum("_r").alias("_r"), F.sum("_p").alias("p"), F.sum("_n").alias("n"))
     return sums.select(*keys, ((F.col("_r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0))).alias("auc"))
 
@@ -72,3 +73,44 @@ def best_within_error(df: DataFrame, name: str, score: str, deviation: str, n: i
     best = df.agg(F.max(F.struct(score, deviation)).alias("b"))  # one row
     near = df.crossJoin(F.broadcast(best)).where(F.col(score) >= F.col("b")[score] - F.col("b")[deviation] / (n - 1) ** 0.5)
     return near.orderBy(name).limit(1).drop("b")
+
+
+def ratio_threshold(df: DataFrame, keys: list[str], label: str, score: str, ratio: float) -> DataFrame:
+    """The score at rank ceil(ratio x n)."""
+    c = curve(df, keys, label, score)
+    return c.where(F.col("tp") + F.col("fp") >= F.ceil(F.lit(ratio) * F.col("total"))).groupBy(*keys).agg(F.max(score).alias("threshold"))
+
+
+def threshold_at_fpr(df: DataFrame, keys: list[str], label: str, score: str, rate: float) -> DataFrame:
+    """The highest score at which the share of false positives reaches rate."""
+    c = curve(df, keys, label, score)
+    return c.where(F.col("fp") >= F.lit(rate) * (F.col("total") - F.col("positives"))).groupBy(*keys).agg(F.max(score).alias("threshold"))
+
+
+def youden(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
+    """The threshold of the largest tpr - fpr, the highest of equals."""
+    c = curve(df, keys, label, score)
+    j = F.col("tp") / F.nullif("positives", F.lit(0)) - F.col("fp") / F.nullif(F.col("total") - F.col("positives"), F.lit(0))
+    return c.groupBy(*keys).agg(F.max(F.struct(F.round(j, 9).alias("j"), F.col(score).alias("threshold"))).alias("b")).select(*keys, F.col("b.j").alias("j"), F.col("b.threshold").alias("threshold"))
+
+
+def votes(df: DataFrame, item: str, method: str, score: str, thresholds: DataFrame) -> DataFrame:
+    """(item, method, vote): 1 where the score reaches the method's threshold in thresholds(method, threshold)."""
+    return df.join(thresholds, method).select(item, method, (F.col(score) >= F.col("threshold")).cast("int").alias("vote"))
+
+
+def multiclass_auc(df: DataFrame, classes: list[str], label: str) -> DataFrame:
+    """Mean over classes of the area of each class against the rest; df has one score column per class, named like it."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("class"), (F.col(label) == c).cast("int").alias("y"), F.col(c).cast("double").alias("s")) for c in classes])).alias("r")).select("r.*")
+    return roc_auc(long, ["class"], "y", "s").agg(F.avg("auc").alias("auc"))
+
+
+def against_best(df: DataFrame, metric: str, method: str, value: str) -> DataFrame:
+    """(metric, method, mean, best, delta): every method's mean over folds beside the best of its metric."""
+    mean = df.groupBy(metric, method).agg(F.avg(value).alias("mean"))
+    by = W.partitionBy(metric)  # one row per method
+    return mean.withColumn("_b", F.max(F.struct("mean", method)).over(by)).select(metric, method, "mean", F.col("_b")[method].alias("best"), (F.col("mean") - F.col("_b.mean")).alias("delta"))
+
+
+def method_summary(df: DataFrame, metric: str, value: str) -> DataFrame:
+    return df.groupBy(metric).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.count(value).alias("n"))

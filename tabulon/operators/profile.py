@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .running import join_null_safe, running_sums, values_at
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
@@ -33,26 +35,24 @@ def drop_sparse_columns(df: DataFrame, most_null: float = 0.9) -> DataFrame:
 
 
 def five_number(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    q = F.percentile(column, [0.0, 0.25, 0.5, 0.75, 1.0])
-    return df.groupBy(*keys).agg(q.alias("q")).select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(["low", "q1", "median", "q3", "high"])])
+    """Exact quartiles from counts of distinct values, whatever the size of a group."""
+    return values_at(df, keys, column, {"low": (0.0, True), "q1": (0.25, True), "median": (0.5, True), "q3": (0.75, True), "high": (1.0, True)})
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """The value at which half of the weight is reached; the mean of two where a sum is exactly half."""
-    by = W.partitionBy(*keys)
-    sums = df.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    rows = sums.withColumns({"_sum": F.sum("_w").over(by.orderBy(value)), "_all": F.sum("_w").over(by), "_next": F.lead(value).over(by.orderBy(value))})
-    hit = rows.where((F.col("_sum") * 2 >= F.col("_all")) & ((F.col("_sum") - F.col("_w")) * 2 < F.col("_all")))
-    return hit.select(*keys, F.when(F.col("_sum") * 2 == F.col("_all"), (F.col(value) + F.col("_next")) / 2).otherwise(F.col(value).cast("double")).alias("weighted_median"))
+    rows = running_sums(df.groupBy(*keys, value).agg(F.sum(weight).alias("_w")), keys, value, ["_w"])
+    before, upto, every = 2 * (F.col("run__w") - F.col("_w")), 2 * F.col("run__w"), F.col("all__w")
+    hit = (upto >= every) & (before < every)
+    found = rows.groupBy(*keys).agg(F.max(F.when(hit, F.col(value))).alias("_v"), F.bool_or(hit & (upto == every)).alias("_even"), F.min(F.when(before >= every, F.col(value))).alias("_next"))
+    return found.select(*keys, F.when(F.col("_even") & F.col("_next").isNotNull(), (F.col("_v") + F.col("_next")) / 2).otherwise(F.col("_v").cast("double")).alias("weighted_median"))
 
 
 def order_interval(df: DataFrame, keys: list[str], column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """Values at positions int(p x n) from 0, with mean, median and sample deviation; ranks come from a window, so that no
-    group is gathered in memory."""
-    by = W.partitionBy(*keys)
-    rows = df.select(*keys, column, F.row_number().over(by.orderBy(column)).alias("_i"), F.count(column).over(by).alias("_n"))
-    at = lambda p: F.max(F.when(F.col("_i") == F.floor(F.lit(p) * F.col("_n")) + 1, F.col(column)))
-    return rows.groupBy(*keys).agg(at(low).alias("low"), at(high).alias("high"), F.avg(column).alias("mean"), F.percentile(column, 0.5).alias("median"), F.stddev_samp(column).alias("deviation"))
+    """Values at positions int(p x n) from 0, with mean, median and sample deviation."""
+    stats = df.where(F.col(column).isNotNull()).groupBy(*keys).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("deviation"))
+    places = values_at(df, keys, column, {"low": (low, False), "high": (high, False), "median": (0.5, True)})
+    return join_null_safe(places, stats, keys).select(*keys, "low", "high", "mean", "median", "deviation")
 
 
 def with_group_count(df: DataFrame, keys: list[str], out: str = "n_group") -> DataFrame:
@@ -114,3 +114,30 @@ def bags(df: DataFrame, names: list[str]) -> DataFrame:
     own = {n: [c for c in df.columns if c.rpartition(".")[0] == n] for n in names}
     used = {c for cs in own.values() for c in cs}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in used], *[mean(n, cs) for n, cs in own.items()])
+
+
+def label_means(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
+    """Per label: rows, rows that are zero in every column, and each column's mean."""
+    zero = F.forall(F.array(*[F.col(c).cast("double") for c in columns]), lambda x: x == 0)
+    return df.groupBy(label).agg(F.count("*").alias("n"), F.count_if(zero).alias("n_zero"), *[F.avg(c).alias(f"mean_{c}") for c in columns])
+
+
+def distinct_with_count(df: DataFrame, keys: list[str], out: str = "n_group") -> DataFrame:
+    """Exact copies of rows once, with the number of distinct rows of their keys (null keys are a group)."""
+    rows = df.distinct()
+    return join_null_safe(rows, rows.groupBy(*keys).agg(F.count("*").alias(out)), keys)
+
+
+def spread(df: DataFrame, key: str, value: str, order: str, k: int, default: str = "NONE") -> DataFrame:
+    """(key, <value>_1 .. <value>_k): the first k distinct values of each key by first appearance, default where there are fewer."""
+    first = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("_o"))
+    top = first.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("_o", value))).where(F.col("_r") <= k)
+    return top.groupBy(key).agg(*[F.coalesce(F.max(F.when(F.col("_r") == i, F.col(value))), F.lit(default)).alias(f"{value}_{i}") for i in range(1, k + 1)])
+
+
+def standard_scores(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n, mean, deviation, n_low, n_high) with the values beyond three deviations counted, in two passes."""
+    one = df.agg(*[F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("deviation")).alias(f"_{c}") for c in columns])  # one row
+    z = lambda c: (F.col(c) - F.col(f"_{c}.mean")) / F.nullif(F.col(f"_{c}.deviation"), F.lit(0.0))
+    row = df.crossJoin(F.broadcast(one)).agg(*[F.struct(F.any_value(f"_{c}").alias("s"), F.count_if(z(c) < -3).alias("n_low"), F.count_if(z(c) > 3).alias("n_high")).alias(c) for c in columns])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)["s"]["n"].alias("n"), F.col(c)["s"]["mean"].alias("mean"), F.col(c)["s"]["deviation"].alias("deviation"), F.col(c)["n_low"].alias("n_low"), F.col(c)["n_high"].alias("n_high")) for c in columns])).alias("s")).select("s.*")

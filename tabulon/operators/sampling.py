@@ -6,13 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .running import add_totals_before
+
 
 def draw(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
+def ranked(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
+    """Adds _rank, the place from 1 in the class's hashed order, and _all, the class size. A class is dealt over the parts of
+    the hash, so that no task sorts a whole class."""
+    rows = df.withColumns({"_d": draw(seed, key), "_one": F.lit(1)}).withColumn("_part", F.substring("_d", 1, 3))
+    rows = add_totals_before(rows, [label], "_part", ["_one"])
+    rank = F.col("before__one") + F.row_number().over(W.partitionBy(label, "_part").orderBy("_d", key))
+    return rows.withColumns({"_rank": rank, "_all": F.col("all__one")}).drop("_d", "_one", "_part", "before__one", "all__one")
+
+
 def per_class(df: DataFrame, label: str, key: str, n: int | Column, seed: int = 0) -> DataFrame:
     """At most n rows of every class (n may be a column)."""
+    if isinstance(n, Column):
+        return ranked(df, label, key, seed).where(F.col("_rank") <= n).drop("_rank", "_all")
     rank = F.row_number().over(W.partitionBy(label).orderBy(draw(seed, key), key))
     return df.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")
 
@@ -53,32 +66,33 @@ def negatives(codes: DataFrame, column: str, k: int, seed: int = 0) -> DataFrame
 
 
 def split(df: DataFrame, key: str, ratio: float, label: str | None = None, seed: int = 0, out: str = "part") -> DataFrame:
-    """Adds part: train for the first floor(ratio x n) rows of each class in hashed order, else test. Without label, classes
-    are hash buckets, so that no task sorts all rows."""
-    group = [label] if label else [F.pmod(F.xxhash64(key), F.lit(64))]
-    by = W.partitionBy(*group)
-    rank = F.row_number().over(by.orderBy(draw(seed, key), key))
-    return df.withColumn(out, F.when(rank <= F.floor(F.lit(ratio) * F.count("*").over(by)), "train").otherwise("test"))
+    """Adds part: train for the first floor(ratio x n) rows of each class in hashed order, else test. Without label, all rows
+    are one class."""
+    rows = ranked(df.withColumn("_class", F.col(label) if label else F.lit(1)), "_class", key, seed)
+    return rows.withColumn(out, F.when(F.col("_rank") <= F.floor(F.lit(ratio) * F.col("_all")), "train").otherwise("test")).drop("_class", "_rank", "_all")
 
 
 def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 0, out: str = "fold") -> DataFrame:
-    rank = F.row_number().over(W.partitionBy(label).orderBy(draw(seed, key), key))
-    return df.withColumn(out, F.pmod(rank, F.lit(k)))
+    return ranked(df, label, key, seed).withColumn(out, F.pmod("_rank", F.lit(k))).drop("_rank", "_all")
+
+
+def uniform(seed: int, *keys: str) -> Column:
+    """A number in [0, 1) from the first 13 digits of the hash."""
+    return F.conv(F.substring(draw(seed, *keys), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def bootstrap(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """As many rows as df, drawn with replacement inside each class, so that every label stays."""
-    by = W.partitionBy(label)
-    rows = df.withColumns({"_i": F.row_number().over(by.orderBy(key)), "_n": F.count("*").over(by)})
-    picks = rows.select(label, (F.pmod(F.xxhash64(F.lit(seed), "_i", label), F.col("_n")) + 1).cast("int").alias("_i"))
-    return picks.join(rows.drop("_n"), [label, "_i"]).select(*df.columns)
+    rows = ranked(df, label, key, seed)
+    picks = rows.select(label, (F.floor(uniform(seed + 1, key) * F.col("_all")) + 1).alias("_rank"))
+    return picks.join(rows.drop("_all"), [label, "_rank"]).select(*df.columns)
 
 
 def weighted_choice(df: DataFrame, value: str, weight: str, keys: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """(key, value): for each key one of the values, in proportion to weight, by the inverse of the cumulative weights."""
     by = W.orderBy(value)
     marks = df.withColumns({"_high": F.sum(weight).over(by), "_all": F.sum(weight).over(W.partitionBy(F.lit(1)))}).withColumn("_low", F.col("_high") - F.col(weight))
-    u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
+    u = uniform(seed, key)
     marks = marks.select(value, (F.col("_low") / F.col("_all")).alias("_low"), (F.col("_high") / F.col("_all")).alias("_high"))
     return keys.withColumn("_u", u).join(F.broadcast(marks), (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high"))).select(key, value)
 
@@ -94,3 +108,17 @@ def interval_sample(df: DataFrame, order: str, key: str, n: int, group: str, see
     part = F.ntile(n).over(W.partitionBy(group).orderBy(order, key))
     rows = df.withColumn("tile", part)
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(group, "tile").orderBy(draw(seed, key), key))).where("_r = 1").drop("_r")
+
+
+def two_classes_even(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
+    """Every class cut down to the size of the rarest."""
+    return cap_majority(df, label, key, 1, seed)
+
+
+def class_quota(df: DataFrame, label: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows in equal shares over the classes; the first classes, by name, take what does not divide."""
+    names = df.select(label).distinct()
+    by = W.partitionBy(F.lit(1))  # one row per class
+    quota = names.withColumns({"_i": F.row_number().over(by.orderBy(label)), "_k": F.count("*").over(by)})
+    quota = quota.select(label, (F.floor(F.lit(n) / F.col("_k")) + (F.col("_i") <= F.pmod(F.lit(n), F.col("_k"))).cast("long")).alias("_quota"))
+    return per_class(df.join(quota, label), label, key, F.col("_quota"), seed).drop("_quota")
