@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import learning, relational, text  # noqa: F401
+from .plans import encoding, evaluation, learning, matching, relational, samples, text  # noqa: F401
 from .plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.similarity import cosine
+from ..functions.similarity import affinity, cosine
 
 
 def kmeans(df: DataFrame, vector: str, k: int, seed: int = 1, bisecting: bool = False) -> DataFrame:
@@ -60,3 +62,45 @@ def around_centroid(df: DataFrame, group: str, key: str, vector: str, k: int, ne
     rows = df.join(F.broadcast(centroids(df, group, vector)), group).withColumn("distance", F.round(1 - cosine(F.col(vector), F.col("centroid")), 6))
     order = F.col("distance").asc() if nearest else F.col("distance").desc()
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(order, key))).where(F.col("rank") <= k).select(group, key, "distance", "rank")
+
+
+def dispersions(df: DataFrame, vector: str, ks: list[int], seed: int = 1) -> list[float]:
+    """Sum of squared distances to the nearest of k centers, for every k."""
+    rows = df.select(array_to_vector(F.col(vector)).alias("_v"))
+    return [KMeans(k=k, seed=seed, featuresCol="_v").fit(rows).summary.trainingCost for k in ks]
+
+
+def gap_statistic(df: DataFrame, key: str, vector: str, ks: list[int], refs: int = 2, seed: int = 1) -> list[tuple[int, float]]:
+    """(k, gap): log of the mean dispersion of uniform rows in the data's box less the log of the data's own."""
+    n = F.posexplode(vector).alias("i", "x")
+    box = df.select(n).groupBy("i").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    edges = box.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a", "b"))), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))).alias("box"))  # one row, a cell per dimension
+    own, other = dispersions(df, vector, ks, seed), [0.0] * len(ks)
+    for r in range(refs):
+        u = lambda i, r=r: F.pmod(F.xxhash64(F.lit(r), F.lit(seed), F.col(key), i), F.lit(1 << 30)) / float(1 << 30)
+        rows = df.select(key).crossJoin(F.broadcast(edges)).select(F.transform("box", lambda s, i: s["a"] + (s["b"] - s["a"]) * u(i)).alias("v"))  # noqa: B023
+        other = [x + y / refs for x, y in zip(other, dispersions(rows, "v", ks, seed), strict=True)]
+    return [(k, math.log(x) - math.log(y)) for k, x, y in zip(ks, other, own, strict=True)]
+
+
+def principal(df: DataFrame, columns: list[str], k: int = 2, out: str = "pc") -> DataFrame:
+    """Adds out, the first k principal components of the z-scores of columns, as an array."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+
+    from .encode import scale
+
+    scaled = scale(df.withColumns({f"_z_{c}": F.col(c).cast("double") for c in columns}), [f"_z_{c}" for c in columns], "zscore")
+    rows = VectorAssembler(inputCols=[f"_z_{c}" for c in columns], outputCol="_v").transform(scaled)
+    return PCA(k=k, inputCol="_v", outputCol="_p").fit(rows).transform(rows).withColumn(out, vector_to_array("_p")).drop("_v", "_p", *[f"_z_{c}" for c in columns])
+
+
+def pair_affinity(pairs: DataFrame, df: DataFrame, a: str, b: str, key: str, vector: str, sigma: float = 0.5) -> DataFrame:
+    """(a, b, cosine, affinity) of given pairs of keys."""
+    x, y = df.select(F.col(key).alias(a), F.col(vector).alias("_x")), df.select(F.col(key).alias(b), F.col(vector).alias("_y"))
+    return pairs.join(x, a).join(y, b).withColumn("cosine", cosine(F.col("_x"), F.col("_y"))).withColumn("affinity", affinity(F.col("cosine"), sigma)).select(a, b, "cosine", "affinity")
+
+
+def label_shares(df: DataFrame, cluster: str, label: str) -> DataFrame:
+    """(cluster, label, n, of_cluster, of_label) of every cell."""
+    cell = df.groupBy(cluster, label).agg(F.count("*").alias("n"))
+    return cell.withColumns({"of_cluster": F.col("n") / F.sum("n").over(W.partitionBy(cluster)), "of_label": F.col("n") / F.sum("n").over(W.partitionBy(label))})

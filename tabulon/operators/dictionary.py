@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -66,3 +68,20 @@ def code_documents(df: DataFrame, code: str, columns: list[str]) -> DataFrame:
     """One document per code: its distinct upper-cased values, sorted within each column."""
     parts = [F.array_join(F.array_sort(F.collect_set(F.nullif(F.upper(F.trim(c)), F.lit("")))), " ") for c in columns]
     return df.groupBy(code).agg(F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts]).alias("document"))
+
+
+def nearest_in_row(df: DataFrame, short: str, long: str, distance: Callable[[Column, Column], Column] = F.levenshtein) -> DataFrame:
+    """(token, expansion, n): every short token goes to the nearest long token of its own row, the first of equals; the most
+    frequent of those is its expansion, the first by name of equals. Rows that repeat are compared once."""
+    rows = df.select(F.explode(F.array_distinct(short)).alias("token"), F.col(long).alias("l")).where("size(l) > 0").groupBy("token", "l").agg(F.count("*").alias("n"))
+    near = F.array_min(F.transform("l", lambda t, i: F.struct(distance(F.col("token"), t).alias("d"), i.alias("i"), t.alias("t"))))
+    counts = rows.withColumn("expansion", near["t"]).groupBy("token", "expansion").agg(F.sum("n").alias("n"))
+    return counts.groupBy("token").agg(F.min(F.struct((-F.col("n")).alias("m"), "expansion")).alias("b")).select("token", F.col("b.expansion").alias("expansion"), (-F.col("b.m")).alias("n"))
+
+
+def compare_parts(df: DataFrame, dictionary: DataFrame, code: str, text: str, parts: list[str]) -> DataFrame:
+    """Adds, for each part of the code's dictionary entry, n_<part>: how many of its words the text has."""
+    entry = dictionary.select(code, *[F.col(p).alias(f"_p_{p}") for p in parts])
+    words = lambda c: F.filter(F.array_distinct(F.split(F.upper(F.coalesce(c, F.lit(""))), r"\s+")), lambda t: t != "")
+    out = df.join(entry, code, "left")
+    return out.withColumns({f"n_{p}": F.size(F.array_intersect(words(F.col(text)), words(F.col(f"_p_{p}")))) for p in parts}).drop(*[f"_p_{p}" for p in parts])

@@ -55,3 +55,30 @@ def unit_rows(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def perturb(c: Column, least: float, seed: int, alpha: float = 10.0) -> Column:
     return c + least / (10 * alpha) + F.rand(seed) * (least / alpha - least / (10 * alpha))
+
+
+def encode_columns(df: DataFrame, columns: list[str], high: int = 10, most_null: float = 0.9) -> DataFrame:
+    """Text columns as numbers: columns with nulls in most rows go, nulls become unknown, columns of fewer than high values
+    become one column per value and the others the bits of a code. Two passes over the counts decide, one plan encodes."""
+    stats = df.agg(*[F.struct(F.count_distinct(c).alias("u"), F.avg(F.col(c).isNull().cast("int")).alias("r")).alias(c) for c in columns]).first()
+    kept = [c for c in columns if (stats[c]["r"] or 0.0) < most_null]
+    out = fill(df.drop(*[c for c in columns if c not in kept]), kept, [])
+    for c in kept:
+        n = stats[c]["u"] + ((stats[c]["r"] or 0.0) > 0)
+        if n < high:
+            values = sorted(r[0] for r in out.select(c).distinct().collect())  # fewer than high
+            out = one_hot(out, c, values).drop(c)
+        else:
+            out = binary_encode(out, c, max(1, int(stats[c]["u"] + 1).bit_length())).drop(c)
+    return out
+
+
+def complete_rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows without a null in columns."""
+    return df.na.drop("any", subset=columns)
+
+
+def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Nulls become the column's mean."""
+    means = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])  # one row
+    return df.crossJoin(F.broadcast(means)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).select(*df.columns)

@@ -23,8 +23,8 @@ def nearest(values: DataFrame, value: str, targets: DataFrame, target: str, orde
     found = []
     for b in range(blocks):
         part = words if blocks == 1 else words.where(F.pmod(F.xxhash64("target"), F.lit(blocks)) == b)
-        pairs = own.join(F.broadcast(part))
-        found.append(pairs.groupBy("value").agg(F.min(F.struct(distance(F.col("value"), F.col("target")).alias("d"), "ord", "target")).alias("b")))
+        pairs = own.join(F.broadcast(part)).withColumn("d", distance(F.col("value"), F.col("target")))
+        found.append(pairs.groupBy("value").agg(F.min(F.struct("d", "ord", "target")).alias("b")))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -62,3 +62,14 @@ def token_similarity(pairs: DataFrame, a: str, b: str, kernel: Callable[[Column,
     out = top.groupBy(a, b).agg(F.avg("s").alias("similarity"), F.count_if(F.col("s") > 0).alias("hits"), F.max(F.when(F.col("s") > 0, F.length("x"))).alias("size"))
     out = out.select(a, b, F.when((F.col("hits") == 1) & (F.col("size") == 1), F.lit(0.0)).otherwise(F.col("similarity")).alias("similarity"))
     return pairs.join(out, [a, b], "left").fillna(0.0, ["similarity"])
+
+
+def part_features(values: DataFrame, value: str, parts: dict[str, DataFrame], distances: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """(value, then <part>_<distance> and <part>_<distance>_dist): for each distinct value the nearest entry of every part's
+    table(text, ord) under every distance."""
+    out = values.select(F.col(value).alias("value")).where("value is not null").distinct()
+    for part, entries in parts.items():
+        for name, distance in distances.items():
+            near = nearest(values, value, entries, "text", "ord", distance=distance)
+            out = out.join(near.select("value", F.col("target").alias(f"{part}_{name}"), F.col("distance").alias(f"{part}_{name}_dist")), "value", "left")
+    return out

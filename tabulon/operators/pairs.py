@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_term, standardize
+from . import tfidf
+from .nearest import token_similarity
+from .roles import pair_names
 from .sampling import negatives, per_class
 
 
@@ -14,3 +20,35 @@ def candidate_pairs(rows: DataFrame, dictionary: DataFrame, key: str, code: str,
     own = chosen.select(key, code, F.col(code).alias("candidate"), F.lit(1).alias("label"))
     other = chosen.select(key, code).join(negatives(dictionary, code, k, seed).withColumnRenamed("negative", "candidate"), code).select(key, code, "candidate", F.lit(0).alias("label"))
     return own.unionByName(other)
+
+
+def pair_features(pairs: DataFrame, rows: DataFrame, dictionary: DataFrame, key: str, code: str, texts: list[str], parts: list[str], kernel: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds to pairs(key, code, candidate, label), for every text column of rows and every part of the candidate's dictionary
+    entry, <text>_<part>_sdist (mean of the best token similarities) and <text>_<part>_tfidf (cosine of term weights, learned
+    on the dictionary's and the rows' distinct texts). Distinct texts are compared once."""
+    clean = lambda c: clean_term(standardize(F.col(c)))
+    own = rows.select(key, *[clean(c).alias(f"_x_{c}") for c in texts])
+    entry = dictionary.groupBy(code).agg(*[F.max(p).alias(p) for p in parts]).select(F.col(code).alias("candidate"), *[clean(p).alias(f"_y_{p}") for p in parts])
+    out = pairs.join(own, key).join(entry, "candidate")
+    every = None
+    for frame, names in ((own, [f"_x_{c}" for c in texts]), (entry, [f"_y_{p}" for p in parts])):
+        for n in names:
+            one = frame.select(F.col(n).alias("text"))
+            every = one if every is None else every.unionByName(one)
+    words = every.where("text <> ''").distinct()
+    weights = tfidf.tfidf(words.withColumn("t", F.split("text", " ")), "text", "t")
+    for a, b, name in pair_names(texts, parts):
+        both = out.select(f"_x_{a}", f"_y_{b}").distinct().toDF("a", "b")
+        both = token_similarity(both, "a", "b", kernel).withColumnRenamed("similarity", f"{name}_sdist")
+        both = tfidf.similar(both, weights, "a", "b", "text").withColumnRenamed("cosine", f"{name}_tfidf")
+        out = out.join(both.withColumnsRenamed({"a": f"_x_{a}", "b": f"_y_{b}"}), [f"_x_{a}", f"_y_{b}"], "left").fillna(0.0, [f"{name}_sdist", f"{name}_tfidf"])
+    return out.drop(*[f"_x_{c}" for c in texts], *[f"_y_{p}" for p in parts])
+
+
+def train_and_test(rows: DataFrame, scores: DataFrame, dictionary: DataFrame, key: str, code: str, high: float = 0.9, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(train, test) pairs: codes that scores(code, score) finds easy give rows with their own code and others; the rest give
+    rows with their own code alone."""
+    easy = scores.where(F.col("score") >= high).select(code)
+    train = candidate_pairs(rows.join(easy, code, "left_semi"), dictionary, key, code, seed=seed)
+    test = candidate_pairs(rows.join(easy, code, "left_anti"), dictionary, key, code, k=1, seed=seed).where("label = 1")
+    return train, test

@@ -24,7 +24,8 @@ def tfidf(docs: DataFrame, key: str, tokens: str, sublinear: bool = False, smoot
 
 
 def top_terms(weights: DataFrame, key: str, n: int) -> DataFrame:
-    return weights.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= n)
+    """The n heaviest terms; weights that agree to nine digits are ties and go by term."""
+    return weights.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc(F.round("weight", 9)), "term"))).where(F.col("rank") <= n)
 
 
 def mean_terms(weights: DataFrame, docs: DataFrame, key: str, group: str, n: int, least: float = 0.1) -> DataFrame:

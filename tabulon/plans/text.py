@@ -94,9 +94,8 @@ def nearest_name(spark, d):
 @query("nearest_name_jaro_winkler")
 def nearest_name_jaro_winkler(spark, d):
     targets = table(spark, d, "nation").select(F.upper("n_name").alias("n"), "n_nationkey")
-    far = lambda a, b: 1 - sim.jaro_winkler_column(a, b)
-    pairs = table(spark, d, "part").select(F.col("p_type").alias("value")).distinct().join(F.broadcast(targets), how="cross").withColumn("d", far(F.col("value"), F.col("n")))
-    return pairs.groupBy("value").agg(F.min(F.struct("d", "n_nationkey", "n")).alias("b")).select("value", F.col("b.n").alias("target"), F.round("b.d", 9).alias("distance"))
+    far = lambda a, b: F.round(1 - sim.jaro_winkler_column(a, b), 9)
+    return nearest.nearest(table(spark, d, "part"), "p_type", targets, "n", "n_nationkey", distance=far)
 
 
 @query("token_similarity")

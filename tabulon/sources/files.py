@@ -39,7 +39,7 @@ def read_properties(spark: SparkSession, path: str) -> DataFrame:
 def read_nominals(spark: SparkSession, path: str) -> DataFrame:
     """(name, values) of the nominal attributes of an ARFF header."""
     found = spark.read.text(path).select(F.regexp_extract("value", r"(?i)^@attribute\s+(\S+)\s+\{(.*)\}", 1).alias("name"), F.regexp_extract("value", r"(?i)^@attribute\s+(\S+)\s+\{(.*)\}", 2).alias("v"))
-    return found.where("name <> ''").select("name", F.transform(F.split("v", ","), F.trim).alias("values"))
+    return found.where("name <> ''").select("name", F.transform(F.split("v", ","), lambda v: F.trim(v)).alias("values"))
 
 
 def read_tokens(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
