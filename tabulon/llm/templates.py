@@ -1,5 +1,5 @@
 """Benchmark decontamination by template windows: numbers, names and units become typed placeholders, windows of the
-templates meet in a hash join, and the values in the slots must correspond one to one along the passage."""
+templates meet in a hash join, and along the passage each slot value of the item must stand against one value of the text."""
 
 from __future__ import annotations
 
