@@ -7,7 +7,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,16 +138,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, group_docs: int
 
     A document's ids end with END. Pieces of capacity ids fill a sequence each; what is left of the documents is packed by
     falling length within groups of about group_docs documents, drawn by a hash, so that a group has all lengths and fits
-    one task. Null and empty texts give one piece of one id. Every row counts as a document, repeated ids too."""
+    one task. Null and empty texts give one piece of one id. Every row counts as a document, repeated and null ids too; rows
+    equal in both id and text meet in one group."""
     groups = max(1, -(-docs.count() // group_docs))
     pieces = cut_pieces(docs, tokenizer, capacity).withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
-        bins, offsets = first_fit_decreasing(rows["length"].tolist(), capacity)
-        return rows.drop(columns="g").assign(sequence_id=(int(key[0]) << 24) + np.array(bins, np.int64), offset=np.array(offsets, np.int64))
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
+        bins, offsets = first_fit_decreasing(rows["length"].to_pylist(), capacity)
+        sequence = (key[0].as_py() << 24) + np.array(bins, np.int64)
+        return rows.drop_columns("g").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets, pa.int64()))
 
-    return pieces.groupBy("g").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    return pieces.groupBy("g").applyInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
