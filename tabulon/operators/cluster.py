@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -104,3 +104,8 @@ def label_shares(df: DataFrame, cluster: str, label: str) -> DataFrame:
     """(cluster, label, n, of_cluster, of_label) of every cell."""
     cell = df.groupBy(cluster, label).agg(F.count("*").alias("n"))
     return cell.withColumns({"of_cluster": F.col("n") / F.sum("n").over(W.partitionBy(cluster)), "of_label": F.col("n") / F.sum("n").over(W.partitionBy(label))})
+
+
+def spectral(edges: DataFrame, k: int, rounds: int = 20) -> DataFrame:
+    """(id, cluster) from weighted links (src, dst, weight) by power iteration on the normalised affinity."""
+    return PowerIterationClustering(k=k, maxIter=rounds, initMode="degree", weightCol="weight").assignClusters(edges)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .running import running_sums
+from .running import join_null_safe, running_sums
 
 
 def curve(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
@@ -114,3 +114,13 @@ def against_best(df: DataFrame, metric: str, method: str, value: str) -> DataFra
 
 def method_summary(df: DataFrame, metric: str, value: str) -> DataFrame:
     return df.groupBy(metric).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+
+
+def all_scores(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
+    """auc, fmax, fmax_negative (label 0 is the one to find, by the same scores) and brier, side by side."""
+    flipped = df.withColumn(label, 1 - F.col(label))
+    parts = [roc_auc(df, keys, label, score), fmax(df, keys, label, score).select(*keys, "fmax"), fmax(flipped, keys, label, score).select(*keys, F.col("fmax").alias("fmax_negative")), brier(df, keys, label, score)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = join_null_safe(out, part, keys)
+    return out

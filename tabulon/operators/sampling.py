@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .profile import keep_last
 from .running import add_totals_before
 
 
@@ -122,3 +123,18 @@ def class_quota(df: DataFrame, label: str, key: str, n: int, seed: int = 0) -> D
     quota = names.withColumns({"_i": F.row_number().over(by.orderBy(label)), "_k": F.count("*").over(by)})
     quota = quota.select(label, (F.floor(F.lit(n) / F.col("_k")) + (F.col("_i") <= F.pmod(F.lit(n), F.col("_k"))).cast("long")).alias("_quota"))
     return per_class(df.join(quota, label), label, key, F.col("_quota"), seed).drop("_quota")
+
+
+def top_up_report(df: DataFrame, pool: DataFrame, label: str, key: str, target: int) -> DataFrame:
+    """Every class of df but unknown and other: its size n, the fresh rows of pool (found), those that top_up adds (added), and
+    whether pool has any (hit)."""
+    fresh = pool.join(df.select(key), key, "left_anti").groupBy(label).agg(F.count("*").alias("found"))
+    out = df.groupBy(label).agg(F.count("*").alias("n")).where(~F.col(label).isin("unknown", "other")).join(fresh, label, "left")
+    out = out.withColumn("found", F.coalesce("found", F.lit(0)))
+    added = F.least("found", F.greatest(F.lit(target) - F.col("n"), F.lit(0)))
+    return out.withColumns({"added": added, "hit": F.col("found") > 0})
+
+
+def distinct_samples(df: DataFrame, label: str, key: str, columns: list[str], n: int, seed: int = 0) -> DataFrame:
+    """At most n rows of every class, no two of a class alike in columns: of such rows the one of the largest key stands."""
+    return per_class(keep_last(df, [label, *columns], [F.desc(key)]), label, key, n, seed)

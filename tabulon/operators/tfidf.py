@@ -41,3 +41,15 @@ def similar(pairs: DataFrame, weights: DataFrame, a: str, b: str, key: str) -> D
     right = weights.select(F.col(key).alias(b), "term", F.col("weight").alias("_y"))
     dots = pairs.join(left, a).join(right, [b, "term"]).groupBy(a, b).agg(F.sum(F.col("_x") * F.col("_y")).alias("cosine"))
     return pairs.join(dots, [a, b], "left").fillna(0.0, ["cosine"])
+
+
+def term_frequencies(counts: DataFrame, key: str) -> DataFrame:
+    """counts(key, term, tf) with sublinear (1 + ln tf) and augmented (0.5 + 0.5 tf / the document's largest tf)."""
+    most = F.max("tf").over(W.partitionBy(key))
+    return counts.withColumns({"sublinear": 1 + F.log("tf"), "augmented": 0.5 + 0.5 * F.col("tf") / most})
+
+
+def limit_vocabulary(counts: DataFrame, n: int) -> DataFrame:
+    """The rows of the n terms that are most frequent over all documents; ties go by term. n bounds the broadcast side."""
+    top = counts.groupBy("term").agg(F.sum("tf").alias("_all")).orderBy(F.desc("_all"), "term").limit(n)
+    return counts.join(F.broadcast(top.select("term")) if n <= 100_000 else top.select("term"), "term", "left_semi")

@@ -135,3 +135,15 @@ def tree_thresholds(spark, d):
 def nested_search(spark, d):
     names, rows = _flags(spark, d)
     return models.nested_search(rows, "id", names, "y", [0.01, 0.1], k=2)
+
+
+@query("all_scores", _P + ", r AS (SELECT p, n, sum(n) OVER (ORDER BY s) - (n - 1) / 2.0 AS r FROM k), f AS (SELECT tp / m AS p, tp / pos AS r, (m - tp) / m AS p0, (m - tp) / (total - pos) AS r0 FROM c) SELECT (SELECT round((sum(r * p) - sum(p) * (sum(p) + 1) / 2.0) / (sum(p) * (sum(n) - sum(p))), 6) FROM r) AS auc, (SELECT round(max(2 * p * r / nullif(p + r, 0)), 6) FROM f) AS fmax, (SELECT round(max(2 * p0 * r0 / nullif(p0 + r0, 0)), 6) FROM f) AS fmax_negative, (SELECT round(1 - avg((s - y) * (s - y)), 6) FROM p) AS brier")
+def all_scores(spark, d):
+    out = metrics.all_scores(_scored(spark, d), [], "y", "s")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query("spectral_clusters")
+def spectral_clusters(spark, d):
+    links = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    return cluster.spectral(links, 3)

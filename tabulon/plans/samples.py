@@ -63,3 +63,14 @@ def sample_rows(spark, d):
 @query("class_folds", f"WITH {_ranked('o_orderstatus', 'o_orderkey', 'orders')} SELECT o_orderkey, i % 5 AS fold FROM r")
 def class_folds(spark, d):
     return sampling.folds(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 5).select("o_orderkey", "fold")
+
+
+@query("top_up_report", "WITH o AS (SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY ALL), f AS (SELECT o_orderpriority, count(*) AS found FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderpriority <> '2-HIGH' GROUP BY ALL) SELECT o_orderpriority, n, coalesce(found, 0) AS found, least(coalesce(found, 0), greatest(650 - n, 0)) AS added, coalesce(found, 0) > 0 AS hit FROM o LEFT JOIN f USING (o_orderpriority)")
+def top_up_report(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
+    return sampling.top_up_report(rows.where("o_orderkey % 5 = 0"), rows.where("o_orderkey % 5 = 0 or o_orderpriority <> '2-HIGH'"), "o_orderpriority", "o_orderkey", 650)
+
+
+@query("distinct_samples", "WITH u AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey DESC) = 1) SELECT o_orderkey, o_orderpriority, o_custkey FROM u QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('0|' || o_orderkey), o_orderkey) <= 3")
+def distinct_samples(spark, d):
+    return sampling.distinct_samples(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_custkey"), "o_orderpriority", "o_orderkey", ["o_custkey"], 3)

@@ -153,3 +153,21 @@ def tfidf_cosine(spark, d):
     items = table(spark, d, "benchmark")
     pairs = items.select(F.col("item_id").alias("a"), (F.col("item_id") + 1).alias("b"))
     return tfidf.similar(pairs, _weights(spark, d), "a", "b", "item_id").where("cosine > 0").withColumn("cosine", F.round("cosine", 6))
+
+
+def _counts(spark, d):
+    items = table(spark, d, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("([A-Za-z0-9_]{2,})"), 1).alias("t"))
+    return tfidf.term_counts(items, "item_id", "t")
+
+
+_TF = r"WITH w AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]{2,}')) AS term FROM benchmark), tf AS (SELECT item_id, term, count(*) AS tf FROM w GROUP BY ALL)"
+
+
+@query("term_frequencies", _TF + " SELECT item_id, term, tf, round(1 + ln(tf), 6) AS sublinear, round(0.5 + 0.5 * tf / max(tf) OVER (PARTITION BY item_id), 6) AS augmented FROM tf")
+def term_frequencies(spark, d):
+    return tfidf.term_frequencies(_counts(spark, d), "item_id").withColumns({c: F.round(c, 6) for c in ("sublinear", "augmented")})
+
+
+@query("limited_vocabulary", _TF + ", v AS (SELECT term FROM tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 50) SELECT item_id, term, tf FROM tf SEMI JOIN v USING (term)")
+def limited_vocabulary(spark, d):
+    return tfidf.limit_vocabulary(_counts(spark, d), 50).select("item_id", "term", "tf")
