@@ -77,21 +77,22 @@ class Templates:
         return raw[told], codes, slot, told, words, doc[told]
 
 
-def windows(raw, codes, slot, doc, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the windows inside one text, and their hashes. A window of which more than half is placeholders says too
-    little as a template; it stands for its own words."""
-    h = window_hashes(codes, width)
+def windows(raw, codes, slot, doc, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows inside one text, their hashes, and whether a hash stands for the window's own words in small
+    letters (exact) or for its template. Every window has an exact hash, so that a passage is found whatever its case and the
+    word before it. A window with placeholders has a template hash too, unless more than half of it is placeholders, which says
+    too little."""
+    h = window_hashes(raw, width) ^ np.uint64(0x5555555555555555)
     if not len(h):
-        return np.zeros(0, np.int64), h
-    slots = np.concatenate([[0], np.cumsum(slot)])
-    vague = (slots[width:] - slots[:-width]) * 2 > width
-    if vague.any():
-        h = np.where(vague, window_hashes(raw, width) ^ np.uint64(0x5555555555555555), h)
+        return np.zeros(0, np.int64), h, np.zeros(0, bool)
     at = np.flatnonzero(doc[width - 1 :] == doc[: len(doc) - width + 1])
-    return at, h[at]
+    slots = np.concatenate([[0], np.cumsum(slot)])
+    held = (slots[width:] - slots[:-width])[at]
+    told = at[(held > 0) & (held * 2 <= width)]
+    return np.concatenate([at, told]), np.concatenate([h[at], window_hashes(codes, width)[told]]), np.arange(len(at) + len(told)) < len(at)
 
 
-SCHEMA = "pos int, width int, h long, slot_at array<int>, slot_text array<string>, n_words int"
+SCHEMA = "pos int, width int, h long, exact boolean, slot_at array<int>, slot_text array<string>, n_words int"
 
 
 def window_rows(df: DataFrame, key: str, width: int, widths: list[int] | None, seen: object = None, bits: int = 0) -> DataFrame:
@@ -105,21 +106,21 @@ def window_rows(df: DataFrame, key: str, width: int, widths: list[int] | None, s
             raw, codes, slot, told, words, doc = templates([t or "" for t in batch.column("text").to_pylist()])
             size = np.bincount(doc, minlength=batch.num_rows)
             begin = np.cumsum(size) - size
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for w in widths or range(1, width + 1):
-                at, h = windows(raw, codes, slot, doc, w)
+                at, h, exact = windows(raw, codes, slot, doc, w)
                 keep = in_bitmap(flags, h) if flags is not None else np.ones(len(h), bool)
                 if widths is None:
                     keep &= np.minimum(size[doc[at]], width) == w
-                for i, x in zip(at[keep].tolist(), h[keep].tolist(), strict=True):
+                for i, x, own in zip(at[keep].tolist(), h[keep].tolist(), exact[keep].tolist(), strict=True):
                     d = int(doc[i])
                     slots = np.flatnonzero(slot[i : i + w]).tolist()
-                    for column, v in zip(out, (d, i - int(begin[d]), w, x - (1 << 64) if x >> 63 else x, slots, [words[told[i + s]].lower().strip(".,;:!?\"'()") for s in slots], int(size[d])), strict=True):
+                    for column, v in zip(out, (d, i - int(begin[d]), w, x - (1 << 64) if x >> 63 else x, own, slots, [words[told[i + s]].lower().strip(".,;:!?\"'()") for s in slots], int(size[d])), strict=True):
                         column.append(v)
             if out[0]:
-                types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32()]
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32()]
                 arrays = [batch.column(key).take(pa.array(out[0])), *(pa.array(c, t) for c, t in zip(out[1:], types, strict=True))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[key, "pos", "width", "h", "slot_at", "slot_text", "n_words"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[key, "pos", "width", "h", "exact", "slot_at", "slot_text", "n_words"])
 
     return df.select(key, "text").mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, {SCHEMA}")
 
@@ -129,20 +130,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words:
     doc_id, item_id, n_windows (of the item found), coverage, n_slots (of the item that were compared).
 
     Windows have width words, or all words of an item shorter than that; items of fewer than min_words words, null and empty
-    texts match nothing. Along one alignment each slot value of the item must always stand against one value of the document;
-    alignments that break this are left out. Rows that repeat a doc_id count as one document. A Bloom bitmap of the
-    benchmark's windows, of fixed size, thins the documents' windows before the hash join; the join decides."""
+    texts match nothing. A window is found by its words, whatever their case, or by its template. Along one alignment each slot
+    value of the item must always stand against one value of the document; alignments that break this are left out. Rows that
+    repeat a doc_id count as one document. A Bloom bitmap of the benchmark's windows, of fixed size, thins the documents'
+    windows before the hash join; the join decides."""
     spark = docs.sparkSession
     items = window_rows(benchmark, "item_id", width, None).where(F.col("n_words") >= min_words).where(F.col("item_id").isNotNull())
     total = F.greatest(F.col("n_words") - F.col("width") + 1, F.lit(1))
-    items = items.select("item_id", F.col("pos").alias("item_pos"), "width", "h", F.col("slot_text").alias("item_slots"), total.alias("total")).distinct()
+    items = items.select("item_id", F.col("pos").alias("item_pos"), "width", "h", "exact", F.col("slot_at").alias("item_at"), F.col("slot_text").alias("item_slots"), total.alias("total")).distinct()
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # width values at most
     seen = spark.sparkContext.broadcast(bitmap(items.select("h"), "h", bits))
     found = window_rows(docs, "doc_id", width, widths or [width], seen, bits).where(F.col("doc_id").isNotNull())
-    pairs = found.join(items, ["h", "width"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
-    pairs = materialize(pairs.where(F.size("slot_text") == F.size("item_slots")), "pairs")  # used twice, made by one scan of the texts
+    pairs = found.join(items, ["h", "width", "exact"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    pairs = materialize(pairs.where(F.col("exact") | (F.col("slot_at") == F.col("item_at"))), "pairs")  # used twice, made by one scan of the texts
     line = ["doc_id", "item_id", "shift"]
-    slots = pairs.where(F.size("slot_text") > 0).select(*line, F.explode(F.arrays_zip("item_slots", "slot_text")).alias("s"))
+    # equal words may be slots on one side only: there nothing is compared
+    slots = pairs.where((F.size("slot_text") > 0) & (F.col("slot_at") == F.col("item_at"))).select(*line, F.explode(F.arrays_zip("item_slots", "slot_text")).alias("s"))
     values = slots.groupBy(*line, F.col("s.item_slots").alias("value")).agg(F.min("s.slot_text").alias("low"), F.max("s.slot_text").alias("high"))
     checked = values.groupBy(*line).agg(F.count("*").alias("n_slots"), F.count_if(F.col("low") != F.col("high")).alias("conflicts"))
     lines = pairs.groupBy(*line).agg(F.collect_set("item_pos").alias("at"), F.max("total").alias("total"))  # at most an item's windows
