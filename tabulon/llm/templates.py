@@ -95,7 +95,7 @@ def windows(raw, codes, slot, doc, width: int) -> tuple[np.ndarray, np.ndarray,
 SCHEMA = "pos int, width int, h long, exact boolean, slot_at array<int>, slot_text array<string>, n_words int"
 
 
-def window_rows(df: DataFrame, key: str, width: int, widths: list[int] | None, seen: object = None, bits: int = 0) -> DataFrame:
+def window_rows(df: DataFrame, keys: list[str], width: int, widths: list[int] | None, seen: object = None, bits: int = 0) -> DataFrame:
     """Windows of every text with the values in their slots. widths None: one width per text, its own length if it is shorter
     than width; else all those widths. seen: a broadcast bitmap; only windows whose hash it may hold are returned."""
 
@@ -119,10 +119,11 @@ def window_rows(df: DataFrame, key: str, width: int, widths: list[int] | None, s
                         column.append(v)
             if out[0]:
                 types = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32()]
-                arrays = [batch.column(key).take(pa.array(out[0])), *(pa.array(c, t) for c, t in zip(out[1:], types, strict=True))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[key, "pos", "width", "h", "exact", "slot_at", "slot_text", "n_words"])
+                arrays = [*(batch.column(k).take(pa.array(out[0])) for k in keys), *(pa.array(c, t) for c, t in zip(out[1:], types, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "pos", "width", "h", "exact", "slot_at", "slot_text", "n_words"])
 
-    return df.select(key, "text").mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, {SCHEMA}")
+    types = dict(df.dtypes)
+    return df.select(*keys, "text").mapInArrow(run, ", ".join([*(f"{k} {types[k]}" for k in keys), SCHEMA]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: int = 5, coverage: float = 0.5, bits: int = 1 << 25) -> DataFrame:
@@ -131,25 +132,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words:
 
     Windows have width words, or all words of an item shorter than that; items of fewer than min_words words, null and empty
     texts match nothing. A window is found by its words, whatever their case, or by its template. Along one alignment each slot
-    value of the item must always stand against one value of the document; alignments that break this are left out. Rows that
-    repeat a doc_id count as one document. A Bloom bitmap of the benchmark's windows, of fixed size, thins the documents'
-    windows before the hash join; the join decides."""
+    value of the item must always stand against one value of the text; where one does not, the windows that hold it count only
+    if they are found by their words. Rows that repeat a doc_id are aligned text by text and count as one document. A Bloom
+    bitmap of the benchmark's windows, of fixed size, thins the documents' windows before the hash join; the join decides."""
     spark = docs.sparkSession
-    items = window_rows(benchmark, "item_id", width, None).where(F.col("n_words") >= min_words).where(F.col("item_id").isNotNull())
+    items = window_rows(benchmark, ["item_id"], width, None).where(F.col("n_words") >= min_words).where(F.col("item_id").isNotNull())
     total = F.greatest(F.col("n_words") - F.col("width") + 1, F.lit(1))
     items = items.select("item_id", F.col("pos").alias("item_pos"), "width", "h", "exact", F.col("slot_at").alias("item_at"), F.col("slot_text").alias("item_slots"), total.alias("total")).distinct()
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # width values at most
     seen = spark.sparkContext.broadcast(bitmap(items.select("h"), "h", bits))
-    found = window_rows(docs, "doc_id", width, widths or [width], seen, bits).where(F.col("doc_id").isNotNull())
+    found = window_rows(docs.withColumn("text_key", F.xxhash64("text")), ["doc_id", "text_key"], width, widths or [width], seen, bits).where(F.col("doc_id").isNotNull())
     pairs = found.join(items, ["h", "width", "exact"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     pairs = materialize(pairs.where(F.col("exact") | (F.col("slot_at") == F.col("item_at"))), "pairs")  # used twice, made by one scan of the texts
-    line = ["doc_id", "item_id", "shift"]
+    line = ["doc_id", "text_key", "item_id", "shift"]
     # equal words may be slots on one side only: there nothing is compared
     slots = pairs.where((F.size("slot_text") > 0) & (F.col("slot_at") == F.col("item_at"))).select(*line, F.explode(F.arrays_zip("item_slots", "slot_text")).alias("s"))
     values = slots.groupBy(*line, F.col("s.item_slots").alias("value")).agg(F.min("s.slot_text").alias("low"), F.max("s.slot_text").alias("high"))
-    checked = values.groupBy(*line).agg(F.count("*").alias("n_slots"), F.count_if(F.col("low") != F.col("high")).alias("conflicts"))
-    lines = pairs.groupBy(*line).agg(F.collect_set("item_pos").alias("at"), F.max("total").alias("total"))  # at most an item's windows
-    lines = lines.join(checked, line, "left").where(F.coalesce("conflicts", F.lit(0)) == 0)
+    checked = values.groupBy(*line).agg(F.count("*").alias("n_slots"), F.collect_list(F.when(F.col("low") != F.col("high"), F.col("value"))).alias("conflicts"))  # at most an item's slots
+    pairs = pairs.join(checked, line, "left").where(F.col("exact") | F.col("conflicts").isNull() | ~F.arrays_overlap("item_slots", "conflicts"))
+    lines = pairs.groupBy(*line).agg(F.collect_set("item_pos").alias("at"), F.max("total").alias("total"), F.max("n_slots").alias("n_slots"))  # at most an item's windows
     out = lines.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.max("total").alias("total"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
     share = F.size("at") / F.col("total")
     return out.where(share >= coverage).select("doc_id", "item_id", F.size("at").cast("long").alias("n_windows"), F.round(share, 6).alias("coverage"), "n_slots")
