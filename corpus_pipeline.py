@@ -1,7 +1,8 @@
 """Corpus pipeline: quality, line dedup, near duplicates, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage before it kept; all but the last return the
-columns of documents. Rows with a null id pass the near-duplicate and decontamination stages unchanged."""
+columns of documents. Near-duplicates and leaks are dropped by row (id and text), so that rows that share an id stand for
+themselves. Rows with a null id pass the near-duplicate stage unchanged."""
 
 from __future__ import annotations
 
@@ -27,17 +28,28 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id in each group."""
-    groups = partenum.near_duplicates(docs)
-    gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of the smallest id in each group, and one of rows that repeat both id and text."""
+    docs = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    groups = partenum.near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text"))
+    groups = groups.groupBy(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).agg(F.count("*").alias("_n"))
+    own = docs.where("doc_id is not null").select("_row", "doc_id").distinct()
+    own = materialize(own.join(groups, "_row"), "own")
+    least = own.groupBy("_group").agg(F.min(F.struct("doc_id", "_row")).alias("_least"), F.count("*").alias("_size")).where("_size > 1")
+    gone = materialize(own.join(least, "_group").where("_row <> _least._row").select("_row"), "gone")
+    again = materialize(own.where("_n > 1").select("_row"), "again")
+    kept = docs.join(gone, "_row", "left_anti")
+    if again.isEmpty():
+        return kept.select(*COLUMNS)
+    one = kept.join(again, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return kept.join(again, "_row", "left_anti").select(*COLUMNS).union(one)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark items."""
-    leaks = templates.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    gone = materialize(leaks.select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = docs.withColumn("_row", F.xxhash64("text"))  # a leak is a matter of the text alone
+    leaks = templates.find_leaks(docs.select(F.col("_row").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    gone = materialize(leaks.select(F.col("doc_id").alias("_row")).distinct(), "gone")
+    return docs.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
