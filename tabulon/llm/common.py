@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,12 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where a local session names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tabulon.scratch", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='tabulon-')}"
         spark.conf.set("spark.tabulon.scratch", path)
     return path
@@ -61,6 +66,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize() wrote and nothing reads any more."""
     for table in tables:
+        if not hasattr(table, "_written_at"):
+            continue
         jvm = table.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(table._written_at)
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -102,25 +109,56 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tidy(run: Callable) -> Callable:
+    """Wraps a function of Arrow batches: what a task needed goes back to the system at its end, as workers live on."""
+
+    @wraps(run)
+    def tidied(*args):
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return tidied
+
+
+def grown(array: np.ndarray, used: int, fresh: np.ndarray) -> np.ndarray:
+    """array with fresh behind its first used places; its room doubles where it is too small."""
+    if used + len(fresh) > len(array):
+        array, old = np.empty(max(2 * len(array), used + len(fresh)), fresh.dtype), array
+        array[:used] = old[:used]
+    array[used : used + len(fresh)] = fresh
+    return array
+
+
 class ChunkTable:
-    """Rows of numbers that describe words, worked out once per word: texts repeat their words. Emptied beyond limit."""
+    """Rows of numbers that describe words, worked out once per word: texts repeat their words. Emptied beyond max_bytes
+    (an estimate of what its words take), between two calls of rows()."""
 
-    def __init__(self, describe: Callable[[list], list[np.ndarray]], limit: int = 300_000):
-        self.describe, self.limit, self.at, self.columns = describe, limit, {}, []
+    WORD = 200  # bytes of a short word with its place in the table
+
+    def __init__(self, describe: Callable[[list], list[np.ndarray]], max_bytes: int = 24 << 20):
+        self.describe, self.max_bytes = describe, max_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.at, self.columns, self.taken = {}, [], 0
 
     def rows(self, words: list) -> np.ndarray:
-        """The row of every word; columns[k][rows] are its numbers."""
-        if len(self.at) > self.limit:
-            self.at, self.columns = {}, []
+        """The row of every word; columns[k][rows] are its numbers (columns may have room behind the last row)."""
+        if self.taken > self.max_bytes:
+            self.clear()
         get = self.at.get
         out = np.array([get(w, -1) for w in words], np.int64)
         missing = np.flatnonzero(out < 0)
         if len(missing) or not self.columns:
             new = list(dict.fromkeys(words[i] for i in missing))
-            size = len(self.at)
+            size, fresh = len(self.at), self.describe(new)
+            self.columns = [grown(c, size, x) for c, x in zip(self.columns, fresh, strict=True)] if self.columns else fresh
             self.at.update(zip(new, range(size, size + len(new)), strict=True))
-            fresh = self.describe(new)
-            self.columns = [np.concatenate(x) for x in zip(self.columns, fresh, strict=True)] if self.columns else fresh
+            self.taken += self.WORD * len(new) + sum(map(len, new))
             out[missing] = [get(words[i]) for i in missing]
         return out
 
@@ -166,10 +204,24 @@ def bitmap(keys: DataFrame, column: str, bits: int) -> bytes:
     return bytes(out)
 
 
-def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which of the unsigned keys the unpacked bitmap may hold; no false negatives."""
-    mask = np.uint64(len(bits) - 1)
-    return (bits[(keys & mask).astype(np.int64)] & bits[((keys >> np.uint64(24)) & mask).astype(np.int64)]).astype(bool)
+def in_bitmap(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Which of the unsigned keys the bitmap may hold; no false negatives."""
+    packed = np.frombuffer(bits, np.uint8)
+    mask = np.uint64(8 * len(packed) - 1)
+
+    def flag(slots: np.ndarray) -> np.ndarray:
+        slots = slots & mask
+        return packed[(slots >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (slots & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
+
+    return (flag(keys) & flag(keys >> np.uint64(24))).astype(bool)
+
+
+def bitmap_bits(keys: int, most: int = 1 << 28) -> int:
+    """How many bits a bitmap of so many keys gets: 16 a key or more as far as most allows, a bound that stays (32 MB)."""
+    bits = BLOCK
+    while bits < min(16 * keys, most):
+        bits *= 2
+    return bits
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -190,7 +242,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        links = materialize(small.where("u <> v").distinct(), "links")
+        last, links = links, materialize(small.where("u <> v").distinct(), "links")
+        discard(last)
         now = links.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
@@ -198,4 +251,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     else:
         raise RuntimeError("components did not settle")
     roots = links.groupBy("u").agg(F.min("v").alias("component"))
-    return roots.select(F.col("u").alias("id"), "component").union(roots.select(F.col("component").alias("id"), "component").distinct())
+    out = materialize(roots.select(F.col("u").alias("id"), "component").union(roots.select(F.col("component").alias("id"), "component").distinct()), "components")
+    discard(links)
+    return out

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ChunkTable, hash_text, mix64, read_table, small_batches
+from .common import ChunkTable, hash_text, mix64, read_table, small_batches, tidy
 
 _RUNS = [(re.compile(p), r) for p, r in ((r"[^\W\d_a-zß-öø-ÿ]+", "A"), (r"[a-zß-öø-ÿ]+", "a"), (r"\d+", "9"), (r"([^\w\s])\1+", r"\1\1"))]
 
@@ -21,7 +21,7 @@ _RUNS = [(re.compile(p), r) for p, r in ((r"[^\W\d_a-zß-öø-ÿ]+", "A"), (r"[a
 def _shape(word: str) -> str:
     for pattern, into in _RUNS:
         word = pattern.sub(into, word)
-    return word[:12]
+    return word
 
 
 def _describe(words: list[str]) -> list[np.ndarray]:
@@ -105,25 +105,27 @@ def platt(m: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]
     return float(c[0]), float(c[1])
 
 
-def fit_rows(rows: list[np.ndarray], label: np.ndarray, bits: int, cost: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float, float, float]:
-    """Indices of the features that count, their log-count ratios and weights (interleaved), bias, and Platt's two numbers."""
+def fit_rows(rows: list[np.ndarray], label: np.ndarray, cost: float, rounds: int) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """The features that count, their log-count ratios and weights (interleaved), bias, and Platt's two numbers."""
     y = np.where(label > 0, 1.0, -1.0)
     if len(y) < 10 or len(set(y.tolist())) < 2:  # nothing to tell apart: the share of label 1, for every text
         share = (float((y > 0).sum()) + 1) / (len(y) + 2)
         return np.zeros(0, np.int32), np.zeros((0, 2)), 0.0, 0.0, float(np.log(share / (1 - share)))
+    names = np.unique(np.concatenate(rows))
+    rows = [np.searchsorted(names, r).astype(np.int32) for r in rows]  # only features that occur take room
     seen, fold = np.zeros(len(y)), np.arange(len(y)) % 3
     for k in range(3):
         own = [rows[i] for i in np.flatnonzero(fold != k)]
         if len(set(y[fold != k].tolist())) < 2:
             continue
-        r = log_count_ratios(own, y[fold != k], 1 << bits)
+        r = log_count_ratios(own, y[fold != k], len(names))
         w, bias = dual_coordinate_descent(own, r, y[fold != k], cost, rounds)
         seen[fold == k] = margins([rows[i] for i in np.flatnonzero(fold == k)], r, w, bias)
     slope, offset = platt(seen, y)
-    r = log_count_ratios(rows, y, 1 << bits)
+    r = log_count_ratios(rows, y, len(names))
     w, bias = dual_coordinate_descent(rows, r, y, cost, rounds)
-    used = np.flatnonzero(r != 0).astype(np.int32)
-    return used, np.column_stack([r[used], w[used]]), bias, slope, offset
+    used = np.flatnonzero(r != 0)
+    return names[used].astype(np.int32), np.column_stack([r[used], w[used]]), bias, slope, offset
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
@@ -137,6 +139,7 @@ def train_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) ->
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 6000, bits: int = 21, cost: float = 1.0, rounds: int = 15) -> tuple:
     """The model, fitted in one task on a sample bounded by max_rows (documented bound: its features, not the corpus, meet there)."""
 
+    @tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Indicators(bits)
         for batch in small_batches(batches, "text"):
@@ -145,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(order=mix64(rows["doc_id"].fillna(-1).to_numpy().astype(np.int64).astype(np.uint64))).sort_values(["order", "doc_id"]).head(2 * max_rows)
-        used, pair, bias, slope, offset = fit_rows([np.frombuffer(f, np.int32) for f in rows["features"]], rows["label"].to_numpy(), bits, cost, rounds)
+        used, pair, bias, slope, offset = fit_rows([np.frombuffer(f, np.int32) for f in rows["features"]], rows["label"].to_numpy(), cost, rounds)
         return pd.DataFrame({"used": [used.tobytes()], "pair": [pair.astype(np.float64).tobytes()], "bias": [bias], "slope": [slope], "offset": [offset]})
 
     sample = train_rows(docs, labels, label, max_rows).mapInArrow(features, "doc_id long, label int, features binary")
@@ -158,6 +161,7 @@ def score(docs: DataFrame, model: tuple, out: str = "score") -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     fields = docs.drop(out)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used, pair, bias, slope, offset, bits = shipped.value
         own, used, pair = Indicators(bits), np.frombuffer(used, np.int32), np.frombuffer(pair).reshape(-1, 2)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, read_table, small_batches
+from .common import ChunkTable, grown, read_table, small_batches, tidy
 
 END = 2
 _TOKENIZERS: dict = {}
@@ -44,7 +44,8 @@ class WordIds:
     MARK = "\x01"
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.table, self.flat = tokenizer, ChunkTable(self.describe, 800_000), np.zeros(0, np.uint32)
+        self.tokenizer, self.table, self.flat = tokenizer, ChunkTable(self.describe), np.zeros(0, np.uint32)
+        self.used = 0
         mark = self.ids(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
 
@@ -53,8 +54,8 @@ class WordIds:
 
     def describe(self, words: list[str]) -> list[np.ndarray]:
         """Start and size of every word's ids in flat; many words are encoded in one text, a mark between them."""
-        if not self.table.columns:
-            self.flat = np.zeros(0, np.uint32)
+        if not self.table.at:
+            self.forget()
         flat, sizes = [], []
         for i in range(0, len(words), 5000):
             own = words[i : i + 5000]
@@ -68,10 +69,17 @@ class WordIds:
                 sizes.append(np.array([len(x) for x in each]))
                 flat.append(np.concatenate(each))
         n = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-        starts = len(self.flat) + np.cumsum(n) - n
-        self.flat = np.concatenate([self.flat, *flat])
+        starts = self.used + np.cumsum(n) - n
+        for ids in flat:
+            self.flat = grown(self.flat, self.used, ids)
+            self.used += len(ids)
         return [starts, n]
 
+    def forget(self) -> None:
+        """Empties the table of words; the tokenizer stays."""
+        self.table.clear()
+        self.flat, self.used = np.zeros(0, np.uint32), 0
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts back to back, each with END behind it; the offset of each text."""
         words: list[str] = []
@@ -93,8 +101,10 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     """Pieces of every document's ids: cuts at multiples of capacity."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(tokenizer)
+        encode.forget()
         for batch in small_batches(batches, "text"):
             ids, at = encode([t or "" for t in batch.column("text").to_pylist()])
             rows = []
@@ -104,6 +114,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
                     rows.append((doc, s - a, e - s, zlib.crc32(ids[s:e].astype("<u4").tobytes()), b - a))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encode.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

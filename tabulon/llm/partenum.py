@@ -1,9 +1,10 @@
 """Jaccard join of word shingles by PartEnum signatures, and the groups that its links connect.
 
-The feature domain (64-bit shingle hashes) is cut into N ranges; a set's part of one range is one signature. Sets of sizes in
-one band that differ in H features agree on N - H ranges at least. Of all signatures a set keeps its H_max + 1 + t fullest
-(H_max: the most features in which it may differ from any set it links with; t: a slack that all sets of a band share), so
-that linked sets share t + 1 of those they keep. Sets below SMALL features take every feature as a range of its own."""
+Sets of one band of sizes that link differ in H features at most. The feature domain (64-bit shingle hashes) is cut into n1
+first-level partitions of THIRDS second-level ones, n1 so large that in some first-level partition two linked sets differ in
+one feature at most, that is in one second-level partition. Every subset that leaves one second-level partition out makes a
+signature: the features of the others. A set that may differ in H features loses so many signatures at most, so that linked
+sets share one of the fullest that they show, in an order that both know (fill, then value)."""
 
 from __future__ import annotations
 
@@ -17,85 +18,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ChunkTable, bitmap, components, in_bitmap, materialize, mix64, read_table, small_batches, text_bytes, window_hashes
+from .common import ChunkTable, bitmap, bitmap_bits, components, discard, in_bitmap, materialize, mix64, read_table, small_batches, text_bytes, tidy, window_hashes
 
-SMALL = 64
-#: The low bits of a signature name its scheme: 0 for single features, else the band.
-SCHEME_BITS = 6
+#: Second-level partitions of a first-level one; subsets leave one of them out.
+THIRDS = 3
+#: Bits of a signature that name how full it is (the fullest come first) and its band.
+FILL_BITS, BAND_BITS = 6, 6
 
 
-@lru_cache(maxsize=None)
-def most_apart(m: int, percent: int) -> int:
-    """The most features in which a set of m may differ from one that it links with."""
-    best = 0
-    for other in range(-(-m * percent // 100), m * 100 // percent + 1):
-        common = -(-percent * (m + other) // (100 + percent))
-        if common <= min(m, other):
-            best = max(best, m + other - 2 * common)
-    return best
+def bands(m: int, percent: int) -> range:
+    """Bands (2^b to 2^(b+1) - 1 features) that hold the larger one of a pair in which a set of m features may be."""
+    return range(m.bit_length() - 1, (m * 100 // percent).bit_length())
 
 
-def slack(scheme: int) -> int:
-    return int(0.15 * (1 << scheme))
+@lru_cache(maxsize=100_000)
+def most_apart(m: int, band: int, percent: int) -> int:
+    """The most features in which a set of m may differ from one that it links with, the larger one being of that band; -1 if
+    there is none."""
+    low = -(-m * percent // 100) if band == m.bit_length() - 1 else 1 << band
+    other = np.arange(low, min(m * 100 // percent, (2 << band) - 1) + 1)
+    common = -(-percent * (m + other) // (100 + percent))
+    apart = (m + other - 2 * common)[common <= np.minimum(m, other)]
+    return int(apart.max(initial=-1))
 
 
 @lru_cache(maxsize=None)
-def schemes(m: int, percent: int) -> tuple[int, ...]:
-    """Where a set of m features must show itself so that it meets all partners, smaller and larger."""
-    out = []
-    if m * percent < SMALL * 100:
-        out.append(0)
-    if m >= SMALL:
-        own = m.bit_length() - 1
-        out.append(own)
-        if m * 100 // percent >= 2 << own:
-            out.append(own + 1)
-    return tuple(out)
-
+def first_level(band: int, percent: int) -> int:
+    """How many first-level partitions a band has: half of the most features in which any two of its sets differ, and one."""
+    return 2 * ((2 << band) - 1) * (100 - percent) // (100 + percent) // 2 + 1
 
-@lru_cache(maxsize=None)
-def kept(m: int, scheme: int, percent: int) -> tuple[int, int]:
-    """How many signatures a set shows in a scheme, and how many of them it may lose: linked sets share one more than that."""
-    if scheme == 0:  # the sets hold at least so many features in common
-        least = min(-(-percent * (m + o) // (100 + percent)) for o in range(-(-m * percent // 100), m * 100 // percent + 1))
-        return m, least - 1
-    return most_apart(m, percent) + 1 + slack(scheme), slack(scheme)
 
-
-def ranges(scheme: int) -> int:
-    return (3 << scheme) // 4
+def shown(m: int, band: int, percent: int) -> int:
+    """How many signatures a set shows: one more than it may lose. Features that differ cost two each while they lie in
+    partitions of their own, and one each beyond that."""
+    apart, n = most_apart(m, band, percent), first_level(band, percent)
+    return min(2 * apart, n + apart) + 1 if apart >= 0 else 0
 
 
 def signatures(features: np.ndarray, percent: int) -> np.ndarray:
     """All signatures that a sorted set of features shows."""
     m, out = len(features), []
-    if m < 4:  # only equal sets link
-        return np.zeros(0, np.uint64)
-    for scheme in schemes(m, percent):
-        if scheme == 0:
-            sig = mix64(features)
-        else:
-            n, (show, _) = ranges(scheme), kept(m, scheme, percent)
-            part = ((features >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # ranges rise with the features
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            sums = np.add.reduceat(features, first)
-            fill = np.diff(np.append(first, m))
-            sig = mix64(sums + part[first] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(scheme))
-            if len(sig) > show:
-                sig = sig[np.lexsort((sig, -fill))[:show]]
-            elif len(sig) < show:  # empty ranges come last in the order
-                empty = np.setdiff1d(np.arange(n, dtype=np.uint64), part[first])
-                more = np.sort(mix64(empty * np.uint64(0x9E3779B97F4A7C15) + np.uint64(scheme)))
-                sig = np.concatenate([sig, more[: show - len(sig)]])
-        out.append((sig >> np.uint64(SCHEME_BITS) << np.uint64(SCHEME_BITS)) | np.uint64(scheme))
-    return np.concatenate(out)
+    for band in bands(m, percent) if m else ():
+        if not (show := shown(m, band, percent)):
+            continue
+        size = THIRDS * first_level(band, percent)
+        part = (((features >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64)  # rises with the features
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        sums, fill = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        sums[part[first]] = np.add.reduceat(features, first)
+        fill[part[first]] = np.diff(np.append(first, m))
+        own = mix64(sums + np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1, THIRDS)
+        fill = fill.reshape(-1, THIRDS)
+        left = mix64((own.sum(1, keepdims=True, dtype=np.uint64) - own).ravel())
+        empty = (1 << FILL_BITS) - 1 - np.minimum((fill.sum(1, keepdims=True) - fill).ravel(), (1 << FILL_BITS) - 1)
+        sig = (empty.astype(np.uint64) << np.uint64(64 - FILL_BITS)) | (left >> np.uint64(FILL_BITS + BAND_BITS) << np.uint64(BAND_BITS)) | np.uint64(band)
+        out.append(np.partition(sig, show - 1)[:show] if show < len(sig) else sig)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 class Shingles:
     """Sorted distinct shingle hashes of texts: A-Z lower-cased, words between blanks, width words each; fewer words are one."""
 
     def __init__(self, width: int):
-        self.width, self.table = width, ChunkTable(lambda words: [np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)], 800_000)
+        self.width, self.table = width, ChunkTable(lambda words: [np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)])
 
     def __call__(self, column: pa.Array) -> list[np.ndarray]:
         data, at = text_bytes(column)
@@ -113,39 +98,49 @@ class Shingles:
         return out
 
 
-def set_code(features: np.ndarray) -> int:
-    """A 64-bit hash of a whole set: equal sets are one vertex."""
+def set_codes(features: np.ndarray, bits: int) -> tuple[int, int]:
+    """Two hashes of a whole set: the code by which it goes (of so many bits), and one that tells sets of equal codes apart."""
     a, b = int(np.add.reduce(features, dtype=np.uint64)), int(np.bitwise_xor.reduce(features))
-    return xxhash.xxh64_intdigest(a.to_bytes(8, "little") + b.to_bytes(8, "little")) >> 1
+    key = a.to_bytes(8, "little") + b.to_bytes(8, "little") + len(features).to_bytes(8, "little")
+    return xxhash.xxh64_intdigest(key) >> (64 - bits), int(np.add.reduce(mix64(features), dtype=np.uint64)) >> 1
+
+
+def vertex(codes: tuple[int, int], taken: frozenset[int]) -> int:
+    """A set's code, or its second one (negative) where different sets have the first."""
+    return -1 - codes[1] if codes[0] in taken else codes[0]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and v, the code of the document's set (null for an empty one)."""
+def set_rows(docs: DataFrame, width: int, bits: int) -> DataFrame:
+    """doc_id, n_shingles and the two codes of the document's set (null for an empty one)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in small_batches(batches, "text"):
             sets = shingles(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_code(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "v"])
+            codes = [set_codes(s, bits) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], *zip(*codes, strict=True)))], names=["doc_id", "n_shingles", "v", "w"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, v long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, v long, w long")
 
 
-def signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(sig, v) of every set, once for each task that meets the set."""
+def signature_rows(docs: DataFrame, width: int, percent: int, bits: int, taken: frozenset[int]) -> DataFrame:
+    """(sig, v) of every set, mostly once for each task that meets the set."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, met = Shingles(width), set()
         for batch in small_batches(batches, "text"):
             sigs, codes = [], []
             for s in shingles(batch.column("text")):
-                if len(s) >= 4 and (v := set_code(s)) not in met:
-                    if len(met) < 1_000_000:
-                        met.add(v)
+                if len(s) and (v := vertex(set_codes(s, bits), taken)) not in met:
+                    if len(met) >= 100_000:
+                        met.clear()
+                    met.add(v)
                     own = signatures(s, percent)
                     sigs.append(own)
                     codes.append(np.full(len(own), v, np.int64))
@@ -158,6 +153,7 @@ def signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def shared_rows(rows: DataFrame) -> DataFrame:
     """Those (sig, v) whose sig several v have. The rows of a partition come sorted; one row is carried from batch to batch."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, v, joined = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, and whether it matched the one before
 
@@ -184,26 +180,28 @@ def shared_rows(rows: DataFrame) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig", "v").mapInArrow(run, "sig long, v long")
 
 
-def fetch_sets(docs: DataFrame, vertices: DataFrame, width: int, bits: int) -> DataFrame:
-    """(v, features) of vertices(v, doc_id), worked out again from the text of doc_id; a fixed-size bitmap of these ids passes
-    over the other texts. It may let some more through, which harms nothing. Texts without id are always read."""
-    seen = docs.sparkSession.sparkContext.broadcast(bitmap(vertices.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h")), "h", bits))
+def fetch_sets(docs: DataFrame, vertices: DataFrame, width: int, bits: int, taken: frozenset[int]) -> DataFrame:
+    """(v, features) of vertices(v, doc_id), worked out again from the text of doc_id. A bitmap of these ids, of a size with a
+    bound, passes over most other texts; the join then leaves what it let through. Texts without id are always read."""
+    ids = vertices.where("doc_id is not null").select(F.xxhash64("doc_id").alias("h"))
+    seen = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "h", bitmap_bits(ids.count())))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, shingles = np.unpackbits(np.frombuffer(seen.value, np.uint8)), Shingles(width)
+        shingles = Shingles(width)
         for batch in small_batches(batches, "text"):
             ids = batch.column("doc_id").to_pylist()
             keys = np.array([0 if d is None else xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42) for d in ids], np.uint64)
-            batch = batch.filter(pa.array(in_bitmap(flags, keys) | np.array([d is None for d in ids])))
+            batch = batch.filter(pa.array(in_bitmap(seen.value, keys) | np.array([d is None for d in ids])))
             if not batch.num_rows:
                 continue
-            sets = [s for s in shingles(batch.column("text")) if len(s) >= 4]
+            sets = [s for s in shingles(batch.column("text")) if len(s)]
             if sets:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([set_code(s) for s in sets], pa.int64()), lists], names=["v", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array([vertex(set_codes(s, bits), taken) for s in sets], pa.int64()), lists], names=["v", "features"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, "v long, features array<long>")
-    return found.groupBy("v").agg(F.first("features").alias("features"))
+    return found.groupBy("v").agg(F.first("features").alias("features")).join(vertices.select("v"), "v", "left_semi")
 
 
 def shareable(sets: DataFrame) -> DataFrame:
@@ -221,36 +219,32 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out.select("a", "b", "common", "total", (100 * F.col("common") >= percent * F.col("total")).alias("linked"))
 
 
-def candidates(docs: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(sig, v): the rarest shared signatures by which every linked pair still meets.
-
-    Linked sets share t + 1 of the signatures that they show; without its t most frequent ones each still has one of them."""
-    shared = materialize(shared_rows(signature_rows(docs, width, percent)), "shared")
+def candidates(docs: DataFrame, sizes: DataFrame, width: int, percent: int, bits: int, taken: frozenset[int]) -> DataFrame:
+    """(sig, v, size, weight) of the signatures that several sets show; weight is how much of the set others have, large in the
+    middle of a group."""
+    shared = materialize(shared_rows(signature_rows(docs, width, percent, bits, taken)), "shared")
     counts = shared.groupBy("sig").agg(F.count("*").alias("n"))
-    rows = shared.join(counts, "sig").withColumn("scheme", F.col("sig").bitwiseAND((1 << SCHEME_BITS) - 1).cast("int"))
-    rows = rows.join(sizes.select("v", "size"), "v")
-    # the slack t of kept(), as an expression
-    m = F.col("size")
-    low = F.ceil(m * percent / 100)
-    small = F.ceil((m + low) * percent / (100 + percent)) - 1
-    t = F.when(F.col("scheme") == 0, small).otherwise(F.floor(F.pow(F.lit(2.0), F.col("scheme")) * 0.15))
-    place = F.row_number().over(W.partitionBy("v", "scheme").orderBy(F.desc("n"), F.desc("sig")))
-    weight = F.sum("n").over(W.partitionBy("v"))  # how much of the set others have: large in the middle of a group
-    return rows.withColumns({"place": place, "weight": weight}).where(F.col("place") > t).select("sig", "v", "size", "weight")
-
-
-def linked_sets(docs: DataFrame, sizes: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
-    """Links (a, b) whose components are those of all links.
-
-    Sets of which too many features are nobody else's are left out. Within every signature all members are first compared with one leader, which settles most groups in linear work. Members
-    that are left in another component than their leader are then compared with those members of the same leader that neither
-    their own features nor the triangle inequality of the Jaccard distance rule out."""
-    cand = materialize(candidates(docs, sizes, width, percent), "cand")
-    sets = materialize(fetch_sets(docs, cand.select("v").distinct().join(sizes, "v").select("v", "doc_id"), width, bits), "sets")
-    cand = cand.join(shareable(sets), "v").where(100 * F.col("most") >= percent * F.col("size"))
+    rows = shared.join(counts, "sig").join(sizes.select("v", "size"), "v")
+    out = materialize(rows.withColumn("weight", F.sum("n").over(W.partitionBy("v"))).select("sig", "v", "size", "weight"), "cand")
+    discard(shared)
+    return out
+
+
+def linked_sets(docs: DataFrame, sizes: DataFrame, width: int, percent: int, bits: int, taken: frozenset[int]) -> DataFrame:
+    """Links (a, b), a written table, whose components are those of all links.
+
+    Sets of which too many features are nobody else's are left out. Within every signature all members are first compared with
+    one leader, which settles most groups in linear work. Members that are left in another component than their leader are then
+    compared with those members of the same leader that neither their own features nor the triangle inequality of the Jaccard
+    distance rule out."""
+    posted = candidates(docs, sizes, width, percent, bits, taken)
+    vertices = materialize(posted.select("v").distinct().join(sizes, "v").select("v", "doc_id"), "vertices")
+    sets = materialize(fetch_sets(docs, vertices, width, bits, taken), "sets")
+    cand = posted.join(shareable(sets), "v").where(100 * F.col("most") >= percent * F.col("size"))
     heads = cand.groupBy("sig").agg(F.max(F.struct("weight", "v", "size", "most")).alias("head"), F.count("*").alias("n")).where("n > 1")
     cand = cand.join(heads.select("sig", F.col("head.v").alias("head"), F.col("head.size").alias("head_size"), F.col("head.most").alias("head_most")), "sig")
     cand = materialize(cand, "cand")
+    discard(posted, vertices)
 
     def near(x, y, p, q):  # by size x, y and features that others have p, q
         common = F.least(p, q)
@@ -281,22 +275,33 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, width: int, percent: int, bit
     apart = once & (F.col("x.component") != F.col("y.component")) & near(F.col("x.size"), F.col("y.size"), F.col("x.most"), F.col("y.most")) & (F.col("x.low") - F.col("y.high") <= gap) & (F.col("y.low") - F.col("x.high") <= gap)
     rest = x.join(y, (F.col("x.head") == F.col("y.head")) & apart).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
     rest = rest.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return links.union(materialize(compare(rest, sets, percent), "rest").where("linked").select("a", "b"))
+    out = materialize(links.union(compare(rest, sets, percent).where("linked").select("a", "b")), "links")
+    discard(cand, sets, first, far, groups)
+    return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 1 << 25) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bits: int = 63) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, the smallest doc_id that links reach.
 
     Documents link when the sets of their width-word shingles have percent / 100 or more of their union in common. A text of
     fewer words is one shingle; one without words (null, empty, blank) links with nothing. Repeated ids are one document in
-    all but the row count; rows with a null id keep the smallest id of their group, or null."""
+    all but the row count; rows with a null id keep the smallest id of their group, or null. Sets go by a code of so many bits;
+    sets that differ in a second hash of 63 bits are told apart where their codes do not."""
     docs = docs.select("doc_id", "text")
-    rows = materialize(set_rows(docs, width), "rows")
-    sizes = rows.where("v is not null").groupBy("v").agg(F.first("n_shingles").cast("int").alias("size"), F.min("doc_id").alias("doc_id"))
-    groups = components(linked_sets(docs, sizes, width, percent, bits)).withColumnRenamed("id", "v")
-    rows = rows.join(groups, "v", "left").withColumn("component", F.coalesce("component", "v"))
-    least = rows.where("v is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = materialize(set_rows(docs, width, bits), "rows")
+    sizes = rows.where("v is not null").groupBy("v").agg(F.min("w").alias("w"), F.max("w").alias("other"))
+    taken = frozenset(r[0] for r in sizes.where("w <> other").select("v").collect())  # at 63 bits about three among 10^10 sets
+    if taken:
+        rows = rows.withColumn("v", F.when(F.col("v").isin(list(taken)), -1 - F.col("w")).otherwise(F.col("v")))
+    sizes = materialize(rows.where("v is not null").groupBy("v").agg(F.first("n_shingles").cast("int").alias("size"), F.min("doc_id").alias("doc_id")), "sizes")
+    links = linked_sets(docs, sizes, width, percent, bits, taken)
+    groups = components(links)
+    own = materialize(sizes.join(groups.withColumnRenamed("id", "v"), "v", "left").select("v", "doc_id", "component"), "own")
+    # written first, so that the join below is one that Spark splits where a component holds much of the table
+    least = materialize(own.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    ids = materialize(own.join(least, "component", "left").select("v", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")), "ids")
+    discard(links, groups, own, least, sizes)
+    return rows.join(ids, "v", "left").select("doc_id", "n_shingles", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,6 @@ def window_rows(df: DataFrame, keys: list[str], width: int, widths: list[int] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
-        flags = np.unpackbits(np.frombuffer(seen.value, np.uint8)) if seen is not None else None
         for batch in small_batches(batches, "text"):
             raw, codes, slot, told, words, doc = templates([t or "" for t in batch.column("text").to_pylist()])
             size = np.bincount(doc, minlength=batch.num_rows)
@@ -109,7 +108,7 @@ def window_rows(df: DataFrame, keys: list[str], width: int, widths: list[int] |
             out: list[list] = [[] for _ in range(8)]
             for w in widths or range(1, width + 1):
                 at, h, exact = windows(raw, codes, slot, doc, w)
-                keep = in_bitmap(flags, h) if flags is not None else np.ones(len(h), bool)
+                keep = in_bitmap(seen.value, h) if seen is not None else np.ones(len(h), bool)
                 if widths is None:
                     keep &= np.minimum(size[doc[at]], width) == w
                 for i, x, own in zip(at[keep].tolist(), h[keep].tolist(), exact[keep].tolist(), strict=True):
