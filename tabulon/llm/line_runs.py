@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, materialize, read_table
+from .common import BLANKS, ascii_lower, discard, materialize, read_table
 
 HASH = ["h1", "h2"]
 
 
 class Runs:
-    """Sorted runs of (h1, h2) in levels; fanout runs of one level are compacted into one of the next."""
+    """Sorted runs of (h1, h2) in levels; fanout runs of one level are compacted into one of the next, in one write for all
+    levels that fill up at once."""
 
-    def __init__(self, fanout: int = 4):
+    def __init__(self, fanout: int = 2):
         self.fanout, self.levels = fanout, []
 
     def all(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    def add(self, run: DataFrame, level: int = 0) -> None:
-        while len(self.levels) <= level:
+    def add(self, run: DataFrame) -> None:
+        level, old = 0, []
+        while level < len(self.levels) and len(self.levels[level]) + 1 >= self.fanout:
+            old, self.levels[level], level = old + self.levels[level], [], level + 1
+        if level == len(self.levels):
             self.levels.append([])
+        for other in old:
+            run = run.union(other)
         self.levels[level].append(materialize(run.repartition(*HASH).sortWithinPartitions(*HASH), "run"))
-        if len(self.levels[level]) >= self.fanout:
-            merged, self.levels[level] = self.levels[level], []
-            for other in merged[1:]:
-                merged[0] = merged[0].union(other)
-            self.add(merged[0], level + 1)
+        discard(*old)
 
 
 def line_key(line: Column) -> Column:
@@ -54,14 +56,23 @@ def _batches(docs: DataFrame, batches: int) -> list[Column]:
     return out
 
 
-def repeated_lines(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout: int = 4) -> DataFrame:
-    """(doc_id, pos) of every line to drop: its key has min_chars or more code points and a smaller doc_id holds it too.
+def batch_count(docs: DataFrame, fanout: int, rows_a_batch: int = 100_000_000) -> int:
+    """So many batches that two levels are compacted and read again, and more where a batch would be very large."""
+    return max(2 * fanout + 1, -(-docs.count() // rows_a_batch))
+
+
+TEXT = ["doc_id", "t1", "t2"]
+
+
+def repeated_lines(docs: DataFrame, batches: int, min_chars: int = 10, fanout: int = 2) -> DataFrame:
+    """(doc_id, t1, t2, pos) of every line to drop: its key has min_chars or more code points and a smaller doc_id holds it too.
+    t1 and t2 are hashes of the text, as several texts may have one id.
 
     Null ids sort first and are never dropped against each other."""
-    lines = docs.select("doc_id", F.posexplode(line_array(F.col("text"))).alias("pos", "line")).select("doc_id", "pos", line_key(F.col("line")).alias("k")).where(F.char_length("k") >= min_chars)
-    lines = lines.select("doc_id", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2"))
-    runs, drops = Runs(fanout), []
-    for batch in _batches(docs, batches):
+    lines = docs.select(*TEXT, F.posexplode(line_array(F.col("text"))).alias("pos", "line")).select(*TEXT, "pos", line_key(F.col("line")).alias("k")).where(F.char_length("k") >= min_chars)
+    lines = lines.select(*TEXT, "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2"))
+    runs, drops, ranges = Runs(fanout), [], _batches(docs, batches)
+    for n, batch in enumerate(ranges):
         here = lines.where(batch)
         keys = here.groupBy(*HASH).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("null_id"))
         for i, run in enumerate(runs.all()):
@@ -71,32 +82,37 @@ def repeated_lines(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanou
             seen = seen | F.col(f"in{i}").isNotNull()
         keys = materialize(keys.select(*HASH, "first", "last", "null_id", seen.alias("seen")), "keys")
         repeated = keys.where("seen or first < last or (null_id and first is not null)").select(*HASH, F.when(~F.col("seen") & ~F.col("null_id"), F.col("first")).alias("keeper"))
-        drops.append(materialize(here.join(repeated, HASH).where("doc_id is not null and (keeper is null or doc_id <> keeper)").select("doc_id", "pos"), "drops"))
-        runs.add(keys.where("not seen").select(*HASH))
+        drops.append(materialize(here.join(repeated, HASH).where("doc_id is not null and (keeper is null or doc_id <> keeper)").select(*TEXT, "pos"), "drops"))
+        if n + 1 < len(ranges):
+            runs.add(keys.where("not seen").select(*HASH))
+        discard(keys)
+    discard(*runs.all())
     out = drops[0]
     for d in drops[1:]:
         out = out.union(d)
     return out
 
 
-def dedup_lines(docs: DataFrame, batches: int = 4, min_chars: int = 10, fanout: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, batches: int | None = None, min_chars: int = 10, fanout: int = 2) -> DataFrame:
     """All columns of docs, with text the kept lines joined by a line feed, plus n_lines and n_dropped.
 
     Keys: lines stripped of blanks, A-Z lower-cased. A key of min_chars or more that several documents hold stays only in
     that of the smallest id, with all its lines there. Null and empty texts are one empty line. Rows that repeat an id
-    count as one document. An input column named n_lines or n_dropped is replaced."""
-    at = repeated_lines(docs, batches, min_chars, fanout).distinct().groupBy("doc_id").agg(F.collect_set("pos").alias("_at"))
-    at = at.withColumnRenamed("doc_id", "_id")
-    out = docs.drop("n_lines", "n_dropped").join(at.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
-    return _apply(out)
-
-
-def _apply(out: DataFrame) -> DataFrame:
-    out = out.withColumn("_lines", line_array(F.col("text"))).withColumn("n_lines", F.size("_lines").cast("long"))
-    out = out.withColumn("_kept", F.when(F.col("_at").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda line, i: ~F.array_contains("_at", i))))
-    text = F.when(F.col("_at").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("_kept", "\n"))
-    dropped = F.col("n_lines") - F.size("_kept")
-    return out.withColumns({"text": text, "n_dropped": dropped}).drop("_at", "_id", "_lines", "_kept")
+    are one document: they lose the same lines, and none for each other. An input column named n_lines or n_dropped is
+    replaced; other columns may have any names."""
+    new = ("n_lines", "n_dropped")
+    others = [c for c in docs.columns if c.lower() not in (*new, "doc_id", "text")]
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), F.struct(*([f"`{c}`" for c in others] or [F.lit(0).alias("none")])).alias("others"))
+    drops = repeated_lines(rows.drop("others"), batches or batch_count(rows, fanout), min_chars, fanout)
+    at = drops.groupBy(*TEXT).agg(F.collect_set("pos").alias("at"))
+    out = rows.join(at.hint("shuffle_hash"), TEXT, "left")
+    lines = line_array(F.col("text"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "at")  # places are distinct and stay in order
+    out = out.withColumn("lines", lines).withColumn("kept", F.when(F.col("at").isNotNull(), kept))
+    out = out.withColumns({"text": F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.col("lines")[i]), "\n")), "n_lines": F.size("lines").cast("long"), "n_dropped": F.when(F.col("at").isNull(), 0).otherwise(F.size("lines") - F.size("kept")).cast("long")})
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    return out.select(*[own.get(c.lower(), F.col("others").getField(c)).alias(c) for c in docs.columns if c.lower() not in new], *new)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
