@@ -2,8 +2,8 @@
 
 Of every run of SPAN bytes one position is an anchor: that of its least 16-byte hash (winnowing). Equal runs have equal anchors,
 so that suffixes need to be sorted at anchors only. A batch's suffix array is its anchors sorted by their first 16 bytes;
-it is merge-scanned with the levels before it, and levels of equal size merge. Prefixes that several texts have then lead
-to an exact comparison of the bytes around them."""
+it is merge-scanned with the levels before it, and levels of equal size merge. Ties, prefixes that several texts have, are
+then refined by the bytes around them, which may lie on both sides of an anchor."""
 
 from __future__ import annotations
 
@@ -11,11 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, read_table, small_batches, text_bytes
+from .common import discard, materialize, mix64, read_table, small_batches, text_bytes, tidy
 from .line_runs import _batches
 
 GRAM = 16
@@ -58,26 +57,23 @@ def prefixes(data: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return (grams ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _code(data: np.ndarray, a: int, b: int) -> int:
-    """Spark's xxhash64 of the text."""
-    x = xxhash.xxh64_intdigest(data[a:b].tobytes(), 42)
-    return x - (1 << 64) if x >> 63 else x
-
-
 def suffix_rows(docs: DataFrame, span: int) -> DataFrame:
-    """(p1, p2, v): the prefix at every anchor of every distinct text v, once for each task that meets the text."""
+    """Of docs(v, text): (p1, p2, v), the prefix at every anchor of every distinct text v, mostly once for each task that meets
+    the text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in small_batches(batches, "text"):
             data, at = text_bytes(batch.column("text"))
-            codes = [_code(data, a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            codes = batch.column("v").to_pylist()
             new = np.zeros(len(codes), bool)
             for i, v in enumerate(codes):
                 if v not in met:
                     new[i] = True
-                    if len(met) < 1_000_000:
-                        met.add(v)
+                    if len(met) >= 100_000:
+                        met.clear()
+                    met.add(v)
             pos, _, _ = anchors(data, at, span)
             doc = np.searchsorted(at, pos, "right") - 1
             keep = new[doc]
@@ -85,11 +81,12 @@ def suffix_rows(docs: DataFrame, span: int) -> DataFrame:
             if len(v):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1])), pa.array(v)], names=["p1", "p2", "v"])
 
-    return docs.select("text").mapInArrow(run, "p1 long, p2 long, v long")
+    return docs.select("v", "text").mapInArrow(run, "p1 long, p2 long, v long")
 
 
 class Levels:
-    """Sorted arrays of (p1, p2, v) with one v for each prefix; two of one level become one of the next."""
+    """Sorted arrays of (p1, p2, v) with one v for each prefix; two of one level become one of the next, in one write for all
+    levels that fill up at once."""
 
     def __init__(self):
         self.levels: list[DataFrame | None] = []
@@ -98,15 +95,17 @@ class Levels:
         return [x for x in self.levels if x is not None]
 
     def add(self, rows: DataFrame) -> None:
-        """rows: one for each prefix, written and sorted."""
-        at = 0
+        """rows: one for each prefix that no level has."""
+        at, old = 0, []
         while at < len(self.levels) and self.levels[at] is not None:
-            both, self.levels[at] = rows.union(self.levels[at]), None
-            rows = materialize(both.repartition("p1", "p2").sortWithinPartitions("p1", "p2"), "level")
-            at += 1
+            old.append(self.levels[at])
+            self.levels[at], at = None, at + 1
         if at == len(self.levels):
             self.levels.append(None)
-        self.levels[at] = rows
+        for other in old:
+            rows = rows.union(other)
+        self.levels[at] = materialize(rows.repartition("p1", "p2").sortWithinPartitions("p1", "p2") if old else rows, "level")
+        discard(*old)
 
 
 def merge_scan(rows: DataFrame, every: bool = False) -> DataFrame:
@@ -116,6 +115,7 @@ def merge_scan(rows: DataFrame, every: bool = False) -> DataFrame:
     names = ["p1", "p2", "v"]
     order = ["p1", "p2", *[F.desc("old")] * every, "v"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, joined = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)] * every, False
 
@@ -147,13 +147,20 @@ def merge_scan(rows: DataFrame, every: bool = False) -> DataFrame:
     return rows.select(*names, *["old"] * every).repartition("p1", "p2").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
+ROWS = "p1 long, p2 long, doc_id long, tag long, start long, stop long, hot boolean, body binary"
+NAMES = ["p1", "p2", "doc_id", "tag", "start", "stop", "hot", "body"]
+
+
 def contents(texts: DataFrame, span: int) -> DataFrame:
-    """texts(doc_id, text, shared: the prefixes in question) to rows of p1, p2, doc_id, start, stop and body, the bytes of all
-    runs that the anchor stands for. Bodies that the task has met in a smaller id are settled here: they make rows without
-    body, joined where they touch, under a prefix drawn from the id, so that very common bodies do not travel."""
+    """texts(doc_id, tag, text, shared: the prefixes in question, each with hot) to rows of ROWS: body has the bytes of all runs
+    that the anchor stands for. Bodies that the task has met in a smaller id are settled here: they make rows without body,
+    joined where they touch. Those, and bodies of hot prefixes, go to a place drawn from the id, so that what is very common
+    does not meet in one task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[bytes, int] = {}
+        as_key = lambda x: mix64(x[:, 0].view(np.uint64) * np.uint64(3) + mix64(np.ascontiguousarray(x[:, 1]).view(np.uint64) + mix64(np.ascontiguousarray(x[:, 2]).view(np.uint64))))
         for batch in small_batches(batches, "text"):
             data, at = text_bytes(batch.column("text"))
             pos, first, last = anchors(data, at, span)
@@ -163,55 +170,62 @@ def contents(texts: DataFrame, span: int) -> DataFrame:
             doc = np.searchsorted(at, pos, "right") - 1
             lists = batch.column("shared")
             flat = lists.flatten()
-            wanted = np.column_stack([flat.field("p1").to_numpy(), flat.field("p2").to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))])
-            rows = np.column_stack([p, doc])
-            as_key = lambda x: mix64(x[:, 0].view(np.uint64) * np.uint64(3) + mix64(np.ascontiguousarray(x[:, 1]).view(np.uint64) + mix64(np.ascontiguousarray(x[:, 2]).view(np.uint64))))
-            keep = np.flatnonzero(np.isin(as_key(np.ascontiguousarray(rows.astype(np.int64))), as_key(np.ascontiguousarray(wanted.astype(np.int64)))))
+            wanted = as_key(np.column_stack([flat.field("p1").to_numpy(), flat.field("p2").to_numpy(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64))
+            hot = flat.field("hot").to_numpy(zero_copy_only=False).astype(bool)
+            own_keys = as_key(np.ascontiguousarray(np.column_stack([p, doc]).astype(np.int64)))
+            keep = np.flatnonzero(np.isin(own_keys, wanted))
             if not len(keep):
                 continue
+            is_hot = np.isin(own_keys[keep], wanted[hot])
             whole = data.tobytes()
-            ids, base = batch.column("doc_id").to_pylist(), at[doc[keep]].tolist()
+            ids, tags, base = batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), at[doc[keep]].tolist()
             rows = []
-            for d, q1, q2, a, b, z in zip(doc[keep].tolist(), p[keep, 0].tolist(), p[keep, 1].tolist(), first[keep].tolist(), (last[keep] + span).tolist(), base, strict=True):
-                body, own = whole[a:b], ids[d]
+            for d, q1, q2, a, b, z, h in zip(doc[keep].tolist(), p[keep, 0].tolist(), p[keep, 1].tolist(), first[keep].tolist(), (last[keep] + span).tolist(), base, is_hot.tolist(), strict=True):
+                body, own, tag = whole[a:b], ids[d], tags[d]
                 if least.get(body, own) < own:
-                    if rows and rows[-1][5] is None and rows[-1][2] == own and rows[-1][4] >= a - z:
-                        rows[-1][4] = max(rows[-1][4], b - z)
+                    if rows and rows[-1][7] is None and rows[-1][2] == own and rows[-1][3] == tag and rows[-1][5] >= a - z:
+                        rows[-1][5] = max(rows[-1][5], b - z)
                     else:
-                        rows.append([own, own, own, a - z, b - z, None])
+                        rows.append([own, tag, own, tag, a - z, b - z, False, None])
                     continue
-                if body in least or len(least) < 200_000:
-                    least[body] = own
-                rows.append([q1, q2, own, a - z, b - z, body])
+                if len(least) >= 50_000:
+                    least.clear()
+                least[body] = own
+                rows.append([own, a - z, own, tag, a - z, b - z, True, body] if h else [q1, q2, own, tag, a - z, b - z, False, body])
             columns = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 5 else pa.binary()) for i, c in enumerate(columns)], names=["p1", "p2", "doc_id", "start", "stop", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 6 else pa.bool_() if i == 6 else pa.binary()) for i, c in enumerate(columns)], names=NAMES)
 
-    return texts.mapInArrow(run, "p1 long, p2 long, doc_id long, start long, stop long, body binary")
+    return texts.select("doc_id", "tag", "text", "shared").mapInArrow(run, ROWS)
 
 
 def repeats(rows: DataFrame, span: int, limit: int = 300_000) -> DataFrame:
-    """Of rows(p1, p2, doc_id, start, body): (doc_id, a, b) for bytes a to b that runs from smaller ids cover (what 0).
+    """Of ROWS: (doc_id, tag, a, b) for bytes a to b that runs from smaller ids cover (what 0).
 
     Rows come sorted by prefix and id. The runs of one prefix are kept in memory, limit at most: beyond it they are put out
-    (what 2, body a run, with the smallest id that has it), and so are the bodies that follow (what 1), to be grouped by run."""
+    (what 2, body a run, with the smallest id that has it), and so are the bodies that follow, and those of hot prefixes
+    (what 1), to be grouped by run."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, seen, whole, over = None, {}, {}, False
         for batch in batches:
             out: list[tuple] = []
-            for p1, p2, doc, start, stop, body in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for p1, p2, doc, tag, start, stop, hot, body in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if body is None:
-                    out.append((0, doc, start, stop, None))
+                    out.append((0, doc, tag, start, stop, None))
+                    continue
+                if hot:
+                    out.append((1, doc, tag, start, stop, body))
                     continue
                 if (p1, p2) != key:
                     key, seen, whole, over = (p1, p2), {}, {}, False
                 if whole.get(body, doc) < doc:
-                    out.append((0, doc, start, start + len(body), None))
+                    out.append((0, doc, tag, start, start + len(body), None))
                     continue
                 if len(whole) < limit:
                     whole.setdefault(body, doc)
                 if over:
-                    out.append((1, doc, start, start + len(body), body))
+                    out.append((1, doc, tag, start, start + len(body), body))
                     continue
                 begin = end = -1
                 for i in range(len(body) - span + 1):
@@ -220,73 +234,90 @@ def repeats(rows: DataFrame, span: int, limit: int = 300_000) -> DataFrame:
                             end = i + span
                         else:
                             if begin >= 0:
-                                out.append((0, doc, start + begin, start + end, None))
+                                out.append((0, doc, tag, start + begin, start + end, None))
                             begin, end = i, i + span
                 if begin >= 0:
-                    out.append((0, doc, start + begin, start + end, None))
+                    out.append((0, doc, tag, start + begin, start + end, None))
                 if len(seen) > limit:
                     over = True
-                    out += [(2, d, 0, span, w) for w, d in seen.items()]
+                    out += [(2, d, 0, 0, span, w) for w, d in seen.items()]
                     seen = {}
             if out:
-                what, doc, a, b, body = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(what, pa.int32()), pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(body, pa.binary())], names=["what", "doc_id", "a", "b", "body"])
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)], names=["what", "doc_id", "tag", "a", "b", "body"])
 
     rows = rows.repartition("p1", "p2").sortWithinPartitions("p1", "p2", "doc_id", "start")
-    return rows.mapInArrow(run, "what int, doc_id long, a long, b long, body binary")
+    return rows.mapInArrow(run, "what int, doc_id long, tag long, a long, b long, body binary")
 
 
 def grouped_runs(rest: DataFrame, span: int) -> DataFrame:
-    """The same for the rows that repeats() put out, run by run with partial aggregation."""
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("body") - span + 1), lambda i: F.sha2(F.substring("body", i, F.lit(span)), 256)))
-    runs = rest.select("what", "doc_id", "a", at.alias("i", "run"))
-    least = runs.groupBy("run").agg(F.min("doc_id").alias("least"))
-    return runs.where("what = 1").join(least, "run").where("least < doc_id").select("doc_id", (F.col("a") + F.col("i")).alias("a"), (F.col("a") + F.col("i") + span).alias("b"))
+    """The same for the rows that repeats() put out, run by run (known by two hashes) with partial aggregation."""
+    part = lambda i: F.substring("body", i, F.lit(span))
+    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("body") - span + 1), lambda i: F.struct(F.xxhash64(part(i)).alias("r1"), F.xxhash64(F.lit(7), part(i)).alias("r2"))))
+    runs = rest.select("what", "doc_id", "tag", "a", at.alias("i", "run")).select("what", "doc_id", "tag", (F.col("a") + F.col("i")).alias("a"), "run.r1", "run.r2")
+    # written first, so that the join is one that Spark splits where a run is very common
+    least = materialize(runs.groupBy("r1", "r2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "least")
+    return runs.where("what = 1").join(least, ["r1", "r2"]).where("least < doc_id").select("doc_id", "tag", "a", (F.col("a") + span).alias("b"))
 
 
-def cut_repeats(docs: DataFrame, span: int = 50, batches: int = 2, limit: int = 300_000) -> DataFrame:
+def cut_repeats(docs: DataFrame, span: int = 50, batches: int | None = None, limit: int = 300_000, hot: int = 10_000, rows_a_batch: int = 100_000_000) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay).
 
     A byte goes if a run of span bytes over it also starts in a document of a smaller id. Null text is empty. Rows with a null
-    id keep all their bytes and take none from others; rows that repeat an id with one text are one document."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    id keep all their bytes and take none from others; rows that repeat an id are one document, each with its own text. Prefixes
+    that more than hot texts have are settled run by run instead of in one task. At least four batches, so that levels merge
+    and are read again."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"v": F.xxhash64("text"), "w": F.xxhash64(F.lit(7), "text")})
     known = docs.where("doc_id is not null")
-    codes = known.select("doc_id", F.xxhash64("text").alias("v"), F.octet_length("text").alias("n"))
-    heads = materialize(codes.where(F.col("n") >= span).groupBy("v").agg(F.min("doc_id").alias("head")), "heads")
-    levels, shared, written = Levels(), [], []
-    ranges = _batches(known, batches)
+    codes = known.select("doc_id", "v", "w", F.octet_length("text").alias("n"))
+    heads = materialize(codes.where(F.col("n") >= span).groupBy("v", "w").agg(F.min("doc_id").alias("head")), "heads")
+    taken = [r[0] for r in heads.groupBy("v").count().where("count > 1").select("v").collect()]  # equal hashes of different texts: next to none
+    if taken:  # there the second hash takes the place of the first
+        second = F.when(F.col("v").isin(taken), F.col("w")).otherwise(F.col("v"))
+        docs, known, codes, heads = (x.withColumn("v", second) for x in (docs, known, codes, heads))
+    # ids that have several texts: these are told apart by a tag, their code
+    several = heads.groupBy("head").count().where("count > 1").select("head", F.lit(True).alias("several"))
+    heads = materialize(heads.join(several, "head", "left").select("v", "w", "head", F.when(F.col("several"), F.col("v")).otherwise(F.lit(0)).alias("tag")), "heads")
+    levels, shared = Levels(), []
+    ranges = _batches(known, batches or max(4, -(-known.count() // rows_a_batch)))
     for k, batch in enumerate(ranges):
         scan = suffix_rows(known.where(batch), span).withColumn("old", F.lit(False))
         for level in levels.all():
             scan = scan.union(level.withColumn("old", F.lit(True)))
         if k + 1 == len(ranges):
             shared.append(materialize(merge_scan(scan), "shared"))
-            written.append(shared[-1])
         else:
             seen = materialize(merge_scan(scan, True), "suffixes")
-            written.append(seen)
-            shared.append(seen.where("shared").select("p1", "p2", "v"))
+            shared.append(materialize(seen.where("shared").select("p1", "p2", "v"), "shared"))
             levels.add(seen.where("head").select("p1", "p2", "v"))
+            discard(seen)
+    discard(*levels.all())
     prefix = shared[0]
     for x in shared[1:]:
         prefix = prefix.union(x)
-    wanted = materialize(prefix.groupBy("v").agg(F.collect_set(F.struct("p1", "p2")).alias("shared")).join(heads, "v").select(F.col("head").alias("doc_id"), "shared"), "wanted")
-    discard(*written)
-    bodies = contents(known.join(wanted, "doc_id"), span)
+    prefix = prefix.distinct()
+    crowded = materialize(prefix.groupBy("p1", "p2").count().where(F.col("count") > hot).select("p1", "p2", F.lit(True).alias("hot")), "crowded")
+    prefix = prefix.join(crowded, ["p1", "p2"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = prefix.groupBy("v").agg(F.collect_set(F.struct("p1", "p2", "hot")).alias("shared"))
+    wanted = materialize(wanted.join(heads, "v").select(F.col("head").alias("doc_id"), "v", "tag", "shared"), "wanted")
+    discard(*shared, crowded)
+    bodies = contents(known.select("doc_id", "v", "text").join(wanted, ["doc_id", "v"]), span)
     found = materialize(repeats(bodies, span, limit), "repeats")
-    spans = found.where("what = 0").select("doc_id", "a", "b")
+    spans = found.where("what = 0").select("doc_id", "tag", "a", "b")
     rest = found.where("what > 0")
     if not rest.isEmpty():
         spans = spans.union(grouped_runs(rest, span))
-    spans = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
-    copies = codes.join(heads, "v").where("doc_id <> head").select("doc_id", F.lit(True).alias("copy")).distinct()
-    facts = spans.join(copies, "doc_id", "full").withColumnRenamed("doc_id", "_id")
-    return apply_spans(docs.join(facts, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans"))
+    spans = spans.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    spans = spans.join(wanted.select("doc_id", "v", "tag"), ["doc_id", "tag"]).select("doc_id", "v", "spans")
+    copies = codes.join(heads, ["v", "w"]).where("doc_id <> head").select("doc_id", "v", F.lit(True).alias("copy")).distinct()
+    facts = spans.join(copies, ["doc_id", "v"], "full")
+    return apply_spans(docs.join(facts, ["doc_id", "v"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans"))
 
 
 def apply_spans(rows: DataFrame) -> DataFrame:
     """Cuts spans (a, b), sorted by a, out of the UTF-8 bytes; a copy loses all."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             data, at = text_bytes(batch.column("text"))
