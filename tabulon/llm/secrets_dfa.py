@@ -1,33 +1,48 @@
-"""Secret scan with one deterministic automaton for all rules: subset construction, minimisation, transition arrays."""
+"""Secret scan with one deterministic automaton for all rules: subset construction, minimisation, transition arrays.
+
+The combined automaton reads every byte once and yields where matches end. From these ends an automaton of the reversed rule
+walks back to where they start, and the rule's own automaton reads the match, longest first, and says whether it counts."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, read_table, small_batches, text_bytes
+from .common import mix64, read_table, small_batches, text_bytes, tidy
 
 KEYWORDS = "password|passwd|secret|token|api_?key"
 _ANYCASE = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in KEYWORDS)
 _ASSIGN = rf"({_ANYCASE})[\"']?\x20*[:=]\x20*[\"']?"
-#: kind: (regex of a match, regex that holds wherever a match that counts ends, least size of what counts).
+#: kind: regex of a match, and regex of those matches that count (the others still take up their text).
 RULES = {
-    "assign": (_ASSIGN + "[A-Za-z0-9+/_.=-]+", _ASSIGN + "[A-Za-z0-9+/_.=-]{6,}", 6),
-    "access": ("AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{16,}", 20),
-    "hex": ("[0-9a-f]+", "[0-9a-f]{24,}", 24),
-    "pem": ("-----BEGIN [A-Z]*\\x20?PRIVATE KEY-----", "-----BEGIN [A-Z]*\\x20?PRIVATE KEY-----", 1),
+    "assign": (_ASSIGN + "[A-Za-z0-9+/_.=-]+", _ASSIGN + "[A-Za-z0-9+/_.=-]{6,}"),
+    "access": ("AKIA[A-Z0-9]{16,}", "AKIA[A-Z0-9]{16,}"),
+    "hex": ("[0-9a-f]{24,}", "[0-9a-f]{24,}"),
+    "pem": ("-----BEGIN [A-Z]*\\x20?PRIVATE KEY-----", "-----BEGIN [A-Z]*\\x20?PRIVATE KEY-----"),
+    "chat": ("xox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-[A-Za-z0-9-]{10,}"),
 }
 BASE = ("assign", "access", "hex")
-_VALUE = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
+#: Bytes of one code point that is not ASCII: first byte, then how many follow.
+_WIDE = ((0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3))
+_ASCII = (1 << 128) - 1
+
+
+def _mask(low: int, high: int) -> int:
+    return (1 << high + 1) - (1 << low)
+
+
+_ESCAPES = {"d": _mask(48, 57), "w": _mask(48, 57) | _mask(65, 90) | _mask(97, 122) | 1 << 95, "s": _mask(9, 13) | 1 << 32}
 
 
 class Nfa:
-    """Thompson's construction for literals, classes, groups, | ? * + {n} {n,} over bytes; sets are 256-bit masks."""
+    """Thompson's construction over UTF-8 bytes; sets are 256-bit masks. Literals, ., classes (also negated ones), groups,
+    | ? * + {n} {n,} {n,m}, escapes of ASCII marks, \\xNN, \\d, \\w and \\s (these of ASCII); anything else is an error."""
 
     def __init__(self):
         self.moves: list[list[tuple[int, int]]] = []
@@ -40,7 +55,29 @@ class Nfa:
 
     def add(self, text: str) -> tuple[int, int]:
         self.text, self.i = text, 0
-        return self._either()
+        out = self._either()
+        if self.i < len(text):
+            raise self._error("unbalanced )")
+        return out
+
+    def reversed(self) -> Nfa:
+        """The same states, every way turned round."""
+        out = Nfa()
+        for _ in self.moves:
+            out.state()
+        for x, row in enumerate(self.moves):
+            for mask, y in row:
+                out.moves[y].append((mask, x))
+        for x, row in enumerate(self.free):
+            for y in row:
+                out.free[y].append(x)
+        return out
+
+    def _error(self, what: str) -> ValueError:
+        return ValueError(f"{what} at {self.i} in {self.text!r}")
+
+    def _next(self) -> str:
+        return self.text[self.i : self.i + 1]
 
     def _either(self) -> tuple[int, int]:
         a, b = self.state(), self.state()
@@ -48,94 +85,144 @@ class Nfa:
             x, y = self._row()
             self.free[a].append(x)
             self.free[y].append(b)
-            if self.text[self.i : self.i + 1] != "|":
+            if self._next() != "|":
                 return a, b
             self.i += 1
 
     def _row(self) -> tuple[int, int]:
         first = last = self.state()
-        while self.i < len(self.text) and self.text[self.i] not in "|)":
+        while self._next() not in ("", "|", ")"):
             begin = self.i
             x, y = self._atom()
-            end = self.i
             low, high = self._times()
-            again = [(x, y)]
-            for _ in range(max(low, 1) - 1):
-                after, self.i = self.i, begin
-                again.append(self._atom())
-                self.i = after
-            assert end <= self.i
-            for n, (p, q) in enumerate(again):
+            end, copies = self.i, [(x, y)]
+            for _ in range(max(low, 1 if high is None else high) - 1):
+                self.i = begin
+                copies.append(self._atom())
+            self.i = end
+            for n, (p, q) in enumerate(copies):
                 self.free[last].append(p)
-                if n >= low:
-                    self.free[last].append(q)
+                if n >= low:  # this one and those behind it may be left out
+                    self.free[last].append(copies[-1][1])
                 last = q
             if high is None:
-                p, q = again[-1]
-                self.free[q].append(p)
+                self.free[copies[-1][1]].append(copies[-1][0])
         return first, last
 
     def _times(self) -> tuple[int, int | None]:
-        c = self.text[self.i : self.i + 1]
+        c = self._next()
         if c and c in "?*+":
             self.i += 1
-            return {"?": (0, 1), "*": (0, None), "+": (1, None)}[c]
-        if m := re.compile(r"\{(\d+)(,?)\}").match(self.text, self.i):
+            times = {"?": (0, 1), "*": (0, None), "+": (1, None)}[c]
+        elif m := re.compile(r"\{(\d+)(?:(,)(\d*))?\}").match(self.text, self.i):
             self.i = m.end()
-            return int(m[1]), None if m[2] else int(m[1])
-        return 1, 1
-
-    def _byte(self) -> int:
-        c = self.text[self.i]
-        self.i += 1
-        if c != "\\":
-            return ord(c)
-        if self.text[self.i] == "x":
-            self.i += 3
-            return int(self.text[self.i - 2 : self.i], 16)
+            times = int(m[1]), int(m[3]) if m[3] else None if m[2] else int(m[1])
+            if times[1] == 0 or times[1] is not None and times[1] < times[0]:
+                raise self._error("empty count")
+        else:
+            return 1, 1
+        if self._next() and self._next() in "?*+{":
+            raise self._error("repeated repeat")
+        return times
+
+    def _one(self, in_class: bool) -> tuple[int, bool]:
+        """Mask of the next character or escape, and whether it is one byte."""
+        c = self._next()
         self.i += 1
-        return ord(self.text[self.i - 1])
+        if c == "\\":
+            c = self._next()
+            self.i += 1
+            if c in _ESCAPES:
+                return _ESCAPES[c], False
+            if m := re.compile("[0-7][0-9A-Fa-f]").match(self.text, self.i) if c == "x" else None:
+                self.i += 2
+                return 1 << int(m[0], 16), True
+            if c in "nrt" and c:
+                return 1 << ord({"n": "\n", "r": "\r", "t": "\t"}[c]), True
+            if not c or c.isalnum() or ord(c) > 127:
+                raise self._error("unknown escape")
+        elif not c or ord(c) > 127 or not in_class and c in "^$*+?{}])":
+            raise self._error("cannot build this")
+        return 1 << ord(c), True
 
     def _atom(self) -> tuple[int, int]:
-        c = self.text[self.i]
+        c = self._next()
         if c == "(":
             self.i += 1
+            if self.text.startswith("?:", self.i):
+                self.i += 2
             out = self._either()
+            if self._next() != ")":
+                raise self._error("missing )")
             self.i += 1
             return out
-        if c == "[":
+        wide = False
+        if c == ".":
+            self.i += 1
+            mask, wide = _ASCII & ~(1 << 10), True
+        elif c == "[":
             self.i += 1
-            mask = 0
-            while self.text[self.i] != "]":
-                low = high = self._byte()
-                if self.text[self.i] == "-" and self.text[self.i + 1] != "]":
+            if wide := self._next() == "^":
+                self.i += 1
+            mask, empty = 0, True
+            while empty or self._next() != "]":
+                low, single = self._one(True)
+                if self._next() == "-" and self.text[self.i + 1 : self.i + 2] not in ("]", ""):
                     self.i += 1
-                    high = self._byte()
-                for b in range(low, high + 1):
-                    mask |= 1 << b
+                    high, other = self._one(True)
+                    if not (single and other) or high < low:
+                        raise self._error("bad range")
+                    low = _mask(low.bit_length() - 1, high.bit_length() - 1)
+                mask, empty = mask | low, False
             self.i += 1
+            mask = _ASCII & ~mask if wide else mask
+        elif c == "" or c > "\x7f":
+            if not c:
+                raise self._error("nothing to repeat")
+            self.i += 1
+            x = last = self.state()
+            for byte in c.encode():
+                y = self.state()
+                self.moves[last].append((1 << byte, y))
+                last = y
+            return x, last
         else:
-            mask = 1 << self._byte()
+            mask, _ = self._one(False)
         x, y = self.state(), self.state()
         self.moves[x].append((mask, y))
+        for low, high, more in _WIDE if wide else ():  # one code point of several bytes
+            last, then = x, _mask(low, high)
+            for left in range(more, -1, -1):
+                z = self.state() if left else y
+                self.moves[last].append((then, z))
+                last, then = z, _mask(0x80, 0xBF)
         return x, y
 
 
 class Dfa:
     """next[state * width + classes[byte]] is the next state times width; accepts has the kinds (bits) by the same number.
-    State 0 is the start. floating: a match may begin at any byte, else only at the first; then dead is the state without way on."""
 
-    def __init__(self, regexes: list[str], floating: bool):
+    way "scan": state 0 is the start, and a match may begin at any byte. "match": only at the first byte; dead is the state
+    without way on. "back": the reversed rules; state 0 has no match under way (dead), and the class inject begins one."""
+
+    def __init__(self, regexes: list[str], way: str):
+        if len(regexes) > 63:
+            raise ValueError("no more than 63 rules in one automaton")
         nfa = Nfa()
-        ends, start = {}, nfa.state()
-        for k, text in enumerate(regexes):
-            a, b = nfa.add(text)
-            nfa.free[start].append(a)
+        ends: dict[int, int] = {}
+        begin = nfa.state()
+        pairs = [nfa.add(text) for text in regexes]
+        if way == "back":
+            nfa = nfa.reversed()
+            pairs = [(b, a) for a, b in pairs]
+        for k, (a, b) in enumerate(pairs):
+            nfa.free[begin].append(a)
             ends[b] = 1 << k
         masks = sorted({m for row in nfa.moves for m, _ in row})
         kinds: dict[tuple, int] = {}
         self.classes = np.array([kinds.setdefault(tuple(m >> b & 1 for m in masks), len(kinds)) for b in range(256)], np.uint8)
-        self.width = len(kinds)
+        symbols = len(kinds)
+        self.inject, self.width = symbols, symbols + (way == "back")
         sample = {int(c): b for b, c in enumerate(self.classes)}
 
         def closed(state: int) -> int:
@@ -148,11 +235,12 @@ class Dfa:
                         todo.append(t)
             return sum(1 << s for s in seen if nfa.moves[s] or s in ends)
 
-        base = closed(start)
-        step = [[(c, closed(t)) for m, t in row for c in range(self.width) if m >> sample[c] & 1] for row in nfa.moves]
-        number, order, table, kinds_of = {base: 0}, [base], [], []
+        base = closed(begin)
+        step = [[(c, closed(t)) for m, t in row for c in range(symbols) if m >> sample[c] & 1] for row in nfa.moves]
+        start = 0 if way == "back" else base
+        number, order, table, kinds_of = {start: 0}, [start], [], []
         for states in order:
-            row, kinds = [base if floating else 0] * self.width, 0
+            row, kinds = [base if way == "scan" else 0] * symbols + [states | base] * (way == "back"), 0
             while states:
                 s = (states & -states).bit_length() - 1
                 states &= states - 1
@@ -165,10 +253,10 @@ class Dfa:
                     order.append(got)
             table.append([number[got] for got in row])
             kinds_of.append(kinds)
-        accepts = np.array(kinds_of, np.int64)
-        self._minimise(np.array(table, np.int64), accepts)
-        loops = (self.next.reshape(-1, self.width) == np.arange(len(self.next) // self.width)[:, None] * self.width).all(1) & (self.accepts[:: self.width] == 0)
-        self.dead = int(np.flatnonzero(loops)[0]) * self.width if not floating and loops.any() else -1
+        self._minimise(np.array(table, np.int64), np.array(kinds_of, np.int64))
+        loops = (self.next.reshape(-1, self.width)[:, :symbols] == np.arange(len(self.next) // self.width)[:, None] * self.width).all(1) & (self.accepts[:: self.width] == 0)
+        self.dead = int(np.flatnonzero(loops)[0]) * self.width if way != "scan" and loops.any() else -1
+        self.next_list, self.accept_list, self.class_list = (None, None, None) if way == "scan" else (self.next.tolist(), self.accepts.tolist(), self.classes.tolist())
 
     def _minimise(self, table: np.ndarray, accepts: np.ndarray) -> None:
         """Moore's refinement: states stay together while no byte class tells them apart."""
@@ -184,7 +272,7 @@ class Dfa:
         rank = np.argsort(np.argsort(first))  # the start comes first
         part, first = rank[part], np.sort(first)
         self.next = (part[table[first]] * self.width).astype(np.int32).ravel()
-        self.accepts = np.repeat(accepts[first], self.width).astype(np.uint8)
+        self.accepts = np.repeat(accepts[first], self.width)
         self.size = len(first)
 
     def hits(self, data: np.ndarray, lanes: int = 2048) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +281,7 @@ class Dfa:
         both ways meet."""
         n = len(data)
         if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint8)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         steps = -(-n // lanes)
         cls = np.full(steps * lanes, self.classes[0xFF], np.int32)
         cls[:n] = self.classes[data]
@@ -222,59 +310,73 @@ class Dfa:
         t, lane = np.nonzero(flags)
         return lane * steps + t, flags[t, lane]
 
-    def matches(self, data: bytes) -> list[tuple[int, int]]:
-        """Leftmost longest matches that do not overlap (not floating)."""
-        nxt, acc, dead, classes = self.next_list, self.accept_list, self.dead, self.class_list
-        out, i, n = [], 0, len(data)
-        while i < n:
-            state, j, end = 0, i, -1
-            while j < n:
-                state = nxt[state + classes[data[j]]]
-                if state == dead:
-                    break
-                j += 1
-                if acc[state]:
-                    end = j
-            if end > 0:
-                out.append((i, end))
-                i = end
-            else:
-                i += 1
-        return out
+    def starts(self, data: bytes, ends: list[int]) -> list[int]:
+        """Way "back": where the matches start whose last bytes are at ends (rising); each byte is read once at most."""
+        nxt, acc, classes, width = self.next_list, self.accept_list, self.class_list, self.width
+        out, state, k, i = [], self.dead, len(ends) - 1, -1
+        while k >= 0 or state != self.dead:
+            if state == self.dead:
+                i = ends[k]
+            if k >= 0 and ends[k] == i:
+                state, k = nxt[state + self.inject], k - 1
+            state = nxt[state + classes[data[i]]]
+            if acc[state]:
+                out.append(i)
+            i -= 1
+            if i < 0:
+                break
+        return out[::-1]
+
+    def longest(self, data: bytes, i: int) -> tuple[int, int]:
+        """Way "match": the end of the longest match that starts at i (-1: none) and its kinds."""
+        nxt, acc, classes, dead = self.next_list, self.accept_list, self.class_list, self.dead
+        state, end, kinds, n = 0, -1, 0, len(data)
+        while i < n and (state := nxt[state + classes[data[i]]]) != dead:
+            i += 1
+            if acc[state]:
+                end, kinds = i, acc[state]
+        return end, kinds
 
-    def prepare(self) -> Dfa:
-        self.next_list, self.accept_list, self.class_list = self.next.tolist(), self.accepts.tolist(), self.classes.tolist()
-        return self
 
+@lru_cache(maxsize=8)
+def automata(rules: tuple[tuple[str, str], ...]) -> tuple[Dfa, list[tuple[Dfa, Dfa]]]:
+    """The combined automaton, and for each rule those that walk back and that read a match (kind 0: it matches, 1: it counts)."""
+    return Dfa([r[0] for r in rules], "scan"), [(Dfa([match], "back"), Dfa([match, counts], "match")) for match, counts in rules]
 
-def spans_of(data: bytes, kinds: list[str], anchored: dict[str, Dfa], rules: dict) -> list[tuple[str, int, int]]:
-    """Spans (kind, start, end) in code points that count, by start and then kind."""
+
+def spans_of(data: bytes, ends: dict[int, list[int]], pairs: list[tuple[Dfa, Dfa]]) -> list[tuple[int, int, int]]:
+    """(start, rule, end) in code points of the leftmost longest matches that count and do not overlap, by start and then rule;
+    ends has the last bytes of each rule's matches."""
     found = []
-    for order, kind in enumerate(rules):
-        if kind in kinds:
-            for a, b in anchored[kind].matches(data):
-                size = len(_VALUE.match(data[a:b])[1]) if kind == "assign" else b - a
-                if size >= rules[kind][2]:
-                    found.append((a, order, b))
+    for rule, own in ends.items():
+        back, match = pairs[rule]
+        free = 0
+        for a in back.starts(data, own):
+            if a >= free:
+                free, kinds = match.longest(data, a)
+                if kinds >> 1:
+                    found.append((a, rule, free))
     if not found:
         return []
     before = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-    names = list(rules)
-    return [(names[k], int(before[a]), int(before[b])) for a, k, b in sorted(found)]
+    return [(int(before[a]), k, int(before[b])) for a, k, b in sorted(found)]
 
 
 def find_secrets(docs: DataFrame, rules: dict = RULES, key: str = "doc_id") -> DataFrame:
-    """key and spans, an array of (kind, start, end): one row per row of docs, whole texts, null as empty.
-
-    One automaton of all rules reads every byte once; where it accepts a kind, that kind's own automaton finds the spans of
-    the text. Texts are kept apart by a byte that UTF-8 does not have, so that no match crosses them."""
-    scan = Dfa([r[1] for r in rules.values()], floating=True)
-    anchored = {k: Dfa([r[0]], floating=False) for k, r in rules.items()}
+    """key and spans, an array of (kind, start, end) in code points: one row per row of docs, so repeated and null keys too;
+    whole texts, however long, null as empty. Other columns are ignored.
+
+    rules: kind to the regex of a match and the regex of those matches that count; 63 at most, neither may match nothing. Texts
+    are kept apart by a byte that UTF-8 does not have, so that no match crosses them."""
+    for kind, row in rules.items():
+        if any(re.fullmatch(r, "") for r in row):
+            raise ValueError(f"rule {kind} matches nothing")
+    scan, pairs = automata(tuple(tuple(r) for r in rules.values()))
     kinds = list(rules)
     kind_type = dict(docs.dtypes)[key]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {k: d.prepare() for k, d in anchored.items()}
         spans_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in small_batches(batches, "text"):
             data, at = text_bytes(batch.column("text"))
@@ -282,16 +384,19 @@ def find_secrets(docs: DataFrame, rules: dict = RULES, key: str = "doc_id") -> D
             apart = np.full(len(data) + n, 0xFF, np.uint8)
             apart[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(at))] = data
             where, flags = scan.hits(apart)
+            order = np.argsort(where, kind="stable")
+            where, flags = where[order], flags[order]
             doc = np.searchsorted(at[1:] + np.arange(1, n + 1), where, "right")
-            marks = np.zeros(n, np.uint8)
-            np.bitwise_or.at(marks, doc, flags)
+            where = where - doc - at[doc]  # in its own text
             spans: list[list] = [[] for _ in range(n)]
-            for i in np.flatnonzero(marks).tolist():
-                hit = [k for b, k in enumerate(kinds) if marks[i] >> b & 1]
-                spans[i] = [{"kind": k, "start": a, "end": b} for k, a, b in spans_of(data[at[i] : at[i + 1]].tobytes(), hit, own, rules)]
+            first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else ()
+            for a, b in zip(first, [*first[1:], len(doc)], strict=True):
+                i = int(doc[a])
+                ends = {k: own.tolist() for k in range(len(kinds)) if len(own := where[a:b][(flags[a:b] >> k & 1).astype(bool)])}
+                spans[i] = [{"kind": kinds[k], "start": s, "end": e} for s, k, e in spans_of(data[at[i] : at[i + 1]].tobytes(), ends, pairs)]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(spans, spans_type)], names=[key, "spans"])
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind_type}, spans array<struct<kind:string,start:long,end:long>>")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind_type}, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def _joined(spans):
