@@ -9,17 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import ChunkTable, bitmap, hash_text, in_bitmap, materialize, read_table, small_batches, window_hashes
+from .common import ChunkTable, bitmap, bitmap_bits, discard, hash_text, in_bitmap, materialize, read_table, small_batches, tidy, window_hashes
 
 UNITS = frozenset(
     "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg lb lbs oz ton tons ml l liter liters litre litres gallon gallons "
     "s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years c f k j kj w kw kwh v a hz "
     "dollar dollars euro euros cent cents pound pounds percent degree degrees mph kmh".split()
 )
-NOTHING, WORD, NUMBER, UNIT, BREAK = range(5)
-PLACE = {NUMBER: "\x00number", UNIT: "\x00unit", 5: "\x00name"}
-NAME = 5
+NOTHING, BREAK, WORD, NUMBER, UNIT, QUANTITY, NAME = range(7)
+PLACE = {NUMBER: "\x00number", QUANTITY: "\x00quantity", NAME: "\x00name"}
 
 
 def _describe(words: list[str]) -> list[np.ndarray]:
@@ -34,6 +34,8 @@ def _describe(words: list[str]) -> list[np.ndarray]:
             k = NOTHING
         elif any(c.isdigit() for c in bare) and not any(c.isalpha() for c in bare.rstrip("kKmMbBthsdrnxX")):
             k = NUMBER
+        elif bare[0].isdigit() and low.lstrip("0123456789.,") in UNITS:
+            k = QUANTITY
         else:
             k = UNIT if low in UNITS else WORD
         raw.append(hash_text(low))
@@ -44,17 +46,18 @@ def _describe(words: list[str]) -> list[np.ndarray]:
 
 
 class Templates:
-    """Words of texts as codes: raw, and with placeholders where a word is a number, a unit or a name (one capital and small letters, inside a
-    sentence)."""
+    """Texts as codes, twice: word by word, and as tokens, in which a number, a number with its unit, and a run of names (one
+    capital and small letters, inside a sentence) are one placeholder each."""
 
     def __init__(self):
         self.table = ChunkTable(_describe)
-        self.place = np.zeros(6, np.uint64)
+        self.place = np.zeros(7, np.uint64)
         for k, text in PLACE.items():
             self.place[k] = hash_text(text)
 
     def __call__(self, texts: list[str]):
-        """raw codes, template codes, slots (which words a placeholder replaces), the place of each word in words, words, its text."""
+        """raw codes of the words, their texts (indices), their places in words, words; codes of the tokens, which of them are
+        slots, and the first word of each token (and one behind the last)."""
         words: list[str] = []
         sizes = []
         for text in texts:
@@ -65,92 +68,122 @@ class Templates:
         row = self.table.rows(words)
         raw, kind, capital, ends = (c[row] for c in self.table.columns)
         doc = np.repeat(np.arange(len(texts)), sizes)
-        told = np.flatnonzero(kind != NOTHING)  # a mark on its own, as in "word .", still ends a sentence
-        some = np.flatnonzero((kind != NOTHING) | ends)
+        some = np.flatnonzero((kind != NOTHING) | ends)  # a mark on its own, as in "word .", still ends a sentence
         first = np.concatenate([[True], ends[some][:-1]])
-        name = np.zeros(len(words), bool)
-        name[some] = capital[some] & ~first
-        told = told[kind[told] != BREAK]
-        kind = np.where(name, NAME, kind)[told]
-        slot = kind >= NUMBER
-        codes = np.where(slot, self.place[kind], raw[told])
-        return raw[told], codes, slot, told, words, doc[told]
-
-
-def windows(raw, codes, slot, doc, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the windows inside one text, their hashes, and whether a hash stands for the window's own words in small
-    letters (exact) or for its template. Every window has an exact hash, so that a passage is found whatever its case and the
-    word before it. A window with placeholders has a template hash too, unless more than half of it is placeholders, which says
-    too little."""
-    h = window_hashes(raw, width) ^ np.uint64(0x5555555555555555)
-    if not len(h):
-        return np.zeros(0, np.int64), h, np.zeros(0, bool)
-    at = np.flatnonzero(doc[width - 1 :] == doc[: len(doc) - width + 1])
+        kind[some] = np.where(capital[some] & ~first, NAME, kind[some])
+        told = np.flatnonzero(kind >= WORD)
+        raw, kind, doc = raw[told], kind[told], doc[told]
+        after = np.concatenate([[False], doc[1:] == doc[:-1]])[: len(doc)]  # the word before is of the same text
+        before = np.concatenate([np.zeros(1, kind.dtype), kind[:-1]])[: len(kind)]
+        unit = (kind == UNIT) & after & (before == NUMBER)
+        kind[(kind == UNIT) & ~unit] = WORD
+        begin = np.flatnonzero(~(unit | ((kind == NAME) & after & (before == NAME))))
+        of = kind[begin]
+        begin = np.append(begin, len(told))
+        of[(of == NUMBER) & (np.diff(begin) == 2)] = QUANTITY
+        return raw, doc, told, words, np.where(of >= NUMBER, self.place[of], raw[begin[:-1]]), of >= NUMBER, begin
+
+
+def exact_windows(raw, doc, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of words inside one text, all in small letters: a passage is found whatever its case and
+    the word before it."""
+    at = np.flatnonzero(doc[width - 1 :] == doc[: max(0, len(doc) - width + 1)])
+    return at, (window_hashes(raw, width) ^ np.uint64(0x5555555555555555))[at]
+
+
+def template_windows(codes, slot, doc, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of tokens, where a window has placeholders, but no more than half of it, which would say too little."""
+    at = np.flatnonzero(doc[width - 1 :] == doc[: max(0, len(doc) - width + 1)])
     slots = np.concatenate([[0], np.cumsum(slot)])
-    held = (slots[width:] - slots[:-width])[at]
-    told = at[(held > 0) & (held * 2 <= width)]
-    return np.concatenate([at, told]), np.concatenate([h[at], window_hashes(codes, width)[told]]), np.arange(len(at) + len(told)) < len(at)
+    held = (slots[width:] - slots[:-width])[at] if len(at) else at
+    at = at[(held > 0) & (held * 2 <= width)]
+    return at, window_hashes(codes, width)[at]
 
 
-SCHEMA = "pos int, width int, h long, exact boolean, slot_at array<int>, slot_text array<string>, n_words int"
+SCHEMA = {"pos": "int", "first": "int", "last": "int", "width": "int", "h": "long", "exact": "boolean", "slot_at": "array<int>", "slot_text": "array<string>", "n_words": "int"}
 
 
-def window_rows(df: DataFrame, keys: list[str], width: int, widths: list[int] | None, seen: object = None, bits: int = 0) -> DataFrame:
-    """Windows of every text with the values in their slots. widths None: one width per text, its own length if it is shorter
-    than width; else all those widths. seen: a broadcast bitmap; only windows whose hash it may hold are returned."""
+def window_rows(df: DataFrame, keys: list[str], width: int, widths: list[int] | None, seen: object = None) -> DataFrame:
+    """Windows of every text: pos (by words if exact, else by tokens), their first and last words, and the values in their slots.
+    widths None: one width per text, its own length if it is shorter than width; else all those widths. seen: a broadcast
+    bitmap; only windows whose hash it may hold are returned."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in small_batches(batches, "text"):
-            raw, codes, slot, told, words, doc = templates([t or "" for t in batch.column("text").to_pylist()])
-            size = np.bincount(doc, minlength=batch.num_rows)
-            begin = np.cumsum(size) - size
-            out: list[list] = [[] for _ in range(8)]
+            raw, doc, told, words, codes, slot, begin = templates([t or "" for t in batch.column("text").to_pylist()])
+            token_doc = doc[begin[:-1]]
+            sides = []
+            for own in (doc, token_doc):
+                size = np.bincount(own, minlength=batch.num_rows)
+                sides.append((size, np.cumsum(size) - size))
+            n_words, from_word = sides[0]
+            out: list[list] = [[] for _ in range(len(SCHEMA) + 1)]
             for w in widths or range(1, width + 1):
-                at, h, exact = windows(raw, codes, slot, doc, w)
-                keep = in_bitmap(seen.value, h) if seen is not None else np.ones(len(h), bool)
-                if widths is None:
-                    keep &= np.minimum(size[doc[at]], width) == w
-                for i, x, own in zip(at[keep].tolist(), h[keep].tolist(), exact[keep].tolist(), strict=True):
-                    d = int(doc[i])
-                    slots = np.flatnonzero(slot[i : i + w]).tolist()
-                    for column, v in zip(out, (d, i - int(begin[d]), w, x - (1 << 64) if x >> 63 else x, own, slots, [words[told[i + s]].lower().strip(".,;:!?\"'()") for s in slots], int(size[d])), strict=True):
-                        column.append(v)
+                for exact, own, (size, origin), (at, h) in ((True, doc, sides[0], exact_windows(raw, doc, w)), (False, token_doc, sides[1], template_windows(codes, slot, token_doc, w))):
+                    keep = in_bitmap(seen.value, h) if seen is not None else np.ones(len(h), bool)
+                    if widths is None:
+                        keep &= np.minimum(size[own[at]], width) == w
+                    for i, x in zip(at[keep].tolist(), h[keep].tolist(), strict=True):
+                        d = int(own[i])
+                        a, b = (i, i + w) if exact else (int(begin[i]), int(begin[i + w]))
+                        slots = [] if exact else np.flatnonzero(slot[i : i + w]).tolist()
+                        values = [" ".join(words[told[j]].lower().strip(".,;:!?\"'()") for j in range(begin[i + s], begin[i + s + 1])) for s in slots]
+                        row = (d, i - int(origin[d]), a - int(from_word[d]), b - 1 - int(from_word[d]), w, x - (1 << 64) if x >> 63 else x, exact, slots, values, int(n_words[d]))
+                        for column, v in zip(out, row, strict=True):
+                            column.append(v)
             if out[0]:
-                types = [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32()]
+                types = [*[pa.int32()] * 4, pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32()]
                 arrays = [*(batch.column(k).take(pa.array(out[0])) for k in keys), *(pa.array(c, t) for c, t in zip(out[1:], types, strict=True))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "pos", "width", "h", "exact", "slot_at", "slot_text", "n_words"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *SCHEMA])
 
-    types = dict(df.dtypes)
-    return df.select(*keys, "text").mapInArrow(run, ", ".join([*(f"{k} {types[k]}" for k in keys), SCHEMA]))
+    types = dict(df.dtypes) | SCHEMA
+    return df.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in [*keys, *SCHEMA]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: int = 5, coverage: float = 0.5, bits: int = 1 << 25) -> DataFrame:
-    """One row per document and benchmark item of which it holds at least the share coverage of template windows:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = 8, min_words: int = 5, coverage: float = 0.5) -> DataFrame:
+    """One row per document and benchmark item of which it holds at least the share coverage of windows of width words:
     doc_id, item_id, n_windows (of the item found), coverage, n_slots (of the item that were compared).
 
-    Windows have width words, or all words of an item shorter than that; items of fewer than min_words words, null and empty
-    texts match nothing. A window is found by its words, whatever their case, or by its template. Along one alignment each slot
-    value of the item must always stand against one value of the text; where one does not, the windows that hold it count only
-    if they are found by their words. Rows that repeat a doc_id are aligned text by text and count as one document. A Bloom
-    bitmap of the benchmark's windows, of fixed size, thins the documents' windows before the hash join; the join decides."""
+    A window is found by its words, whatever their case, or by its template: tokens, in which a number, a number with its unit
+    and a run of names are one placeholder each. Items shorter than width are one window. Those of fewer than min_words words
+    are found by their words alone, as a template of so few says too little; null and empty texts match nothing. Along one
+    alignment each slot value of the item must always stand against one value of the text; where one does not, the templates
+    that hold it do not count. Two values of the item may stand against one of the text, as new parameters may be equal by
+    chance. Rows that repeat a doc_id are aligned text by text and count as one document; rows with a null id are left out. A
+    Bloom bitmap of the benchmark's windows, of a size with a bound, thins the documents' windows before the hash join; the join
+    decides. A pair is made only where a document holds one of the windows that few items share: an item has so many of them
+    that coverage cannot be reached without one."""
     spark = docs.sparkSession
-    items = window_rows(benchmark, ["item_id"], width, None).where(F.col("n_words") >= min_words).where(F.col("item_id").isNotNull())
-    total = F.greatest(F.col("n_words") - F.col("width") + 1, F.lit(1))
-    items = items.select("item_id", F.col("pos").alias("item_pos"), "width", "h", "exact", F.col("slot_at").alias("item_at"), F.col("slot_text").alias("item_slots"), total.alias("total")).distinct()
+    own = F.least("n_words", F.lit(width))
+    items = window_rows(benchmark, ["item_id"], width, None).where(F.col("item_id").isNotNull() & (F.col("exact") | (F.col("n_words") >= min_words)))
+    # the windows of words that this one stands for
+    stands = F.sequence(F.col("first"), F.greatest(F.col("first"), F.col("last") - own + 1))
+    items = items.select("item_id", F.col("pos").alias("item_pos"), "width", "h", "exact", F.col("slot_at").alias("item_at"), F.col("slot_text").alias("item_slots"), stands.alias("stands"), (F.col("n_words") - own + 1).alias("total"))
+    items = materialize(items.distinct(), "items")
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # width values at most
-    seen = spark.sparkContext.broadcast(bitmap(items.select("h"), "h", bits))
-    found = window_rows(docs.withColumn("text_key", F.xxhash64("text")), ["doc_id", "text_key"], width, widths or [width], seen, bits).where(F.col("doc_id").isNotNull())
-    pairs = found.join(items, ["h", "width", "exact"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
-    pairs = materialize(pairs.where(F.col("exact") | (F.col("slot_at") == F.col("item_at"))), "pairs")  # used twice, made by one scan of the texts
-    line = ["doc_id", "text_key", "item_id", "shift"]
-    # equal words may be slots on one side only: there nothing is compared
-    slots = pairs.where((F.size("slot_text") > 0) & (F.col("slot_at") == F.col("item_at"))).select(*line, F.explode(F.arrays_zip("item_slots", "slot_text")).alias("s"))
+    seen = spark.sparkContext.broadcast(bitmap(items.select("h"), "h", bitmap_bits(8 * items.count())))
+    found = window_rows(docs.withColumn("text_key", F.xxhash64("text")), ["doc_id", "text_key"], width, widths or [width], seen).where(F.col("doc_id").isNotNull())
+    found = materialize(found, "found")  # used twice, made by one scan of the texts
+    key, text = ["h", "width", "exact"], ["doc_id", "text_key"]
+    # windows in the order of how many items share what stands for them: one of the first total - least + 1 must be found
+    shared = items.groupBy(*key).agg(F.count_distinct("item_id").alias("n"))
+    crowd = items.join(shared, key).select("item_id", "total", "n", F.explode("stands").alias("at")).groupBy("item_id", "total", "at").agg(F.max("n").alias("n"))
+    place = F.row_number().over(W.partitionBy("item_id").orderBy("n", "at"))
+    rare = crowd.withColumn("place", place).where(F.col("place") <= F.col("total") - F.ceil(F.col("total") * coverage - 1e-9) + 1)
+    rare = rare.groupBy("item_id").agg(F.collect_set("at").alias("rare"))  # at most an item's windows
+    keys = items.join(rare, "item_id").where(F.arrays_overlap("stands", "rare")).select(*key, "item_id").distinct()
+    chosen = found.select(*key, *text).join(keys, key).select(*text, "item_id").distinct()
+    pairs = found.join(chosen, text).join(items, [*key, "item_id"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    pairs = materialize(pairs.where(F.col("exact") | (F.col("slot_at") == F.col("item_at"))), "pairs")
+    discard(found)
+    line = [*text, "item_id", "shift"]
+    slots = pairs.where(~F.col("exact")).select(*line, F.explode(F.arrays_zip("item_slots", "slot_text")).alias("s"))
     values = slots.groupBy(*line, F.col("s.item_slots").alias("value")).agg(F.min("s.slot_text").alias("low"), F.max("s.slot_text").alias("high"))
     checked = values.groupBy(*line).agg(F.count("*").alias("n_slots"), F.collect_list(F.when(F.col("low") != F.col("high"), F.col("value"))).alias("conflicts"))  # at most an item's slots
-    pairs = pairs.join(checked, line, "left").where(F.col("exact") | F.col("conflicts").isNull() | ~F.arrays_overlap("item_slots", "conflicts"))
-    lines = pairs.groupBy(*line).agg(F.collect_set("item_pos").alias("at"), F.max("total").alias("total"), F.max("n_slots").alias("n_slots"))  # at most an item's windows
-    out = lines.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("at"))).alias("at"), F.max("total").alias("total"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
+    pairs = pairs.join(checked, line, "left").where(F.col("exact") | ~F.arrays_overlap("item_slots", "conflicts"))
+    out = pairs.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_set("stands"))).alias("at"), F.max("total").alias("total"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"))
     share = F.size("at") / F.col("total")
     return out.where(share >= coverage).select("doc_id", "item_id", F.size("at").cast("long").alias("n_windows"), F.round(share, 6).alias("coverage"), "n_slots")
 
