@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import line_runs, nbsvm, packing, partenum, templates
-from tabulon.llm.common import materialize, read_table
+from tabulon.llm.common import discard, materialize, read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier rejects."""
+    """Drops documents that the classifier rejects. Null and empty texts are judged like others, by what they lack; whole texts,
+    however long; repeated rows and rows without id each on their own."""
     return nbsvm.quality(docs, read_table(spark, sf_dir, "labels")).where("predicted = 1").select(*COLUMNS)
 
 
@@ -28,7 +29,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of the smallest id in each group, and one of rows that repeat both id and text."""
+    """Keeps one row of the smallest id in each group, and one of rows that repeat both id and text. Null and empty texts are in no
+    group; whole texts are compared."""
     docs = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     groups = partenum.near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text"))
     groups = groups.groupBy(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).agg(F.count("*").alias("_n"))
@@ -45,7 +47,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold benchmark items."""
+    """Drops rows whose text holds benchmark items, those without id too. Null and empty texts hold none; long ones are read whole."""
     docs = docs.withColumn("_row", F.xxhash64("text"))  # a leak is a matter of the text alone
     leaks = templates.find_leaks(docs.select(F.col("_row").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
     gone = materialize(leaks.select(F.col("doc_id").alias("_row")).distinct(), "gone")
@@ -53,6 +55,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in sequences, see packing.pack: null and empty texts are one id, long ones several pieces."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -64,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return docs

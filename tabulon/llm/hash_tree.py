@@ -74,8 +74,8 @@ def number_slots(df: DataFrame, group: str, order: list[str], out: str = "slot",
 def shard_documents(docs: DataFrame, tree: Tree) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Null text counts as empty; a null id draws like any other key; repeated ids share a shard and get slots of their own;
-    other columns are ignored."""
+    Null text counts as empty, a very long one is only measured; a null id draws like any other key; repeated ids share a shard
+    and get slots of their own; other columns are ignored."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     rows = shard_of(shard_of(rows, "doc_id", tree, "shard"), "doc_id", tree.grown(), "grown_shard")

@@ -95,14 +95,17 @@ def best_rule(urls: DataFrame, key: str, rules: list[tuple[str, str, str]], out:
 def judge_urls(pages: DataFrame, rules=FIXED_RULES, patterns=PATTERNS, url: str = "url", default: str = "allow", max_inline: int = 500) -> DataFrame:
     """Adds host, path, rule and verdict to every row.
 
-    The longest of the rules that fits decides; else the longest of the patterns; else default. Null and odd URLs get empty
-    host and path and the default. Row count and other columns stay; columns of these four names are replaced."""
-    host, path = host_and_path(F.col(url))
-    out = pages.withColumns({"_host": host, "_path": path}).withColumn("_key", F.concat("_host", "_path"))
-    out = best_rule(out, "_key", rules, "_fixed", max_inline)
-    out = best_rule(out, "_key", patterns, "_own", max_inline)
-    out = out.withColumns({"host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_fixed.rule"), "verdict": F.coalesce("_fixed.action", "_own.action", F.lit(default))})
-    return out.drop("_host", "_path", "_key", "_fixed", "_own")
+    The longest of the rules that fits decides; else the longest of the patterns; else default. Null, empty and odd URLs get
+    empty host and path and the default; very long ones are judged whole. Repeated rows stay, and so do all other columns,
+    whatever their names; columns of these four names are replaced."""
+    new = ("host", "path", "rule", "verdict")
+    others = [c for c in pages.columns if c.lower() not in new]
+    host, path = host_and_path(F.col(f"`{url}`"))
+    out = pages.select(F.struct(*[f"`{c}`" for c in others]).alias("others"), host.alias("host"), path.alias("path")).withColumn("key", F.concat("host", "path"))
+    out = best_rule(out, "key", rules, "fixed", max_inline)
+    out = best_rule(out, "key", patterns, "own", max_inline)
+    verdict = F.coalesce("fixed.action", "own.action", F.lit(default))
+    return out.select(*[F.col("others").getField(c).alias(c) for c in others], "host", "path", F.col("fixed.rule").alias("rule"), verdict.alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
