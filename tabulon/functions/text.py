@@ -7,12 +7,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Stop words of the cleaner, and words that stand for no code.
+# Stop words of the cleaner, words that stand for no code, marks that become spaces, dates, and the tail of a code.
 STOP_WORDS = ["IN", "FROM", "ON", "OR", "OF", "BY", "AND", "&", "TO"]
 NOISY_CODES = ["request", "no loinc needed", ".", ";", "coumt", "unloinc"]
 
 _TO_SPACE = ",.:\t^+*~()![]{}_|\""
 DATES = r"\d{1,2}[/-]\d{1,4}([/-]\d{2,4})*|\d{6}"
+TAIL = r"(\.|;)[a-zA-Z0-9]*"
 
 
 def standardize(c: Column) -> Column:
@@ -30,9 +31,12 @@ def clean_tokens(c: Column, stop: Iterable[str] = STOP_WORDS) -> Column:
     """Tokens of a term: punctuation to space, dates out, first occurrences only; then each token is cut at / \\ - and its
     pieces count up to the first empty one or stop word."""
     text = F.translate(F.coalesce(c, F.lit("")), _TO_SPACE + "'", " " * len(_TO_SPACE))
-    tokens = F.transform(F.split(text, " "), lambda t: F.regexp_replace(t, DATES, ""))
-    tokens = F.array_distinct(F.filter(tokens, lambda t: t != ""))
-    return F.flatten(F.transform(tokens, lambda t: _leading(F.split(F.translate(t, "/\\-", "   "), " "), stop)))
+    text = F.regexp_replace(text, DATES, "")  # dates have no blank, so that this is the same token by token
+    tokens = F.array_distinct(F.filter(F.split(text, " "), lambda t: t != ""))
+    # a token without a cut is itself or a stop word; most texts have none that is cut
+    plain = F.filter(tokens, lambda t: ~t.isin(*stop))
+    one = lambda t: F.when(F.translate(t, "/\\-", "") == t, F.filter(F.array(t), lambda x: ~x.isin(*stop))).otherwise(_leading(F.split(F.translate(t, "/\\-", "   "), " "), stop))
+    return F.when(F.contains(text, F.lit("/")) | F.contains(text, F.lit("\\")) | F.contains(text, F.lit("-")), F.flatten(F.transform(tokens, one))).otherwise(plain)
 
 
 def clean_term(c: Column, stop: Iterable[str] = STOP_WORDS) -> Column:
@@ -75,7 +79,7 @@ def dequote(c: Column) -> Column:
 
 def trim_tail(c: Column) -> Column:
     """Lower-cased, without every . or ; and the letters and digits behind it."""
-    return F.regexp_replace(F.lower(c), r"(\.|;)[a-zA-Z0-9]*", "")
+    return F.regexp_replace(F.lower(c), TAIL, "")
 
 
 def replace_values(c: Column, values: Iterable[str], new: str) -> Column:

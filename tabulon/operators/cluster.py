@@ -59,7 +59,7 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 def around_centroid(df: DataFrame, group: str, key: str, vector: str, k: int, nearest: bool = True) -> DataFrame:
     """(group, key, distance, rank): the k members nearest to (or farthest from) their centroid, by cosine distance."""
-    rows = df.join(F.broadcast(centroids(df, group, vector)), group).withColumn("distance", F.round(1 - cosine(F.col(vector), F.col("centroid")), 6))
+    rows = df.join(centroids(df, group, vector), group).withColumn("distance", F.round(1 - cosine(F.col(vector), F.col("centroid")), 6))
     order = F.col("distance").asc() if nearest else F.col("distance").desc()
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(order, key))).where(F.col("rank") <= k).select(group, key, "distance", "rank")
 

@@ -4,14 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .sampling import uniform
 
 
 def ordinals(df: DataFrame, column: str) -> DataFrame:
-    """(column, ordinal): values by rank from 0. The distinct values are few beside the rows; they are numbered on their own."""
-    from pyspark.sql import Window as W
+    """(column, ordinal): values by rank from 0. Distinct values are dealt over parts by their first letters (numbers: by their
+    size), so that no task sorts all of them."""
+    from .running import add_totals_before, in_parts
 
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    return values.withColumn("ordinal", F.row_number().over(W.orderBy(column)) - 1)
+    if dict(df.dtypes)[column] == "string":
+        values = values.withColumn("_part", F.substring(column, 1, 2))
+    else:
+        values = in_parts(values, column)
+    rows = add_totals_before(values.withColumn("_one", F.lit(1)), [], "_part", ["_one"])
+    place = F.col("before__one") + F.row_number().over(W.partitionBy("_part").orderBy(column))
+    return rows.select(column, (place - 1).cast("int").alias("ordinal"))
 
 
 def categorify(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -53,8 +63,15 @@ def unit_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(norm == 0, F.lit(0.0)).otherwise(F.col(c) / norm) for c in columns})
 
 
-def perturb(c: Column, least: float, seed: int, alpha: float = 10.0) -> Column:
-    return c + least / (10 * alpha) + F.rand(seed) * (least / alpha - least / (10 * alpha))
+def perturb(c: Column, least: float, seed: int, *keys: str, alpha: float = 10.0) -> Column:
+    """c plus noise from least / (10 alpha) to least / alpha, drawn by a hash of the row's keys, so that it can be repeated."""
+    return c + least / (10 * alpha) + uniform(seed, *keys) * (least / alpha - least / (10 * alpha))
+
+
+def needs_scaling(df: DataFrame, columns: list[str]) -> bool:
+    """Whether some column goes below 0 or above 1."""
+    row = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("a", F.min), ("b", F.max))]).first()
+    return any((row[f"a_{c}"] or 0) < 0 or (row[f"b_{c}"] or 0) > 1 for c in columns)
 
 
 def encode_columns(df: DataFrame, columns: list[str], high: int = 10, most_null: float = 0.9) -> DataFrame:

@@ -19,12 +19,27 @@ def equals_any(columns: list[str], values: list[str]) -> Column:
 
 
 def as_sql(columns: list[str], values: list[str], exact: bool = False) -> str:
+    """The same as text: values as they are, their % and _ escaped by !."""
     quoted = [v.lower().replace("'", "''") for v in values]
-    return " OR ".join(f"lower({c}) = '{v}'" if exact else f"lower({c}) like '%{v}%'" for c in columns for v in quoted)
+    held = [v.replace("!", "!!").replace("%", "!%").replace("_", "!_") for v in quoted]
+    if exact:
+        return " OR ".join(f"lower({c}) = '{v}'" for c in columns for v in quoted)
+    return " OR ".join(f"lower({c}) like '%{v}%' escape '!'" for c in columns for v in held)
 
 
 def as_regex(values: list[str]) -> str:
-    return "|".join(values)
+    """An alternation of the values as they are."""
+    return "|".join(re.sub(r"([^\w\s])", r"\\\1", v) for v in values)
+
+
+def search_text(columns: list[str], values: list[str], kind: str = "like", exact: bool = False) -> str:
+    """A predicate as text, by kind: like (equality if exact) or regex."""
+    if kind == "like":
+        return as_sql(columns, values, exact)
+    if kind != "regex":
+        raise ValueError(f"unknown kind {kind}")
+    pattern = as_regex([v.lower() for v in values]).replace("\\", "\\\\").replace("'", "\\'")
+    return " OR ".join(f"lower({c}) rlike '{pattern}'" for c in columns)
 
 
 def phrase(column: str, text: str) -> Column:

@@ -31,11 +31,34 @@ def add_totals_before(rows: DataFrame, keys: list[str], part: str, columns: list
     return join_null_safe(rows, sums.select(*keys, part, *before, *[F.sum(f"_t_{c}").over(by).alias(f"all_{c}") for c in columns]), [*keys, part])
 
 
+def bucket_of(edges: list, c: Column) -> Column:
+    """How many of the sorted edges are below c: a tree of comparisons, so that a row meets about log2 of them. Null: 0."""
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(c > F.lit(edges[mid]), tree(mid + 1, high)).otherwise(tree(low, mid))
+
+    return tree(0, len(edges))
+
+
+def in_parts(df: DataFrame, order: str) -> DataFrame:
+    """Adds _part, which rises with order and cuts the rows into up to PARTS shares of about equal size; the edges, no more than
+    PARTS values, are found in a job of their own."""
+    edges = df.agg(F.percentile_approx(order, [i / PARTS for i in range(1, PARTS)], 10_000)).first()[0] or []
+    return df.withColumn("_part", bucket_of(sorted(set(edges)), F.col(order)))
+
+
+def ranked_by(df: DataFrame, keys: list[str], order: str, ties: list[str]) -> DataFrame:
+    """Adds _rank, the place from 1 in the group by order and then ties (nulls first), and _all, the size of the group."""
+    rows = add_totals_before(in_parts(df, order).withColumn("_one", F.lit(1)), keys, "_part", ["_one"])
+    rank = F.col("before__one") + F.row_number().over(W.partitionBy(*keys, "_part").orderBy(order, *ties))
+    return rows.withColumns({"_rank": rank, "_all": F.col("all__one")}).drop("_one", "_part", "before__one", "all__one")
+
+
 def running_sums(df: DataFrame, keys: list[str], order: str, columns: list[str], down: bool = False) -> DataFrame:
     """Adds run_<c>, the sum of c over the group's rows up to and with this value of order (a number or a time), and all_<c>."""
-    cuts = df.agg(F.percentile_approx(order, [i / PARTS for i in range(1, PARTS)], 10_000).alias("_cuts"))  # one row
-    rows = df.crossJoin(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col(order)))).drop("_cuts")
-    rows = add_totals_before(rows, keys, "_part", columns, down)
+    rows = add_totals_before(in_parts(df, order), keys, "_part", columns, down)
     by = W.partitionBy(*keys, "_part").orderBy(F.desc(order) if down else F.asc(order))
     rows = rows.withColumns({f"run_{c}": F.col(f"before_{c}") + F.sum(c).over(by) for c in columns})
     return rows.drop("_part", *[f"before_{c}" for c in columns])

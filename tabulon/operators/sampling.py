@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .profile import keep_last
-from .running import add_totals_before
+from .running import add_totals_before, ranked_by
 
 
 def draw(seed: int, *keys: str) -> Column:
@@ -48,10 +48,18 @@ def cap_majority(df: DataFrame, label: str, key: str, times: int, seed: int = 0)
     return per_class(df.crossJoin(F.broadcast(cap)), label, key, F.col("_cap"), seed).drop("_cap")
 
 
-def top_up(df: DataFrame, pool: DataFrame, label: str, key: str, target: int, seed: int = 0) -> DataFrame:
-    """Rows of pool that bring every class of df up to target, as far as they go; nothing for unknown and other."""
-    lack = df.groupBy(label).agg(F.count("*").alias("_n")).where((F.col("_n") < target) & ~F.col(label).isin("unknown", "other"))
-    fresh = pool.join(df.select(key), key, "left_anti").join(lack.select(label, (F.lit(target) - F.col("_n")).cast("int").alias("_lack")), label)
+def _class_sizes(df: DataFrame, label: str, target: int | None) -> DataFrame:
+    """(label, _n, _to) of the classes but unknown and other; _to is target, or the size of the largest of them."""
+    sizes = df.groupBy(label).agg(F.count("*").alias("_n")).where(~F.col(label).isin("unknown", "other"))
+    most = F.max("_n").over(W.partitionBy(F.lit(1)))  # one row per class
+    return sizes.withColumn("_to", most if target is None else F.lit(target))
+
+
+def top_up(df: DataFrame, pool: DataFrame, label: str, key: str, target: int | None = None, seed: int = 0) -> DataFrame:
+    """Rows of pool that bring every class of df up to target (by default the size of its largest class), as far as they go;
+    nothing for unknown and other."""
+    lack = _class_sizes(df, label, target).where("_n < _to")
+    fresh = pool.join(df.select(key), key, "left_anti").join(lack.select(label, (F.col("_to") - F.col("_n")).cast("int").alias("_lack")), label)
     return per_class(fresh, label, key, F.col("_lack"), seed).select(*df.columns)
 
 
@@ -99,16 +107,20 @@ def weighted_choice(df: DataFrame, value: str, weight: str, keys: DataFrame, key
 
 
 def round_robin(df: DataFrame, group: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows taken from the groups in turn."""
-    rank = F.row_number().over(W.partitionBy(group).orderBy(draw(seed, key), key))
-    return df.withColumn("_r", rank).orderBy("_r", group).limit(n).drop("_r")
+    """n rows taken from the groups in turn. A group's place counts over the parts of its hashed order."""
+    return ranked(df, group, key, seed).orderBy("_rank", group).limit(n).drop("_rank", "_all")
 
 
 def interval_sample(df: DataFrame, order: str, key: str, n: int, group: str, seed: int = 0) -> DataFrame:
-    """One row from each of n equal parts of every group's ranking."""
-    part = F.ntile(n).over(W.partitionBy(group).orderBy(order, key))
-    rows = df.withColumn("tile", part)
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy(group, "tile").orderBy(draw(seed, key), key))).where("_r = 1").drop("_r")
+    """One row from each of n equal parts of every group's ranking. The place in the ranking counts over parts of the order, so
+    that no task sorts a whole group; of each tile the first row in hashed order is one aggregate."""
+    rows = ranked_by(df, [group], order, [key])
+    base, more = F.floor(F.col("_all") / n), F.pmod(F.col("_all"), F.lit(n))  # the first tiles have one row more
+    i = F.col("_rank") - 1
+    tile = F.when(i < more * (base + 1), F.floor(i / (base + 1))).otherwise(more + F.floor((i - more * (base + 1)) / F.greatest(base, F.lit(1)))) + 1
+    rows = rows.withColumns({"tile": tile.cast("int"), "_d": draw(seed, key)})
+    first = rows.groupBy(group, "tile").agg(F.min(F.struct("_d", F.col(key).alias("_k"), F.struct(*df.columns).alias("_row"))).alias("_f"))
+    return first.select("_f._row.*", "tile")
 
 
 def two_classes_even(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
@@ -125,14 +137,14 @@ def class_quota(df: DataFrame, label: str, key: str, n: int, seed: int = 0) -> D
     return per_class(df.join(quota, label), label, key, F.col("_quota"), seed).drop("_quota")
 
 
-def top_up_report(df: DataFrame, pool: DataFrame, label: str, key: str, target: int) -> DataFrame:
+def top_up_report(df: DataFrame, pool: DataFrame, label: str, key: str, target: int | None = None) -> DataFrame:
     """Every class of df but unknown and other: its size n, the fresh rows of pool (found), those that top_up adds (added), and
     whether pool has any (hit)."""
     fresh = pool.join(df.select(key), key, "left_anti").groupBy(label).agg(F.count("*").alias("found"))
-    out = df.groupBy(label).agg(F.count("*").alias("n")).where(~F.col(label).isin("unknown", "other")).join(fresh, label, "left")
+    out = _class_sizes(df, label, target).withColumnRenamed("_n", "n").join(fresh, label, "left")
     out = out.withColumn("found", F.coalesce("found", F.lit(0)))
-    added = F.least("found", F.greatest(F.lit(target) - F.col("n"), F.lit(0)))
-    return out.withColumns({"added": added, "hit": F.col("found") > 0})
+    added = F.least("found", F.greatest(F.col("_to") - F.col("n"), F.lit(0)))
+    return out.withColumns({"added": added, "hit": F.col("found") > 0}).drop("_to")
 
 
 def distinct_samples(df: DataFrame, label: str, key: str, columns: list[str], n: int, seed: int = 0) -> DataFrame:

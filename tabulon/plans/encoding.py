@@ -13,7 +13,7 @@ def categorify(spark, d):
     return encode.categorify(rows, "t", "code").select("p_partkey", F.col("code").cast("long").alias("code"))
 
 
-@query("encoded_orders")
+@query("encoded_orders", "WITH r AS (SELECT *, dense_rank() OVER (ORDER BY CAST(o_custkey % 40 AS VARCHAR)) AS c FROM orders) SELECT o_orderkey, (o_orderstatus = 'F')::INT AS \"o_orderstatus_F\", (o_orderstatus = 'O')::INT AS \"o_orderstatus_O\", (o_orderstatus = 'P')::INT AS \"o_orderstatus_P\", (o_orderpriority = '1-URGENT')::INT AS \"o_orderpriority_1-URGENT\", (o_orderpriority = '2-HIGH')::INT AS \"o_orderpriority_2-HIGH\", (o_orderpriority = '3-MEDIUM')::INT AS \"o_orderpriority_3-MEDIUM\", (o_orderpriority = '4-NOT SPECIFIED')::INT AS \"o_orderpriority_4-NOT SPECIFIED\", (o_orderpriority = '5-LOW')::INT AS \"o_orderpriority_5-LOW\", CAST((c >> 5) & 1 AS INT) AS c_0, CAST((c >> 4) & 1 AS INT) AS c_1, CAST((c >> 3) & 1 AS INT) AS c_2, CAST((c >> 2) & 1 AS INT) AS c_3, CAST((c >> 1) & 1 AS INT) AS c_4, CAST((c >> 0) & 1 AS INT) AS c_5 FROM r")
 def encoded_orders(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("o_custkey") % 40).cast("string").alias("c"), F.lit(None).cast("string").alias("gone"))
     return encode.encode_columns(rows, ["o_orderstatus", "o_orderpriority", "c", "gone"])
@@ -25,9 +25,9 @@ def imputed_prices(spark, d):
     return encode.impute_mean(rows, ["v"]).withColumn("v", F.round("v", 4))
 
 
-@query("unit_rows", "SELECT l_orderkey, l_linenumber, round(l_tax / nullif(sqrt(l_tax * l_tax + l_discount * l_discount), 0), 6) AS a FROM lineitem WHERE l_tax + l_discount > 0")
+@query("unit_rows", "SELECT l_orderkey, l_linenumber, coalesce(round(l_tax / nullif(sqrt(l_tax * l_tax + l_discount * l_discount), 0), 6), 0.0) AS a FROM lineitem")
 def unit_rows(spark, d):
-    rows = table(spark, d, "lineitem").where("l_tax + l_discount > 0").select("l_orderkey", "l_linenumber", "l_tax", "l_discount")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", "l_discount")
     return encode.unit_rows(rows, ["l_tax", "l_discount"]).select("l_orderkey", "l_linenumber", F.round("l_tax", 6).alias("a"))
 
 

@@ -91,7 +91,7 @@ def cluster_scores(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query("centroid_members")
+@query("centroid_members", "WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL), d AS (SELECT e.label, e.vec_id, round(1 - sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))), 6) AS distance FROM e JOIN m ON e.label = m.label AND e.i = m.i GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM d) SELECT label, vec_id, distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5")
 def centroid_members(spark, d):
     return cluster.around_centroid(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 5)
 

@@ -23,10 +23,10 @@ def even_classes(spark, d):
     return sampling.two_classes_even(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey")
 
 
-@query("top_up", "WITH o AS (SELECT * FROM orders WHERE o_orderkey % 5 = 0), l AS (SELECT o_orderpriority, 650 - count(*) AS lack FROM o GROUP BY ALL HAVING count(*) < 650), r AS (SELECT p.o_orderkey, p.o_orderpriority, lack, row_number() OVER (PARTITION BY p.o_orderpriority ORDER BY md5('0|' || p.o_orderkey), p.o_orderkey) AS i FROM orders p JOIN l USING (o_orderpriority) WHERE p.o_orderkey % 5 <> 0) SELECT o_orderkey, o_orderpriority FROM r WHERE i <= lack")
+@query("top_up", "WITH o AS (SELECT * FROM orders WHERE o_orderkey % 5 = 0), c AS (SELECT o_orderpriority, count(*) AS n FROM o GROUP BY ALL), l AS (SELECT o_orderpriority, (SELECT max(n) FROM c) - n AS lack FROM c WHERE n < (SELECT max(n) FROM c)), r AS (SELECT p.o_orderkey, p.o_orderpriority, lack, row_number() OVER (PARTITION BY p.o_orderpriority ORDER BY md5('0|' || p.o_orderkey), p.o_orderkey) AS i FROM orders p JOIN l USING (o_orderpriority) WHERE p.o_orderkey % 5 <> 0) SELECT o_orderkey, o_orderpriority FROM r WHERE i <= lack")
 def top_up(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    return sampling.top_up(rows.where("o_orderkey % 5 = 0"), rows, "o_orderpriority", "o_orderkey", 650)
+    return sampling.top_up(rows.where("o_orderkey % 5 = 0"), rows, "o_orderpriority", "o_orderkey")
 
 
 @query("class_quota", f"WITH {_ranked('o_orderpriority', 'o_orderkey', 'orders')}, q AS (SELECT *, dense_rank() OVER (ORDER BY o_orderpriority) AS c, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS k FROM r) SELECT o_orderkey, o_orderpriority FROM q WHERE i <= 103 // k + CASE WHEN c <= 103 % k THEN 1 ELSE 0 END")
@@ -65,10 +65,10 @@ def class_folds(spark, d):
     return sampling.folds(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 5).select("o_orderkey", "fold")
 
 
-@query("top_up_report", "WITH o AS (SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY ALL), f AS (SELECT o_orderpriority, count(*) AS found FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderpriority <> '2-HIGH' GROUP BY ALL) SELECT o_orderpriority, n, coalesce(found, 0) AS found, least(coalesce(found, 0), greatest(650 - n, 0)) AS added, coalesce(found, 0) > 0 AS hit FROM o LEFT JOIN f USING (o_orderpriority)")
+@query("top_up_report", "WITH o AS (SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey % 5 = 0 GROUP BY ALL), f AS (SELECT o_orderpriority, count(*) AS found FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderpriority <> '2-HIGH' GROUP BY ALL) SELECT o_orderpriority, n, coalesce(found, 0) AS found, least(coalesce(found, 0), (SELECT max(n) FROM o) - n) AS added, coalesce(found, 0) > 0 AS hit FROM o LEFT JOIN f USING (o_orderpriority)")
 def top_up_report(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    return sampling.top_up_report(rows.where("o_orderkey % 5 = 0"), rows.where("o_orderkey % 5 = 0 or o_orderpriority <> '2-HIGH'"), "o_orderpriority", "o_orderkey", 650)
+    return sampling.top_up_report(rows.where("o_orderkey % 5 = 0"), rows.where("o_orderkey % 5 = 0 or o_orderpriority <> '2-HIGH'"), "o_orderpriority", "o_orderkey")
 
 
 @query("distinct_samples", "WITH u AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey DESC) = 1) SELECT o_orderkey, o_orderpriority, o_custkey FROM u QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('0|' || o_orderkey), o_orderkey) <= 3")

@@ -91,7 +91,7 @@ def nearest_name(spark, d):
     return nearest.nearest(table(spark, d, "part"), "p_type", targets, "n", "n_nationkey")
 
 
-@query("nearest_name_jaro_winkler")
+@query("nearest_name_jaro_winkler", "WITH v AS (SELECT DISTINCT p_type AS value FROM part), t AS (SELECT upper(n_name) AS target, min(n_nationkey) AS ord FROM nation GROUP BY ALL), p AS (SELECT value, target, round(1 - jaro_winkler_similarity(value, target), 9) AS distance, row_number() OVER (PARTITION BY value ORDER BY round(1 - jaro_winkler_similarity(value, target), 9), ord, target) AS r FROM v CROSS JOIN t) SELECT value, target, distance FROM p WHERE r = 1")
 def nearest_name_jaro_winkler(spark, d):
     targets = table(spark, d, "nation").select(F.upper("n_name").alias("n"), "n_nationkey")
     far = lambda a, b: F.round(1 - sim.jaro_winkler_column(a, b), 9)
@@ -105,11 +105,11 @@ def token_similarity(spark, d):
     return nearest.token_similarity(types.join(names, "a", "left_semi"), "a", "b", sim.ratio_column)
 
 
-@query("synonym_keys", "WITH d AS (SELECT p_partkey, p_brand, p_type, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'M' || p_partkey % 5 END AS m, CASE p_partkey % 4 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'DISCOURAGED' ELSE 'DEPRECATED' END AS s, p_size AS v FROM part WHERE p_size % 5 = 0), g AS (SELECT *, count(*) OVER w AS n, sum((m IS NULL)::INT) OVER w AS bare, max(CASE WHEN m IS NULL THEN p_partkey END) OVER w AS k1, sum((s = 'ACTIVE')::INT) OVER w AS act, max(CASE WHEN s = 'ACTIVE' THEN p_partkey END) OVER w AS k2, sum((m IS NULL AND s = 'ACTIVE')::INT) OVER w AS ba, max(CASE WHEN m IS NULL AND s = 'ACTIVE' THEN p_partkey END) OVER w AS k3, sum((m IS NULL AND s = 'DISCOURAGED')::INT) OVER w AS bd, max(CASE WHEN m IS NULL AND s = 'DISCOURAGED' THEN p_partkey END) OVER w AS k4, sum((s <> 'DEPRECATED')::INT) OVER w AS alive, max(CASE WHEN m IS NULL THEN v * 10000000 + p_partkey END) OVER w % 10000000 AS k5 FROM d WINDOW w AS (PARTITION BY p_brand, p_type)), k AS (SELECT p_partkey, n, CASE WHEN bare = 1 THEN k1 WHEN bare = 0 THEN CASE WHEN act = 1 THEN k2 END WHEN ba = 1 THEN k3 WHEN bd = 1 THEN k4 WHEN alive = 0 THEN k5 END AS key FROM g) SELECT p_partkey, key FROM k WHERE n > 1 AND key IS NOT NULL")
+@query("synonym_keys", "WITH d AS (SELECT p_partkey, p_brand, p_type, p_size, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'M' || p_partkey % 5 END AS m, CASE p_partkey % 4 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'DISCOURAGED' ELSE 'DEPRECATED' END AS s, p_partkey % 13 AS v FROM part), g AS (SELECT *, count(*) OVER w AS n, sum((m IS NULL)::INT) OVER w AS bare, max(CASE WHEN m IS NULL THEN p_partkey END) OVER w AS k1, sum((s = 'ACTIVE')::INT) OVER w AS act, max(CASE WHEN s = 'ACTIVE' THEN p_partkey END) OVER w AS k2, sum((m IS NULL AND s = 'ACTIVE')::INT) OVER w AS ba, max(CASE WHEN m IS NULL AND s = 'ACTIVE' THEN p_partkey END) OVER w AS k3, sum((m IS NULL AND s = 'DISCOURAGED')::INT) OVER w AS bd, max(CASE WHEN m IS NULL AND s = 'DISCOURAGED' THEN p_partkey END) OVER w AS k4, sum((s <> 'DEPRECATED')::INT) OVER w AS alive, max(CASE WHEN m IS NULL THEN v * 10000000 + p_partkey END) OVER w % 10000000 AS k5 FROM d WINDOW w AS (PARTITION BY p_brand, p_type, p_size)), k AS (SELECT p_partkey, n, CASE WHEN bare = 1 THEN k1 WHEN bare = 0 THEN CASE WHEN act = 1 THEN k2 END WHEN ba = 1 THEN k3 WHEN bd = 1 THEN k4 WHEN alive = 0 THEN k5 END AS key FROM g) SELECT p_partkey, key FROM k WHERE n > 1 AND key IS NOT NULL")
 def synonym_keys(spark, d):
     k = F.col("p_partkey")
-    rows = table(spark, d, "part").where("p_size % 5 = 0").select("p_partkey", "p_brand", "p_type", F.when(k % 3 != 0, F.concat(F.lit("M"), k % 5)).alias("m"), F.when(k % 4 == 0, "ACTIVE").when(k % 4 == 1, "DISCOURAGED").otherwise("DEPRECATED").alias("s"), F.col("p_size").alias("v"))
-    return dictionary.synonym_keys(rows, ["p_brand", "p_type"], "p_partkey", "m", "s", "v")
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size", F.when(k % 3 != 0, F.concat(F.lit("M"), k % 5)).alias("m"), F.when(k % 4 == 0, "ACTIVE").when(k % 4 == 1, "DISCOURAGED").otherwise("DEPRECATED").alias("s"), (k % 13).alias("v"))
+    return dictionary.synonym_keys(rows, ["p_brand", "p_type", "p_size"], "p_partkey", "m", "s", "v")
 
 
 @query("token_expansions", "WITH p AS (SELECT string_split(p_brand, '#') AS s, string_split(p_name || ' ' || p_type, ' ') AS l FROM part), w AS (SELECT l, len(s) AS ns, len(l) AS nl, unnest(s) AS token, unnest(range(len(s))) AS i FROM p), r AS (SELECT token, l, nl, CASE WHEN nl >= ns THEN i ELSE i - 2 END AS b, unnest([1, 2, 3]) AS k FROM w) SELECT token, array_to_string(l[b + 1:b + k], ' ') AS expansion, count(*) AS n FROM r WHERE b >= 0 AND b + k <= nl GROUP BY ALL")

@@ -52,7 +52,14 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> None:
-    """Merges rows into a parquet table: new rows win. The merged table is written beside the old one before it takes its place."""
+    """Merges rows into a parquet table: new rows win. The merged table is written once, beside the old one, and takes its place
+    by renaming; the old one is kept aside until that is done."""
     merged = merge_rows(spark.read.parquet(path), new, keys)
     merged.write.mode("overwrite").parquet(f"{path}.new")
-    spark.read.parquet(f"{path}.new").write.mode("overwrite").parquet(path)
+    at = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old")]
+    fs = at[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(at[2], True)
+    if not (fs.rename(at[0], at[2]) and fs.rename(at[1], at[0])):
+        raise OSError(f"could not put the merged table at {path}")
+    fs.delete(at[2], True)
+    spark.catalog.refreshByPath(path)
