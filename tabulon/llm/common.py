@@ -134,32 +134,43 @@ def grown(array: np.ndarray, used: int, fresh: np.ndarray) -> np.ndarray:
 
 
 class ChunkTable:
-    """Rows of numbers that describe words, worked out once per word: texts repeat their words. Emptied beyond max_bytes
-    (an estimate of what its words take), between two calls of rows()."""
+    """Rows of numbers that describe words, worked out once per word: texts repeat their words. Beyond max_bytes (an estimate of
+    what its words take) only words that came more than once stay, up to half of that, between two calls of rows()."""
 
     WORD = 200  # bytes of a short word with its place in the table
 
-    def __init__(self, describe: Callable[[list], list[np.ndarray]], max_bytes: int = 24 << 20):
+    def __init__(self, describe: Callable[[list], list[np.ndarray]], max_bytes: int = 64 << 20):
         self.describe, self.max_bytes = describe, max_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.at, self.columns, self.taken = {}, [], 0
+        self.at, self.columns, self.seen, self.taken = {}, [], np.zeros(0, np.int64), 0
+
+    def _add(self, new: list) -> None:
+        size, fresh = len(self.at), self.describe(new)
+        self.columns = [grown(c, size, x) for c, x in zip(self.columns, fresh, strict=True)] if self.columns else fresh
+        self.seen = grown(self.seen, size, np.zeros(len(new), np.int64))
+        self.at.update(zip(new, range(size, size + len(new)), strict=True))
+        self.taken += self.WORD * len(new) + sum(map(len, new))
+
+    def _thin(self) -> None:
+        words = list(self.at)
+        seen = self.seen[: len(words)]
+        often = [words[i] for i in np.argsort(-seen, kind="stable")[: self.max_bytes // 2 // (self.taken // len(words))] if seen[i] > 1]
+        self.clear()
+        self._add(often)
 
     def rows(self, words: list) -> np.ndarray:
         """The row of every word; columns[k][rows] are its numbers (columns may have room behind the last row)."""
         if self.taken > self.max_bytes:
-            self.clear()
+            self._thin()
         get = self.at.get
         out = np.array([get(w, -1) for w in words], np.int64)
         missing = np.flatnonzero(out < 0)
         if len(missing) or not self.columns:
-            new = list(dict.fromkeys(words[i] for i in missing))
-            size, fresh = len(self.at), self.describe(new)
-            self.columns = [grown(c, size, x) for c, x in zip(self.columns, fresh, strict=True)] if self.columns else fresh
-            self.at.update(zip(new, range(size, size + len(new)), strict=True))
-            self.taken += self.WORD * len(new) + sum(map(len, new))
-            out[missing] = [get(words[i]) for i in missing]
+            self._add(list(dict.fromkeys(words[i] for i in missing)))
+            out[missing] = [self.at[words[i]] for i in missing]
+        self.seen[: len(self.at)] += np.bincount(out, minlength=len(self.at))
         return out
 
 

@@ -44,7 +44,7 @@ class WordIds:
     MARK = "\x01"
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.table, self.flat = tokenizer, ChunkTable(self.describe), np.zeros(0, np.uint32)
+        self.tokenizer, self.table, self.flat = tokenizer, ChunkTable(self.describe, 96 << 20), np.zeros(0, np.uint32)
         self.used = 0
         mark = self.ids(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
