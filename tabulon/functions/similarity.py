@@ -3,6 +3,8 @@ meant for distinct pairs."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,3 +93,42 @@ def common_substring(a: Column, b: Column) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1)))
     longest = lambda i: F.array_max(F.transform(F.sequence(F.lit(0), F.length(a) - i + 1), lambda n: F.when(F.contains(b, F.substring(a, i, n)), n).otherwise(0)))
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.array_max(F.transform(starts, longest)))
+
+
+def common_substring_text(a: Column, b: Column) -> Column:
+    """The longest common substring, the first in a of equals."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1)))
+    longest = lambda i: F.array_max(F.transform(F.sequence(F.lit(0), F.length(a) - i + 1), lambda n: F.when(F.contains(b, F.substring(a, i, n)), n).otherwise(0)))
+    best = F.array_max(F.transform(starts, lambda i: F.struct(longest(i).alias("n"), (-i).alias("at"))))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit("")).otherwise(F.substring(a, -best["at"], best["n"]))
+
+
+def common_subsequence_of(texts: list) -> list:
+    """A longest common subsequence of texts or token lists, by steps to the nearest place of each symbol in all of them."""
+    if not texts or not all(texts):
+        return []
+    symbols = sorted(set(texts[0]).intersection(*texts[1:]))
+    after = [{s: [j for j, x in enumerate(t) if x == s] for s in symbols} for t in texts]
+    best: dict[tuple, tuple] = {}  # reached places -> the symbols so far; one layer per length
+    layer: dict[tuple, tuple] = {tuple(-1 for _ in texts): ()}
+    while layer:
+        best, layer = layer, {}
+        for at, got in best.items():
+            for s in symbols:
+                step = []
+                for places, i in zip(after, at, strict=True):
+                    k = bisect_right(places[s], i)
+                    if k == len(places[s]):
+                        break
+                    step.append(places[s][k])
+                else:
+                    layer.setdefault(tuple(step), (*got, s))
+    return list(next(iter(best.values())))
+
+
+def common_subsequence_column(texts: Column) -> Column:
+    """A longest common subsequence of the texts of an array column."""
+    def over(x: pd.Series) -> pd.Series:
+        return pd.Series(["".join(common_subsequence_of([t or "" for t in row])) if row is not None else None for row in x], dtype=object)
+
+    return F.pandas_udf(over, "string")(texts)

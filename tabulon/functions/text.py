@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -36,7 +37,7 @@ def clean_tokens(c: Column, stop: Iterable[str] = STOP_WORDS) -> Column:
     # a token without a cut is itself or a stop word; most texts have none that is cut
     plain = F.filter(tokens, lambda t: ~t.isin(*stop))
     one = lambda t: F.when(F.translate(t, "/\\-", "") == t, F.filter(F.array(t), lambda x: ~x.isin(*stop))).otherwise(_leading(F.split(F.translate(t, "/\\-", "   "), " "), stop))
-    return F.when(F.contains(text, F.lit("/")) | F.contains(text, F.lit("\\")) | F.contains(text, F.lit("-")), F.flatten(F.transform(tokens, one))).otherwise(plain)
+    return F.when(F.contains(c, F.lit("/")) | F.contains(c, F.lit("\\")) | F.contains(c, F.lit("-")), F.flatten(F.transform(tokens, one))).otherwise(plain)
 
 
 def clean_term(c: Column, stop: Iterable[str] = STOP_WORDS) -> Column:
@@ -102,7 +103,11 @@ def tokenize(c: Column) -> Column:
 
 def ngrams(tokens: Column, n: int, ordered: bool = True) -> Column:
     """Runs of n tokens, none if there are fewer; ordered=False: each run sorted, so that order does not count."""
-    run = F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.slice(tokens, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>"))
+    def runs(t: Column) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(t, i, F.lit(n)))
+
+    run = F.flatten(F.transform(F.array(tokens), runs))  # tokens are bound once, however often they are read
     return run if ordered else F.transform(run, lambda r: F.array_sort(r))
 
 
@@ -128,3 +133,18 @@ def age(year: Column, as_of: int, mean_year: Column) -> Column:
 
 def icd_dotted(code: Column) -> Column:
     return F.concat(F.substring(code, 1, 3), F.lit("."), F.substring(code, 4, 20))
+
+
+def clean_tag(c: Column, sites: Iterable[str] = ()) -> Column:
+    """The tag with the names of sites taken out as whole words, then cleaned."""
+    for s in sites:
+        c = F.regexp_replace(c, "(?i)(^|[^\\w])" + re.escape(s) + "(?![\\w])", "$1")
+    return clean_term(standardize(c))
+
+
+def codes_of(names: Iterable[str], description: Column, code: Column) -> Column:
+    """The dotted code where the description holds one of the names, ignoring case; else null."""
+    found = F.lit(False)
+    for n in names:
+        found = found | F.contains(F.lower(description), F.lit(n.lower()))
+    return F.when(found, icd_dotted(code))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_term, clean_tokens, standardize
+from ..functions.text import clean_term, clean_tokens, dedup_words, standardize
 from .profile import share_of_group
 
 
@@ -41,3 +41,16 @@ def without_frequent(df: DataFrame, site: str, key: str, column: str, most: floa
     left = words.join(often, [site, "term"], "left_anti").groupBy(site, key).agg(F.array_sort(F.collect_list(F.struct("_i", "term"))).alias("_w"))
     left = left.select(site, key, F.array_join(F.transform("_w", lambda x: x["term"]), " ").alias("cleaned"))
     return rows.select(site, key).join(left, [site, key], "left").fillna("", ["cleaned"])
+
+
+def with_cleaned(df: DataFrame, cleaned: DataFrame, site: str, column: str, out: str) -> DataFrame:
+    """df with the cleaned form of column from cleaned(site, column, original, cleaned), by site and text; null where there is none."""
+    entry = cleaned.where(F.col("column") == column).select(F.col(site).alias("_s"), F.col("original").alias("_o"), F.col("cleaned").alias(out))
+    return df.join(entry, (df[site] == F.col("_s")) & (standardize(df[column]) == F.col("_o")), "left").drop("_s", "_o")
+
+
+def process_text(c: Column, clean: bool = True, standard: bool = True, dedup: bool = False) -> Column:
+    """A text standardized, then cleaned or with its blanks made single, then with repeated words out, as the switches say."""
+    text = standardize(c) if standard else F.coalesce(c, F.lit(""))
+    text = clean_term(text) if clean else F.trim(F.regexp_replace(text, r"\s+", " "))
+    return dedup_words(text) if dedup else text

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -109,3 +110,43 @@ def label_shares(df: DataFrame, cluster: str, label: str) -> DataFrame:
 def spectral(edges: DataFrame, k: int, rounds: int = 20) -> DataFrame:
     """(id, cluster) from weighted links (src, dst, weight) by power iteration on the normalised affinity."""
     return PowerIterationClustering(k=k, maxIter=rounds, initMode="degree", weightCol="weight").assignClusters(edges)
+
+
+def adjusted_mutual_information(df: DataFrame, cluster: str, label: str) -> DataFrame:
+    """One row: mutual information of clusters and labels above what chance gives, over the mean of both entropies above it.
+
+    Chance: the mean over all tables with the same margins. It is a sum over cells of cluster x label, each worked out from its
+    two margins alone, however many rows they count."""
+    cell = df.groupBy(cluster, label).agg(F.count("*").alias("n"))
+    a, b = cell.groupBy(cluster).agg(F.sum("n").alias("a")), cell.groupBy(label).agg(F.sum("n").alias("b"))
+    total = cell.agg(F.sum("n").alias("t"))  # one row
+
+    @F.pandas_udf("double")
+    def chance(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
+        out = []
+        for x, y, n in zip(a.tolist(), b.tolist(), t.tolist(), strict=True):
+            low, high = max(1, x + y - n), min(x, y)
+            g = math.lgamma
+            fixed = g(x + 1) + g(y + 1) + g(n - x + 1) + g(n - y + 1) - g(n + 1)
+            out.append(sum(k / n * math.log(n * k / (x * y)) * math.exp(fixed - g(k + 1) - g(x - k + 1) - g(y - k + 1) - g(n - x - y + k + 1)) for k in range(low, high + 1)))
+        return pd.Series(out)
+
+    # sizes of clusters and labels, not rows: equal margins are worked out once
+    sizes = a.groupBy("a").agg(F.count("*").alias("i")).crossJoin(b.groupBy("b").agg(F.count("*").alias("j"))).crossJoin(F.broadcast(total))
+    expect = sizes.agg(F.sum(F.col("i") * F.col("j") * chance("a", "b", "t")).alias("e"))
+    entropy = lambda rows, c, out: rows.crossJoin(F.broadcast(total)).agg(F.sum(-F.col(c) / F.col("t") * F.log(F.col(c) / F.col("t"))).alias(out))
+    mutual = cell.join(a, cluster).join(b, label).crossJoin(F.broadcast(total)).agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("a") * F.col("b")))).alias("m"))
+    row = mutual.crossJoin(expect).crossJoin(entropy(a, "a", "ha")).crossJoin(entropy(b, "b", "hb"))  # one row each
+    below = (F.col("ha") + F.col("hb")) / 2 - F.col("e")
+    return row.select(F.when(F.abs(below) < 1e-12, F.lit(1.0)).otherwise((F.col("m") - F.col("e")) / below).alias("adjusted_mutual_information"))
+
+
+def knn_agreement(df: DataFrame, key: str, vector: str, label: str, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(key, agree): for each of the given queries (key) the share of its k nearest other rows, by cosine, that have its label.
+    A stated set of queries against all rows: partial aggregation keeps k rows a task and query."""
+    own = df.join(queries.select(key), key, "left_semi").select(F.col(key).alias("_q"), F.col(vector).alias("_x"), F.col(label).alias("_l"))
+    pairs = df.crossJoin(own).where(F.col(key) != F.col("_q"))
+    near = F.struct(F.round(1 - cosine(F.col(vector), F.col("_x")), 9).alias("d"), F.col(key).alias("k"), (F.col(label) == F.col("_l")).alias("same"))
+    best = pairs.groupBy("_q", F.spark_partition_id()).agg(F.slice(F.array_sort(F.collect_list(near)), 1, k).alias("b"))
+    best = best.groupBy("_q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("b"))), 1, k).alias("b"))
+    return best.select(F.col("_q").alias(key), (F.size(F.filter("b", lambda x: x["same"])) / F.size("b")).alias("agree"))

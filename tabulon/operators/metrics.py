@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -124,3 +126,31 @@ def all_scores(df: DataFrame, keys: list[str], label: str, score: str) -> DataFr
     for part in parts[1:]:
         out = join_null_safe(out, part, keys)
     return out
+
+
+def summary_of(df: DataFrame, name: str, value: str, least: int = 1, **aggregates: Column) -> DataFrame:
+    """(name, n, one column per aggregate) of the names that have least values or more; aggregates are Columns over value, the
+    mean if none is given."""
+    out = aggregates or {"mean": F.avg(value)}
+    return df.groupBy(name).agg(F.count(value).alias("n"), *[c.alias(k) for k, c in out.items()]).where(F.col("n") >= least)
+
+
+def combine_by(df: DataFrame, item: str, aggregate: Column) -> DataFrame:
+    """Scores of several methods as one per item, by any aggregate."""
+    return df.groupBy(item).agg(aggregate.alias("score"))
+
+
+def compare_estimates(before: DataFrame, after: DataFrame, label: str, score: str) -> DataFrame:
+    """One row: auc, fmax, fmax_negative and brier of both tables of scores, and what the second gains."""
+    a, b = all_scores(before, [], label, score), all_scores(after, [], label, score)
+    names = a.columns
+    both = a.select(*[F.col(c).alias(f"{c}_before") for c in names]).crossJoin(F.broadcast(b.select(*[F.col(c).alias(f"{c}_after") for c in names])))  # one row each
+    return both.withColumns({f"{c}_gain": F.col(f"{c}_after") - F.col(f"{c}_before") for c in names})
+
+
+def divide_methods(df: DataFrame, method: str, groups: dict[str, list[str]], other: str = "other") -> DataFrame:
+    """Adds group: the first whose prefixes a method's name begins with."""
+    c = F.lit(other)
+    for name, starts in reversed(groups.items()):
+        c = F.when(reduce(Column.__or__, [F.col(method).startswith(s) for s in starts]), F.lit(name)).otherwise(c)
+    return df.withColumn("group", c)

@@ -141,3 +141,38 @@ def standard_scores(df: DataFrame, columns: list[str]) -> DataFrame:
     z = lambda c: (F.col(c) - F.col(f"_{c}.mean")) / F.nullif(F.col(f"_{c}.deviation"), F.lit(0.0))
     row = df.crossJoin(F.broadcast(one)).agg(*[F.struct(F.any_value(f"_{c}").alias("s"), F.count_if(z(c) < -3).alias("n_low"), F.count_if(z(c) > 3).alias("n_high")).alias(c) for c in columns])
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)["s"]["n"].alias("n"), F.col(c)["s"]["mean"].alias("mean"), F.col(c)["s"]["deviation"].alias("deviation"), F.col(c)["n_low"].alias("n_low"), F.col(c)["n_high"].alias("n_high")) for c in columns])).alias("s")).select("s.*")
+
+
+def interval_about(df: DataFrame, keys: list[str], column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """Values at positions int(p x n) from 0, the upper one no more than 1, their distances below and above the mean, deviation."""
+    c = order_interval(df, keys, column, low, high).withColumn("high", F.least("high", F.lit(1.0)))
+    return c.select(*keys, "low", "high", (F.col("mean") - F.col("low")).alias("below"), (F.col("high") - F.col("mean")).alias("above"), "deviation")
+
+
+def mean_abs_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the mean of the absolute correlations of all pairs of columns."""
+    return correlations(df, columns).agg(F.avg(F.abs("r")).alias("mean_abs_r"))
+
+
+def informative(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys and the z-scores of those columns that have no null, without rows whose mean score is 0."""
+    from .encode import scale
+
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()  # one row
+    kept = [c for c in columns if nulls[c] == 0]
+    z = scale(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in kept]), kept, "zscore")
+    return z.where(F.abs(reduce(lambda a, b: a + b, [F.col(c) for c in kept])) > 1e-12) if kept else z
+
+
+def common_values(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """The values that both tables have."""
+    return a.select(column).intersect(b.select(column))
+
+
+def join_all(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Inner join on key; an error if a row of either side has no partner or several."""
+    out = a.join(b, key)
+    n = [x.count() for x in (a, b, out)]
+    if len(set(n)) > 1:
+        raise ValueError(f"rows {n[0]} and {n[1]} give {n[2]}")
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import product
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def by_prefix(columns: list[str], prefixes: dict[str, list[str]], other: str = "other") -> dict[str, list[str]]:
@@ -48,3 +49,15 @@ def short_names(columns: list[str], drop_prefix: str, shorten: dict[str, str]) -
             new = new.replace(long, short)
         out[c] = new
     return out
+
+
+def to_xy(df: DataFrame, label: str, features: list[str] | None = None, untracked: list[str] | None = None, scaler: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(features, label) as two tables with a shared row key _row: the columns named, or all but the label and the untracked ones;
+    scaler: minmax or zscore."""
+    from .encode import scale
+
+    require(df.columns, [label, *(features or [])])
+    names = features or [c for c in df.columns if c not in (label, *(untracked or []))]
+    rows = df.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    x = rows.select("_row", *names)
+    return (scale(x, names, scaler) if scaler else x), rows.select("_row", label)

@@ -35,8 +35,12 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(draw(seed, key), key).limit(n)
 
 
-def balance_to_median(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
-    """Classes above the median class size are cut down to it."""
+def balance_to_median(df: DataFrame, label: str, key: str, seed: int = 0, pool: DataFrame | None = None) -> DataFrame:
+    """Classes above the median class size are cut down to it. With a pool, classes below it are filled up from it instead, as far
+    as its rows go."""
+    if pool is not None:
+        median = df.groupBy(label).agg(F.count("*").alias("_n")).agg(F.floor(F.percentile("_n", 0.5)).cast("int")).first()[0]  # one number
+        return df.unionByName(top_up(df, pool, label, key, median or 0, seed))
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
     cap = sizes.agg(F.floor(F.percentile("_n", 0.5)).cast("int").alias("_cap"))  # one row
     return per_class(df.crossJoin(F.broadcast(cap)), label, key, F.col("_cap"), seed).drop("_cap")

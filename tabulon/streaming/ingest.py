@@ -7,14 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.canonical import canonicalize
+from ..operators.sampling import per_class
+from ..sources.files import exists
 
 
-def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, code: str) -> StreamingQuery:
-    """Reads new files of source, makes code canonical, drops rows repeated within a batch, and appends to target. A batch
-    that is run again after a failure replaces what it wrote before, as its number is a partition."""
+def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, code: str, top_up: int | None = None) -> StreamingQuery:
+    """Reads new files of source, makes code canonical, drops rows whose key the batch or an earlier batch has, and appends to
+    target. A batch that is run again after a failure replaces what it wrote before, as its number is a partition.
+
+    top_up: once target has rows, a batch gives no class more rows than bring it to so many, and nothing to unknown and other."""
 
     def write(batch: DataFrame, number: int) -> None:
-        canonicalize(batch.dropDuplicates([key]), code).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rows = canonicalize(batch.dropDuplicates([key]), code)
+        if number and exists(batch.sparkSession, target):
+            before = batch.sparkSession.read.parquet(target).where(F.col("batch") < number)
+            rows = rows.join(before.select(key), key, "left_anti")
+            if top_up is not None:
+                sizes = before.groupBy(code).agg(F.count("*").alias("_n"))
+                lack = F.when(F.col(code).isin("unknown", "other"), 0).otherwise(F.greatest(F.lit(top_up) - F.coalesce("_n", F.lit(0)), F.lit(0))).cast("int")
+                rows = per_class(rows.join(sizes, code, "left").withColumn("_lack", lack), code, key, F.col("_lack")).drop("_n", "_lack")
+        rows.select(*batch.columns).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
