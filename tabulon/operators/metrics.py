@@ -119,13 +119,22 @@ def method_summary(df: DataFrame, metric: str, value: str) -> DataFrame:
 
 
 def all_scores(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
-    """auc, fmax, fmax_negative (label 0 is the one to find, by the same scores) and brier, side by side."""
-    flipped = df.withColumn(label, 1 - F.col(label))
-    parts = [roc_auc(df, keys, label, score), fmax(df, keys, label, score).select(*keys, "fmax"), fmax(flipped, keys, label, score).select(*keys, F.col("fmax").alias("fmax_negative")), brier(df, keys, label, score)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = join_null_safe(out, part, keys)
-    return out
+    """auc, fmax, fmax_negative (label 0 is the one to find, by the same scores) and brier, all from one curve."""
+    counts = df.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count("*").alias("_n"))
+    c = running_sums(counts, keys, score, ["_p", "_n"], down=True)
+    hits, n, s = F.col("_p"), F.col("_n"), F.col(score)
+    tp, taken, positives, total = F.col("run__p"), F.col("run__n"), F.col("all__p"), F.col("all__n")
+    negatives = total - positives
+
+    def best(found, wanted):  # F of precision found / taken and recall found / wanted
+        return F.max(F.when((found > 0) & (wanted > 0), 2 * (found / taken) * (found / wanted) / (found / taken + found / wanted)).when(wanted > 0, F.when(found > 0, F.lit(0.0))))
+
+    below = F.sum(hits * (negatives - (taken - tp) + (n - hits) / 2))
+    return c.groupBy(*keys).agg(
+        (below / F.nullif(F.max(positives) * F.max(negatives), F.lit(0))).alias("auc"),
+        best(tp, positives).alias("fmax"), best(taken - tp, negatives).alias("fmax_negative"),
+        (1 - F.sum(hits * (s - 1) ** 2 + (n - hits) * s**2) / F.max(total)).alias("brier"),
+    )
 
 
 def summary_of(df: DataFrame, name: str, value: str, least: int = 1, **aggregates: Column) -> DataFrame:

@@ -11,19 +11,43 @@ from pyspark.sql import Window as W
 from ..functions.similarity import common_substring
 
 
-def nearest(values: DataFrame, value: str, targets: DataFrame, target: str, order: str, most: int = 20_000, distance: Callable[[Column, Column], Column] = F.levenshtein) -> DataFrame:
+def _rare_grams(texts: DataFrame, column: str, counts: DataFrame, n: int) -> DataFrame:
+    """(column, g): the n pairs of letters of each text that counts(g, n) has least, unknown ones first."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(column) - 1), lambda i: F.substring(F.col(column), i, F.lit(2)))
+    grams = texts.where(F.length(column) > 1).select(column, F.explode(F.array_distinct(pairs)).alias("g")).join(counts, "g", "left")
+    place = F.row_number().over(W.partitionBy(column).orderBy(F.coalesce("n", F.lit(0)), "g"))
+    return grams.withColumn("_r", place).where(F.col("_r") <= n).select(column, "g")
+
+
+def within(own: DataFrame, words: DataFrame, most: int) -> DataFrame:
+    """(value, b): the nearest target of values that have one within most edits, found by pairs of letters: an edit changes two of
+    them at most, so that such strings share one of their 2 most + 1 rarest. Values of no more pairs than 2 most are left out."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length("target") - 1), lambda i: F.substring("target", i, F.lit(2)))
+    counts = words.where("length(target) > 1").select(F.explode(F.array_distinct(pairs)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    long = own.where(F.length("value") > 1)
+    kinds = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring("value", i, F.lit(2))))
+    long = long.where(F.size(kinds) > 2 * most)
+    met = _rare_grams(long, "value", counts, 2 * most + 1).join(_rare_grams(words, "target", counts, 2 * most + 1), "g").select("value", "target").distinct()
+    near = met.where(F.abs(F.length("value") - F.length("target")) <= most).withColumn("d", F.levenshtein("value", "target")).where(F.col("d") <= most)
+    return near.join(words, "target").groupBy("value").agg(F.min(F.struct("d", "ord", "target")).alias("b"))
+
+
+def nearest(values: DataFrame, value: str, targets: DataFrame, target: str, order: str, most: int = 20_000, distance: Callable[[Column, Column], Column] = F.levenshtein, blocked: int = 2) -> DataFrame:
     """(value, target, distance): for each distinct value the nearest of the targets, the first by order of equals.
 
-    Exact: every value is compared with every dictionary token. The dictionary is broadcast after its size has been checked;
+    Exact. By edit distance, values that have a target within blocked edits are settled by a join on shared pairs of letters; only
+    the others are compared with every dictionary token. The dictionary is broadcast after its size has been checked;
     beyond most entries it is dealt out in blocks of that size, each joined in turn, and the block winners meet in one
     aggregation. Values are made distinct first, which is where the work is saved."""
     own = values.select(F.col(value).alias("value")).where("value is not null").distinct()
     words = targets.select(F.col(target).alias("target"), F.col(order).alias("ord")).where("target is not null").groupBy("target").agg(F.min("ord").alias("ord"))
     blocks = max(1, -(-words.count() // most))
-    found = []
+    close = within(own, words, blocked) if distance is F.levenshtein and blocked > 0 else None
+    left = own if close is None else own.join(close, "value", "left_anti")
+    found = [] if close is None else [close]
     for b in range(blocks):
         part = words if blocks == 1 else words.where(F.pmod(F.xxhash64("target"), F.lit(blocks)) == b)
-        pairs = own.join(F.broadcast(part)).withColumn("d", distance(F.col("value"), F.col("target")))
+        pairs = left.join(F.broadcast(part)).withColumn("d", distance(F.col("value"), F.col("target")))
         found.append(pairs.groupBy("value").agg(F.min(F.struct("d", "ord", "target")).alias("b")))
     out = found[0]
     for x in found[1:]:
