@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ChunkTable, bitmap, bitmap_bits, components, discard, in_bitmap, materialize, mix64, read_table, small_batches, text_bytes, tidy, window_hashes
+from .common import bitmap, bitmap_bits, components, discard, in_bitmap, materialize, mix64, read_table, small_batches, text_bytes, tidy, window_hashes
 
 #: Second-level partitions of a first-level one; subsets leave one of them out.
 THIRDS = 3
@@ -77,24 +77,44 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
 
 
 class Shingles:
-    """Sorted distinct shingle hashes of texts: A-Z lower-cased, words between blanks, width words each; fewer words are one."""
+    """Sorted distinct shingle hashes of texts: A-Z lower-cased, words between blanks, width words each; fewer words are one.
+
+    A word's hash is a polynomial over its bytes, taken from running sums over the whole batch, then mixed with its length."""
+
+    BASE = 0x9E3779B97F4A7C15
+    LETTERS = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=np.uint64)
+    BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
     def __init__(self, width: int):
-        self.width, self.table = width, ChunkTable(lambda words: [np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)])
+        self.width, self.powers, self.inverse = width, np.ones(1, np.uint64), np.ones(1, np.uint64)
 
-    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+    def _words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and where each text's words begin (and the end)."""
         data, at = text_bytes(column)
-        whole = data.tobytes().lower()  # of bytes: A-Z only
-        words: list[bytes] = []
-        ends = [0]
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+        if len(self.powers) < n:
+            size = max(n, 2 * len(self.powers))
+            steps = [np.full(size, x, np.uint64) for x in (self.BASE, pow(self.BASE, -1, 1 << 64))]
+            for row in steps:
+                row[0] = 1
+            self.powers, self.inverse = (np.multiply.accumulate(row) for row in steps)
+        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+        inside = ~self.BLANK[data]
+        edge = np.zeros(n + 1, bool)
+        edge[at] = True  # words do not go on into the next text
+        begin = np.flatnonzero(inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])))
+        end = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) + 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.LETTERS[data] * self.powers[:n], dtype=np.uint64)])
+        return mix64((sums[end] - sums[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), np.searchsorted(begin, at)
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        codes, at = self._words(column)
+        hashes, out, width = window_hashes(codes, self.width), [], self.width
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            words += whole[a:b].split()  # of bytes: at the six ASCII blanks
-            ends.append(len(words))
-        codes = self.table.columns[0][rows] if len(rows := self.table.rows(words)) else np.zeros(0, np.uint64)
-        hashes, out = window_hashes(codes, self.width), []
-        for a, b in zip(ends, ends[1:], strict=False):
             n = b - a
-            out.append(np.unique(hashes[a : b - self.width + 1] if n >= self.width else window_hashes(codes[a:b], n) + np.uint64(n) if n else codes[:0]))
+            out.append(np.unique(hashes[a : b - width + 1] if n >= width else window_hashes(codes[a:b], n) + np.uint64(n) if n else codes[:0]))
         return out
 
 
@@ -120,7 +140,7 @@ def set_rows(docs: DataFrame, width: int, bits: int) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1 << 20):
             sets = shingles(batch.column("text"))
             codes = [set_codes(s, bits) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], *zip(*codes, strict=True)))], names=["doc_id", "n_shingles", "v", "w"])
@@ -134,7 +154,7 @@ def signature_rows(docs: DataFrame, width: int, percent: int, bits: int, taken:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, met = Shingles(width), set()
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1 << 20):
             sigs, codes = [], []
             for s in shingles(batch.column("text")):
                 if len(s) and (v := vertex(set_codes(s, bits), taken)) not in met:
@@ -189,7 +209,7 @@ def fetch_sets(docs: DataFrame, vertices: DataFrame, width: int, bits: int, take
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", 1 << 20):
             ids = batch.column("doc_id").to_pylist()
             keys = np.array([0 if d is None else xxhash.xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42) for d in ids], np.uint64)
             batch = batch.filter(pa.array(in_bitmap(seen.value, keys) | np.array([d is None for d in ids])))
