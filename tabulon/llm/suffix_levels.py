@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,8 +96,8 @@ class Levels:
         return [x for x in self.levels if x is not None]
 
     def add(self, rows: DataFrame) -> None:
-        """rows: one for each prefix that no level has."""
-        at, old = 0, []
+        """rows: one for each prefix that no level has, of a written table that discard() may delete with the level."""
+        at, old, own = 0, [], rows
         while at < len(self.levels) and self.levels[at] is not None:
             old.append(self.levels[at])
             self.levels[at], at = None, at + 1
@@ -104,8 +105,10 @@ class Levels:
             self.levels.append(None)
         for other in old:
             rows = rows.union(other)
-        self.levels[at] = materialize(rows.repartition("p1", "p2").sortWithinPartitions("p1", "p2") if old else rows, "level")
-        discard(*old)
+        if old:
+            rows = materialize(rows.repartition("p1", "p2").sortWithinPartitions("p1", "p2"), "level")
+            discard(own, *old)
+        self.levels[at] = rows
 
 
 def merge_scan(rows: DataFrame, every: bool = False) -> DataFrame:
@@ -149,6 +152,7 @@ def merge_scan(rows: DataFrame, every: bool = False) -> DataFrame:
 
 ROWS = "p1 long, p2 long, doc_id long, tag long, start long, stop long, hot boolean, body binary"
 NAMES = ["p1", "p2", "doc_id", "tag", "start", "stop", "hot", "body"]
+OUT = ["what", "doc_id", "tag", "a", "b", "body"]
 
 
 def contents(texts: DataFrame, span: int) -> DataFrame:
@@ -209,14 +213,13 @@ def repeats(rows: DataFrame, span: int, limit: int = 300_000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, seen, whole, over = None, {}, {}, False
         for batch in batches:
+            settled, crowded = pc.is_null(batch.column("body")), batch.column("hot")
+            for what, rows in ((0, batch.filter(settled)), (1, batch.filter(crowded))):
+                if rows.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, what, np.int32)), *(rows.column(c) for c in ("doc_id", "tag", "start", "stop", "body"))], names=OUT)
+            batch = batch.filter(pc.invert(pc.or_(settled, crowded)))
             out: list[tuple] = []
-            for p1, p2, doc, tag, start, stop, hot, body in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if body is None:
-                    out.append((0, doc, tag, start, stop, None))
-                    continue
-                if hot:
-                    out.append((1, doc, tag, start, stop, body))
-                    continue
+            for tag, (p1, p2, doc, start, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("p1", "p2", "doc_id", "start", "body")), strict=True)):  # tag: by its row
                 if (p1, p2) != key:
                     key, seen, whole, over = (p1, p2), {}, {}, False
                 if whole.get(body, doc) < doc:
@@ -240,11 +243,12 @@ def repeats(rows: DataFrame, span: int, limit: int = 300_000) -> DataFrame:
                     out.append((0, doc, tag, start + begin, start + end, None))
                 if len(seen) > limit:
                     over = True
-                    out += [(2, d, 0, 0, span, w) for w, d in seen.items()]
+                    out += [(2, d, None, 0, span, w) for w, d in seen.items()]
                     seen = {}
             if out:
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)], names=["what", "doc_id", "tag", "a", "b", "body"])
+                what, doc, at, a, b, body = zip(*out, strict=True)
+                tag = pc.fill_null(batch.column("tag").take(pa.array(at, pa.int32())), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(what, pa.int32()), pa.array(doc, pa.int64()), tag, pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(body, pa.binary())], names=OUT)
 
     rows = rows.repartition("p1", "p2").sortWithinPartitions("p1", "p2", "doc_id", "start")
     return rows.mapInArrow(run, "what int, doc_id long, tag long, a long, b long, body binary")
@@ -289,13 +293,13 @@ def cut_repeats(docs: DataFrame, span: int = 50, batches: int | None = None, lim
         else:
             seen = materialize(merge_scan(scan, True), "suffixes")
             shared.append(materialize(seen.where("shared").select("p1", "p2", "v"), "shared"))
-            levels.add(seen.where("head").select("p1", "p2", "v"))
-            discard(seen)
+            fresh = seen.where("head").select("p1", "p2", "v")
+            fresh._written_at = seen._written_at
+            levels.add(fresh)
     discard(*levels.all())
     prefix = shared[0]
     for x in shared[1:]:
         prefix = prefix.union(x)
-    prefix = prefix.distinct()
     crowded = materialize(prefix.groupBy("p1", "p2").count().where(F.col("count") > hot).select("p1", "p2", F.lit(True).alias("hot")), "crowded")
     prefix = prefix.join(crowded, ["p1", "p2"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = prefix.groupBy("v").agg(F.collect_set(F.struct("p1", "p2", "hot")).alias("shared"))
