@@ -22,22 +22,25 @@ def standardize(c: Column) -> Column:
     return F.coalesce(F.upper(F.trim(c)), F.lit(""))
 
 
-def _leading(parts: Column, stop: Iterable[str]) -> Column:
-    """The pieces before the first that is empty or a stop word."""
-    bad = F.array_position(F.transform(parts, lambda p: p.isin("", *stop)), True)
-    return F.when(bad == 0, parts).otherwise(F.slice(parts, F.lit(1), (bad - 1).cast("int")))
+def _any_of(marks: str) -> str:
+    return "[" + "".join("\\" + x if x in "^[]\\-" else x for x in marks) + "]"
+
+
+def _cuts(stop: Iterable[str]) -> str:
+    """What a cut removes from tokens that stand one blank apart: all of a token from its first empty piece or stop word on, where
+    / \\ and - part the pieces."""
+    words = "|".join("".join(x if x.isalnum() else "\\" + x for x in w) for w in stop)
+    whole = rf"(?:{words})(?=[/\\ -]|\z)" if words else r"(?!)"
+    return rf"(?<![^ ])(?:[/\\-]|{whole})[^ ]*|[/\\-](?:[/\\-]|{whole})[^ ]*"
 
 
 def clean_tokens(c: Column, stop: Iterable[str] = STOP_WORDS) -> Column:
     """Tokens of a term: punctuation to space, dates out, first occurrences only; then each token is cut at / \\ - and its
-    pieces count up to the first empty one or stop word."""
-    text = F.translate(F.coalesce(c, F.lit("")), _TO_SPACE + "'", " " * len(_TO_SPACE))
-    text = F.regexp_replace(text, DATES, "")  # dates have no blank, so that this is the same token by token
-    tokens = F.array_distinct(F.filter(F.split(text, " "), lambda t: t != ""))
-    # a token without a cut is itself or a stop word; most texts have none that is cut
-    plain = F.filter(tokens, lambda t: ~t.isin(*stop))
-    one = lambda t: F.when(F.translate(t, "/\\-", "") == t, F.filter(F.array(t), lambda x: ~x.isin(*stop))).otherwise(_leading(F.split(F.translate(t, "/\\-", "   "), " "), stop))
-    return F.when(F.contains(c, F.lit("/")) | F.contains(c, F.lit("\\")) | F.contains(c, F.lit("-")), F.flatten(F.transform(tokens, one))).otherwise(plain)
+    pieces count up to the first empty one or stop word. Regular expressions run over the whole term, as they never cross a blank."""
+    plain = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("'"), F.lit("")), DATES, "")  # dates hold no mark
+    tokens = F.array_distinct(F.filter(F.split(plain, _any_of(_TO_SPACE + " ")), lambda t: t != ""))
+    pieces = F.regexp_replace(F.array_join(tokens, " "), _cuts(stop), "")
+    return F.filter(F.split(pieces, r"[ /\\-]"), lambda t: t != "")
 
 
 def clean_term(c: Column, stop: Iterable[str] = STOP_WORDS) -> Column:

@@ -14,7 +14,7 @@ from .running import join_null_safe, running_sums
 def curve(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """(keys, score, tp, fp, positives, total) at every distinct score taken as threshold."""
     counts = df.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count("*").alias("_n"))
-    rows = running_sums(counts, keys, score, ["_p", "_n"], down=True)
+    rows = running_sums(counts, keys, score, ["_p", "_n"], down=True, source=df)
     return rows.select(*keys, score, F.col("run__p").alias("tp"), (F.col("run__n") - F.col("run__p")).alias("fp"), F.col("all__p").alias("positives"), F.col("all__n").alias("total"))
 
 
@@ -29,7 +29,7 @@ def fmax(df: DataFrame, keys: list[str], label: str, score: str, beta: float = 1
 def roc_auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """Area by the rank sum, ties by their mean rank."""
     c = df.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count("*").alias("_n"))
-    c = running_sums(c, keys, score, ["_n"])
+    c = running_sums(c, keys, score, ["_n"], source=df)
     rank = F.col("run__n") - (F.col("_n") - 1) / 2
     sums = c.withColumn("_r", rank * F.col("_p")).groupBy(*keys).agg(F.sum("_r").alias("_r"), F.sum("_p").alias("p"), F.sum("_n").alias("n"))
     return sums.select(*keys, ((F.col("_r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0))).alias("auc"))
@@ -121,7 +121,7 @@ def method_summary(df: DataFrame, metric: str, value: str) -> DataFrame:
 def all_scores(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """auc, fmax, fmax_negative (label 0 is the one to find, by the same scores) and brier, all from one curve."""
     counts = df.groupBy(*keys, score).agg(F.sum(label).alias("_p"), F.count("*").alias("_n"))
-    c = running_sums(counts, keys, score, ["_p", "_n"], down=True)
+    c = running_sums(counts, keys, score, ["_p", "_n"], down=True, source=df)
     hits, n, s = F.col("_p"), F.col("_n"), F.col(score)
     tp, taken, positives, total = F.col("run__p"), F.col("run__n"), F.col("all__p"), F.col("all__n")
     negatives = total - positives

@@ -41,7 +41,7 @@ def five_number(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """The value at which half of the weight is reached; the mean of two where a sum is exactly half."""
-    rows = running_sums(df.groupBy(*keys, value).agg(F.sum(weight).alias("_w")), keys, value, ["_w"])
+    rows = running_sums(df.groupBy(*keys, value).agg(F.sum(weight).alias("_w")), keys, value, ["_w"], source=df)
     before, upto, every = 2 * (F.col("run__w") - F.col("_w")), 2 * F.col("run__w"), F.col("all__w")
     hit = (upto >= every) & (before < every)
     found = rows.groupBy(*keys).agg(F.max(F.when(hit, F.col(value))).alias("_v"), F.bool_or(hit & (upto == every)).alias("_even"), F.min(F.when(before >= every, F.col(value))).alias("_next"))
