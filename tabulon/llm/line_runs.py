@@ -40,10 +40,9 @@ def line_array(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _batches(docs: DataFrame, batches: int) -> list[Column]:
-    """Conditions that cut the documents into ranges of ascending id of about equal size; null ids come first."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5])).first()[0] or []
-    cuts = sorted(set(cuts)) if batches > 1 else []
+def _batches(docs: DataFrame, shares: list[float]) -> list[Column]:
+    """Conditions that cut the documents into ranges of ascending id that end at these shares of them; null ids come first."""
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares)).first()[0] or [])) if shares else []
     edges = [None, *cuts, None]
     out = []
     for low, high in zip(edges, edges[1:], strict=False):
@@ -56,6 +55,10 @@ def _batches(docs: DataFrame, batches: int) -> list[Column]:
     return out
 
 
+def even(batches: int) -> list[float]:
+    return [i / batches for i in range(1, batches)]
+
+
 def batch_count(docs: DataFrame, fanout: int, rows_a_batch: int = 100_000_000) -> int:
     """So many batches that two levels are compacted and read again, and more where a batch would be very large."""
     return max(2 * fanout + 1, -(-docs.count() // rows_a_batch))
@@ -71,7 +74,7 @@ def repeated_lines(docs: DataFrame, batches: int, min_chars: int = 10, fanout: i
     Null ids sort first and are never dropped against each other."""
     lines = docs.select(*TEXT, F.posexplode(line_array(F.col("text"))).alias("pos", "line")).select(*TEXT, "pos", line_key(F.col("line")).alias("k")).where(F.char_length("k") >= min_chars)
     lines = lines.select(*TEXT, "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2"))
-    runs, drops, ranges = Runs(fanout), [], _batches(docs, batches)
+    runs, drops, ranges = Runs(fanout), [], _batches(docs, even(batches))
     for n, batch in enumerate(ranges):
         here = lines.where(batch)
         keys = here.groupBy(*HASH).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("null_id"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, mix64, read_table, small_batches, text_bytes, tidy
-from .line_runs import _batches
+from .line_runs import _batches, even
 
 GRAM = 16
 _PIECE = 8 << 20
@@ -264,13 +264,19 @@ def grouped_runs(rest: DataFrame, span: int) -> DataFrame:
     return runs.where("what = 1").join(least, ["r1", "r2"]).where("least < doc_id").select("doc_id", "tag", "a", (F.col("a") + span).alias("b"))
 
 
+def schedule(rows: int, rows_a_batch: int) -> list[float]:
+    """Where batches end: an eighth, an eighth, a quarter, a half, so that later batches scan no more rows in levels than they bring;
+    equal batches of rows_a_batch where half of the rows are more than that."""
+    return [1 / 8, 1 / 4, 1 / 2] if rows <= 2 * rows_a_batch else even(-(-rows // rows_a_batch))
+
+
 def cut_repeats(docs: DataFrame, span: int = 50, batches: int | None = None, limit: int = 300_000, hot: int = 10_000, rows_a_batch: int = 100_000_000) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay).
 
     A byte goes if a run of span bytes over it also starts in a document of a smaller id. Null text is empty. Rows with a null
     id keep all their bytes and take none from others; rows that repeat an id are one document, each with its own text. Prefixes
-    that more than hot texts have are settled run by run instead of in one task. At least four batches, so that levels merge
-    and are read again."""
+    that more than hot texts have are settled run by run instead of in one task. There are four batches or more, see
+    schedule(), so that levels merge and are read again."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"v": F.xxhash64("text"), "w": F.xxhash64(F.lit(7), "text")})
     known = docs.where("doc_id is not null")
     codes = known.select("doc_id", "v", "w", F.octet_length("text").alias("n"))
@@ -283,7 +289,7 @@ def cut_repeats(docs: DataFrame, span: int = 50, batches: int | None = None, lim
     several = heads.groupBy("head").count().where("count > 1").select("head", F.lit(True).alias("several"))
     heads = materialize(heads.join(several, "head", "left").select("v", "w", "head", F.when(F.col("several"), F.col("v")).otherwise(F.lit(0)).alias("tag")), "heads")
     levels, shared = Levels(), []
-    ranges = _batches(known, batches or max(4, -(-known.count() // rows_a_batch)))
+    ranges = _batches(known, even(batches) if batches else schedule(known.count(), rows_a_batch))
     for k, batch in enumerate(ranges):
         scan = suffix_rows(known.where(batch), span).withColumn("old", F.lit(False))
         for level in levels.all():
