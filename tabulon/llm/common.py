@@ -139,8 +139,8 @@ class ChunkTable:
 
     WORD = 200  # bytes of a short word with its place in the table
 
-    def __init__(self, describe: Callable[[list], list[np.ndarray]], max_bytes: int = 64 << 20):
-        self.describe, self.max_bytes = describe, max_bytes
+    def __init__(self, describe: Callable[[list], list[np.ndarray]], max_bytes: int = 64 << 20, thinned: Callable[[], None] | None = None):
+        self.describe, self.max_bytes, self.thinned = describe, max_bytes, thinned
         self.clear()
 
     def clear(self) -> None:
@@ -153,17 +153,25 @@ class ChunkTable:
         self.at.update(zip(new, range(size, size + len(new)), strict=True))
         self.taken += self.WORD * len(new) + sum(map(len, new))
 
-    def _thin(self) -> None:
-        words = list(self.at)
-        seen = self.seen[: len(words)]
-        often = [words[i] for i in np.argsort(-seen, kind="stable")[: self.max_bytes // 2 // (self.taken // len(words))] if seen[i] > 1]
+    def thin(self, most: int) -> None:
+        """Keeps words that came more than once, the most frequent ones, up to most bytes."""
+        words, seen = list(self.at), self.seen[: len(self.at)]
+        order = np.argsort(-seen, kind="stable")[: most * len(words) // max(1, self.taken)]
+        order = order[seen[order] > 1]
+        own = [words[i] for i in order.tolist()]
+        columns = [c[order] for c in self.columns]
         self.clear()
-        self._add(often)
+        if own:
+            self.columns, self.seen = columns, np.zeros(len(own), np.int64)
+            self.at = dict(zip(own, range(len(own)), strict=True))
+            self.taken = self.WORD * len(own) + sum(map(len, own))
+        if self.thinned:
+            self.thinned()
 
     def rows(self, words: list) -> np.ndarray:
         """The row of every word; columns[k][rows] are its numbers (columns may have room behind the last row)."""
         if self.taken > self.max_bytes:
-            self._thin()
+            self.thin(self.max_bytes // 2)
         get = self.at.get
         out = np.array([get(w, -1) for w in words], np.int64)
         missing = np.flatnonzero(out < 0)

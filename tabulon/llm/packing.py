@@ -44,7 +44,7 @@ class WordIds:
     MARK = "\x01"
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.table, self.flat = tokenizer, ChunkTable(self.describe, 96 << 20), np.zeros(0, np.uint32)
+        self.tokenizer, self.table, self.flat = tokenizer, ChunkTable(self.describe, 96 << 20, self.compact), np.zeros(0, np.uint32)
         self.used = 0
         mark = self.ids(self.MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
@@ -75,10 +75,19 @@ class WordIds:
             self.used += len(ids)
         return [starts, n]
 
-    def forget(self) -> None:
-        """Empties the table of words; the tokenizer stays."""
-        self.table.clear()
-        self.flat, self.used = np.zeros(0, np.uint32), 0
+    def compact(self) -> None:
+        """Leaves in flat only the ids of words that the table still has."""
+        if not self.table.columns:
+            self.flat, self.used = np.zeros(0, np.uint32), 0
+            return
+        starts, sizes = self.table.columns
+        before = np.cumsum(sizes) - sizes
+        self.flat = self.flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+        self.table.columns, self.used = [before, sizes], len(self.flat)
+
+    def rest(self, most: int = 16 << 20) -> None:
+        """Between tasks only the most frequent words stay, so that the next task need not meet them anew."""
+        self.table.thin(most)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts back to back, each with END behind it; the offset of each text."""
@@ -104,7 +113,6 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_tokenizer(tokenizer)
-        encode.forget()
         for batch in small_batches(batches, "text"):
             ids, at = encode([t or "" for t in batch.column("text").to_pylist()])
             rows = []
@@ -114,7 +122,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
                     rows.append((doc, s - a, e - s, zlib.crc32(ids[s:e].astype("<u4").tobytes()), b - a))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        encode.forget()
+        encode.rest()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
