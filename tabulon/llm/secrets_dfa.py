@@ -390,7 +390,7 @@ def find_secrets(docs: DataFrame, rules: dict = RULES, key: str = "doc_id") -> D
             where = where - doc - at[doc]  # in its own text
             spans: list[list] = [[] for _ in range(n)]
             first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else ()
-            for a, b in zip(first, [*first[1:], len(doc)], strict=True):
+            for a, b in zip(first, [*first[1:], len(doc)], strict=False):
                 i = int(doc[a])
                 ends = {k: own.tolist() for k in range(len(kinds)) if len(own := where[a:b][(flags[a:b] >> k & 1).astype(bool)])}
                 spans[i] = [{"kind": kinds[k], "start": s, "end": e} for s, k, e in spans_of(data[at[i] : at[i + 1]].tobytes(), ends, pairs)]
