@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hash_tree, imatch, line_runs, nbsvm, packing, partenum, secrets_dfa, suffix_levels, templates, url_rules
+from . import hash_tree, imatch, line_runs, nbsvm, packing, partenum, pieces, resample, secrets_dfa, suffix_levels, templates, turns, url_rules
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_runs": line_runs.query,
         "op9_imatch": imatch.query,
         "op10_suffix_levels": suffix_levels.query,
+        "op11_piece_backtracking": pieces.query,
+        "op12_turn_repair": turns.query,
+        "op13_importance_resampling": resample.query,
         "pipeline": _pipeline,
     }
 
