@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -119,37 +120,38 @@ class PieceModel:
         not in the order of their ranks, or pieces share a score, all symbols are merged again."""
         if not self.walks or left[-1] in self.tied and right[0] in self.tied:
             return self.merge([*left, *right], len(left)) is not None
-        never = len(self.rank)
-        a, b = iter(self.last.get(left, ())), iter(self.first.get(right, ()))
-        (x, after_x), (y, after_y) = next(a, (left, never)), next(b, (right, never))
+        rank, never = self.rank.get, len(self.rank)
+        lasts, firsts = self.last.get(left, ()), self.first.get(right, ())
+        i = j = 0
+        x, after_x = lasts[0] if lasts else (left, never)
+        y, after_y = firsts[0] if firsts else (right, never)
         while True:
-            across = self.rank.get(x + y, never)
-            if across < after_x and across <= after_y and across < never:
-                return False
-            if after_x == after_y == never:
-                return True
+            across = rank(x + y, never)
+            if across < after_x and across <= after_y:
+                return across == never
             if after_x <= after_y:
-                x, after_x = next(a, (left, never))
+                if after_x == never:
+                    return True
+                i += 1
+                x, after_x = lasts[i] if i < len(lasts) else (left, never)
             else:
-                y, after_y = next(b, (right, never))
+                j += 1
+                y, after_y = firsts[j] if j < len(firsts) else (right, never)
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text, characters outside the vocabulary by themselves."""
         n = len(text)
-        longest: list[str | None] = [None] * n
-        for end, piece in self.finder.iter(text[::-1]):  # matches of one end come longest first
-            if longest[n - 1 - end] is None:
-                longest[n - 1 - end] = piece
-        open_at, out, at = bytearray(b"\x01") * (n + 1), [], 0
-        piece = (longest[0] or text[0]) if n else None
+        longest = dict(reversed(list(self.finder.iter(text[::-1])))).get  # matches of one end come longest first: the last to be set
+        shorter, compatible, open_at, out, at = self.shorter.get, self.compatible, bytearray(b"\x01") * (n + 1), [], 0
+        piece = longest(n - 1, text[0]) if n else None
         while piece is not None:
             end = at + len(piece)
-            if open_at[end] and (not out or self.compatible(out[-1], piece)):
+            if open_at[end] and (not out or compatible(out[-1], piece)):
                 out.append(piece)
                 at = end
-                piece = (longest[at] or text[at]) if at < n else None
+                piece = longest(n - 1 - at, text[at]) if at < n else None
                 continue
-            piece = self.shorter.get(piece)
+            piece = shorter(piece)
             if piece is None:  # nothing fits behind the last piece: it ends at a failed position
                 open_at[at] = 0
                 piece = out.pop()
@@ -157,17 +159,17 @@ class PieceModel:
         return out
 
     def encode_chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for p in self.split(chunk):
+        ids = array("i")
+        for p in (chunk,) if chunk in self.shorter else self.split(chunk):
             i = self.id.get(p)
-            ids += [i] if i is not None else [self.byte[b] for b in p.encode("utf-8")]
-        return np.array(ids, "<i4").tobytes()
+            ids.extend((i,) if i is not None else [self.byte[b] for b in p.encode("utf-8")])
+        return ids.tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
-            return np.zeros(0, "<i4")
+            return np.zeros(0, np.int32)
         chunks = self.chunks(SPACE + text.replace(" ", SPACE))
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), "<i4")
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids: one leading space goes, bytes that form no character become U+FFFD each."""
@@ -244,7 +246,9 @@ def decode(df: DataFrame, model: str, column: str = "ids") -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                made = pa.array([own.decode(x or []) for x in part.column("given").to_pylist()], pa.string())
+                given = part.column("given")
+                ids, at = given.flatten().to_numpy().tolist(), np.concatenate([[0], np.cumsum(given.value_lengths().fill_null(0).to_numpy())]).tolist()
+                made = pa.array([own.decode(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("row"), made], names=["row", "made"])
 
     return _with(df, column, "decoded", "string", run)
