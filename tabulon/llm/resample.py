@@ -18,7 +18,7 @@ from .common import UPPER, materialize, read_table, small_batches, tidy
 #: Runs of digits, lower-case ASCII letters and all characters from U+0080.
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans(UPPER, UPPER.lower())
-BLOCK_ENTRIES = 1 << 18
+BLOCK_ENTRIES = 1 << 15
 BLOCK = "block long, ids array<{kind}>, words array<int>, indptr array<int>, indices array<smallint>, data array<int>"
 
 
