@@ -24,7 +24,7 @@ class Memo(dict):
     """What make() gives for a string, worked out when it is first asked for. Two generations bound it: when the newer one
     takes max_bytes it becomes the older one, and what is asked for again moves on."""
 
-    def __init__(self, make, max_bytes: int = 96 << 20):
+    def __init__(self, make, max_bytes: int = 64 << 20):
         super().__init__()
         self.make, self.max_bytes, self.old, self.taken = make, max_bytes, {}, 0
 
@@ -40,9 +40,8 @@ class Memo(dict):
         return value
 
 
-class PieceModel:
-    """A model's pieces and scores. Merging joins, again and again, the neighbours whose piece has the highest score, the
-    leftmost of equal ones. A run of pieces is what merging gives exactly if it gives every two neighbours back as they are."""
+class Surfaces:
+    """What a model's ids stand for."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -61,6 +60,39 @@ class PieceModel:
         self.surface = [bytes([self.byte.index(i)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.decode([i]).encode() if sp.is_unknown(i) else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in every]
         self.bytes = set(self.byte)
         self.spaced = {i for p, i in self.id.items() if p.startswith(SPACE)}
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of any ids: one leading space goes, bytes that form no character become U+FFFD each."""
+        first = next((i for i in ids if i not in self.hidden), None)
+        skip = int(first in self.spaced)
+        if self.hidden.isdisjoint(ids):
+            try:
+                return b"".join(map(self.surface.__getitem__, ids))[skip:].decode("utf-8")
+            except UnicodeDecodeError:
+                pass
+        return self._lenient(ids)[skip:]
+
+    def _lenient(self, ids: list[int]) -> str:
+        out, run = [], b""
+        for i in [*ids, None]:
+            if i in self.bytes:
+                run += self.surface[i]
+                continue
+            while run:
+                size = next((k for k in range(1, 5) if k <= len(run) and _is_character(run[:k])), 0)
+                out.append(run[:size].decode("utf-8") if size else "�")
+                run = run[size or 1 :]
+            if i is not None:
+                out.append(self.surface[i].decode("utf-8"))
+        return "".join(out)
+
+
+class PieceModel(Surfaces):
+    """A model's pieces and scores. Merging joins, again and again, the neighbours whose piece has the highest score, the
+    leftmost of equal ones. A run of pieces is what merging gives exactly if it gives every two neighbours back as they are."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
         self.rank = {s: k for k, s in enumerate(sorted(set(self.score.values()), reverse=True))}
         self.rank = {p: self.rank[s] for p, s in self.score.items()}
         common = Counter(self.rank[p] for p in self.id if len(p) > 1)
@@ -73,7 +105,8 @@ class PieceModel:
         for p in own:
             prefixes = (p[:k] for k in range(len(p) - 1, 0, -1))
             self.shorter[p] = next((q for q in prefixes if len(q) == 1 or q in have), None)
-            self.finder.add_word(p[::-1], p)
+            if len(p) > 1:  # a character alone is what is left where nothing else fits
+                self.finder.add_word(p[::-1], p)
         self.finder.make_automaton()
         self.compatible = lru_cache(1 << 17)(self._compatible)
         self.memo = Memo(self.encode_chunk)
@@ -159,11 +192,11 @@ class PieceModel:
         return out
 
     def encode_chunk(self, chunk: str) -> bytes:
-        ids = array("i")
-        for p in (chunk,) if chunk in self.shorter else self.split(chunk):
-            i = self.id.get(p)
-            ids.extend((i,) if i is not None else [self.byte[b] for b in p.encode("utf-8")])
-        return ids.tobytes()
+        pieces = (chunk,) if chunk in self.shorter else self.split(chunk)
+        ids = list(map(self.id.get, pieces))
+        if None in ids:
+            ids = [i for p in pieces for i in ((self.id[p],) if p in self.id else [self.byte[b] for b in p.encode("utf-8")])]
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -171,31 +204,6 @@ class PieceModel:
         chunks = self.chunks(SPACE + text.replace(" ", SPACE))
         return np.frombuffer(b"".join(map(self.memo.__getitem__, chunks)), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of any ids: one leading space goes, bytes that form no character become U+FFFD each."""
-        first = next((i for i in ids if i not in self.hidden), None)
-        skip = int(first in self.spaced)
-        if self.hidden.isdisjoint(ids):
-            try:
-                return b"".join(map(self.surface.__getitem__, ids))[skip:].decode("utf-8")
-            except UnicodeDecodeError:
-                pass
-        return self._lenient(ids)[skip:]
-
-    def _lenient(self, ids: list[int]) -> str:
-        out, run = [], b""
-        for i in [*ids, None]:
-            if i in self.bytes:
-                run += self.surface[i]
-                continue
-            while run:
-                size = next((k for k in range(1, 5) if k <= len(run) and _is_character(run[:k])), 0)
-                out.append(run[:size].decode("utf-8") if size else "�")
-                run = run[size or 1 :]
-            if i is not None:
-                out.append(self.surface[i].decode("utf-8"))
-        return "".join(out)
-
 
 def _is_character(b: bytes) -> bool:
     try:
@@ -209,6 +217,11 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+@lru_cache(2)
+def surfaces(path: str) -> Surfaces:
+    return Surfaces(path)
+
+
 def _with(df: DataFrame, column: str, new: str, kind: str, run) -> DataFrame:
     """df with a column that run makes of batches of another one; a column of the new name is replaced."""
     rest = [c for c in df.columns if c != new]
@@ -242,7 +255,7 @@ def decode(df: DataFrame, model: str, column: str = "ids") -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = piece_model(model)
+        own = surfaces(model)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
