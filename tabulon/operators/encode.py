@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .sampling import uniform
+from .steps import written
 
 
 def ordinals(df: DataFrame, column: str) -> DataFrame:
@@ -99,3 +101,37 @@ def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls become the column's mean."""
     means = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])  # one row
     return df.crossJoin(F.broadcast(means)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).select(*df.columns)
+
+
+def impute_chained(df: DataFrame, columns: list[str], rounds: int = 10, ridge: float = 1e-6) -> DataFrame:
+    """Nulls become what a linear regression on the other columns gives, all columns side by side for a number of rounds.
+
+    Nulls begin as means. In each round one aggregation gathers, for every column with nulls, the sums of products over the rows
+    that have it (of the round's standardised values); so many equations as there are columns are solved on the driver, and all
+    nulls are filled anew from the values before the round. Rows without any value have the means; a column without values stays
+    null and serves no other."""
+    own = df.withColumns({f"_i_{c}": F.col(c).cast("double") for c in columns})
+    first = own.agg(*[F.count(f"_i_{c}").alias(f"n_{c}") for c in columns], *[F.avg(f"_i_{c}").alias(f"m_{c}") for c in columns], *[F.stddev_pop(f"_i_{c}").alias(f"s_{c}") for c in columns], F.count("*").alias("all")).first()
+    used = [c for c in columns if first[f"n_{c}"]]
+    scale = {c: (first[f"m_{c}"], first[f"s_{c}"] or 1.0) for c in used}
+    open_columns = [c for c in used if first[f"n_{c}"] < first["all"]]
+    z = lambda c: (F.col(f"_i_{c}") - scale[c][0]) / scale[c][1]
+    rows = own.withColumns({f"_z_{c}": F.coalesce(z(c), F.lit(0.0)) for c in used})
+    for _ in range(rounds if open_columns and len(used) > 1 else 0):
+        rows = written(rows, "imputed")
+        sums = {}
+        for c in open_columns:
+            x = [F.lit(1.0), *[F.col(f"_z_{o}") for o in used if o != c], z(c)]
+            sums |= {f"{c}:{i}:{j}": F.sum(F.when(F.col(f"_i_{c}").isNotNull(), x[i] * x[j])) for i in range(len(x)) for j in range(i, len(x))}
+        got = rows.agg(*[v.alias(str(i)) for i, v in enumerate(sums.values())]).first()
+        moment = dict(zip(sums, got, strict=True))
+        fresh = {}
+        for c in open_columns:
+            n = len(used)
+            xx = np.array([[moment[f"{c}:{min(i, j)}:{max(i, j)}"] for j in range(n)] for i in range(n)])
+            b = np.linalg.solve(xx + ridge * first[f"n_{c}"] * np.eye(n), np.array([moment[f"{c}:{i}:{n}"] for i in range(n)]))
+            guess = sum((float(v) * F.col(f"_z_{o}") for v, o in zip(b[1:], [o for o in used if o != c], strict=True)), F.lit(float(b[0])))
+            fresh[f"_z_{c}"] = F.coalesce(z(c), guess)
+        rows = rows.withColumns(fresh)
+    out = {c: F.coalesce(F.col(f"_i_{c}"), F.col(f"_z_{c}") * scale[c][1] + scale[c][0]) for c in used}
+    return rows.withColumns({**out, **{c: F.col(f"_i_{c}") for c in columns if c not in used}}).select(*df.columns)

@@ -19,12 +19,12 @@ def equals_any(columns: list[str], values: list[str]) -> Column:
 
 
 def as_sql(columns: list[str], values: list[str], exact: bool = False) -> str:
-    """The same as text: values as they are, their % and _ escaped by !."""
+    """The same as text: values as they are, their % and _ escaped by ! where they have any."""
     quoted = [v.lower().replace("'", "''") for v in values]
     held = [v.replace("!", "!!").replace("%", "!%").replace("_", "!_") for v in quoted]
     if exact:
         return " OR ".join(f"lower({c}) = '{v}'" for c in columns for v in quoted)
-    return " OR ".join(f"lower({c}) like '%{v}%' escape '!'" for c in columns for v in held)
+    return " OR ".join(f"lower({c}) like '%{h}%'" + " escape '!'" * (h != v) for c in columns for v, h in zip(quoted, held, strict=True))
 
 
 def as_regex(values: list[str]) -> str:

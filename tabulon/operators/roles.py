@@ -51,13 +51,18 @@ def short_names(columns: list[str], drop_prefix: str, shorten: dict[str, str]) -
     return out
 
 
-def to_xy(df: DataFrame, label: str, features: list[str] | None = None, untracked: list[str] | None = None, scaler: str | None = None) -> tuple[DataFrame, DataFrame]:
+def to_xy(df: DataFrame, label: str, features: list[str] | None = None, untracked: list[str] | None = None, scaler: str | None = None, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(features, label) as two tables with a shared row key _row: the columns named, or all but the label and the untracked ones;
-    scaler: minmax or zscore."""
+    scaler: minmax or zscore. keys: columns that tell the rows apart; without them equal rows are numbered, in parts of a
+    table written once, so that both tables agree and no row of one joins two of the other."""
     from .encode import scale
+    from .steps import written
 
-    require(df.columns, [label, *(features or [])])
+    require(df.columns, [label, *(features or []), *(keys or [])])
     names = features or [c for c in df.columns if c not in (label, *(untracked or []))]
-    rows = df.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    if keys:
+        rows = df.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in keys]))
+    else:
+        rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
     x = rows.select("_row", *names)
     return (scale(x, names, scaler) if scaler else x), rows.select("_row", label)

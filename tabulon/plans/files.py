@@ -79,7 +79,7 @@ def ingested_rows(spark, d):
     rows = table(spark, d, "customer").select(k.alias("id"), F.when(k % 10 != 0, F.concat(k % 7, F.lit("-"), k % 3)).alias("code"))
     source, target, marks = (files.scratch(spark, n) for n in ("source", "target", "marks"))
     for part in (rows.where("id % 2 = 0"), rows.where("id % 3 = 0"), rows):  # later batches repeat rows of earlier ones
-        part.coalesce(1).write.mode("append").parquet(source)
+        part.write.mode("append").parquet(source)
         ingest(spark, source, "id long, code string", target, marks, "id", "code").awaitTermination()
     return spark.read.parquet(target).select("id", "code")
 

@@ -113,3 +113,31 @@ def tree_paths(spark, d):
 def class_scores(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", (F.col("o_custkey") % 97).cast("double").alias("c"))
     return models.class_scores(rows, "o_orderkey", "o_orderstatus", ["o_totalprice", "c"], ["F", "O", "P"])
+
+
+@query("tree_row_paths")
+def tree_row_paths(spark, d):
+    """How many rows that the tree has not seen take each of its paths, by their own label."""
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *names, (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    rows = rows.withColumn("seen", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(4)) > 0)
+    model, _ = models.tree(rows.where("seen"), names, "y", 4)
+    return models.path_counts(models.row_paths(model, rows.where("not seen"), names), by="y")
+
+
+@query("imputed_chained")
+def imputed_chained(spark, d):
+    """Prices and quantities with a twentieth of the values missing, filled by regressions on each other."""
+    gone = lambda c, k: F.when(F.pmod(F.xxhash64("l_orderkey", "l_linenumber", F.lit(k)), F.lit(20)) > 0, F.col(c)).alias(c)
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", gone("l_quantity", 1), gone("l_extendedprice", 2), gone("l_discount", 3), gone("l_tax", 4))
+    return encode.impute_chained(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 5)
+
+
+@query("stacked_scores")
+def stacked_scores(spark, d):
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
+
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select("o_orderkey", "o_totalprice", F.month("o_orderdate").cast("double").alias("month"), F.greatest("c_acctbal", F.lit(0)).alias("balance"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    learners = {"tree": DecisionTreeClassifier(maxDepth=4, seed=1), "linear": LogisticRegression(), "bayes": NaiveBayes(modelType="gaussian")}
+    return models.stacked_scores(rows, "o_orderkey", ["o_totalprice", "month", "balance"], "y", learners, 3)

@@ -107,7 +107,7 @@ def _near(part: str, of: str, name: str, key: str) -> str:
 def part_features(spark, d):
     land = table(spark, d, "nation").select(F.upper("n_name").alias("text"), F.col("n_nationkey").alias("ord"))
     zone = table(spark, d, "region").select(F.upper("r_name").alias("text"), F.col("r_regionkey").alias("ord"))
-    return nearest.part_features(table(spark, d, "part"), "p_type", {"land": land, "zone": zone}, {"lv": F.levenshtein})
+    return nearest.part_features(table(spark, d, "part"), "p_type", {"land": land, "zone": zone}, {"lv": nearest.nearest})
 
 
 @query("compared_parts", r"WITH d AS (SELECT p_brand, min(p_name) AS a, min(p_type) AS b FROM part GROUP BY ALL), r AS (SELECT p_partkey, string_split(upper(p_name || ' ' || p_type), ' ') AS t, string_split(upper(a), ' ') AS a, string_split(upper(b), ' ') AS b FROM part JOIN d USING (p_brand)) SELECT p_partkey, len(list_intersect(t, a)) AS n_a, len(list_intersect(t, b)) AS n_b FROM r")

@@ -94,8 +94,7 @@ def nearest_name(spark, d):
 @query("nearest_name_jaro_winkler", "WITH v AS (SELECT DISTINCT p_type AS value FROM part), t AS (SELECT upper(n_name) AS target, min(n_nationkey) AS ord FROM nation GROUP BY ALL), p AS (SELECT value, target, round(1 - jaro_winkler_similarity(value, target), 9) AS distance, row_number() OVER (PARTITION BY value ORDER BY round(1 - jaro_winkler_similarity(value, target), 9), ord, target) AS r FROM v CROSS JOIN t) SELECT value, target, distance FROM p WHERE r = 1")
 def nearest_name_jaro_winkler(spark, d):
     targets = table(spark, d, "nation").select(F.upper("n_name").alias("n"), "n_nationkey")
-    far = lambda a, b: F.round(1 - sim.jaro_winkler_column(a, b), 9)
-    return nearest.nearest(table(spark, d, "part"), "p_type", targets, "n", "n_nationkey", distance=far)
+    return nearest.nearest_jaro_winkler(table(spark, d, "part"), "p_type", targets, "n", "n_nationkey")
 
 
 @query("token_similarity")

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions import similarity as sim
 from tabulon.functions import text as tx
-from tabulon.operators import metrics, profile
+from tabulon.operators import metrics, profile, roles
 from tabulon.operators.predicates import as_sql
 
 
@@ -48,6 +48,18 @@ def test_sql_text():
     assert as_sql(["a", "b"], ["X'y"]) == "lower(a) like '%x''y%' OR lower(b) like '%x''y%'"
 
 
+def test_sql_text_escapes_wildcards():
+    assert as_sql(["a"], ["5%_!"]) == "lower(a) like '%5!%!_!!%' escape '!'"
+
+
+def test_rows_of_xy_join_one_to_one(spark):
+    rows = spark.createDataFrame([(1, 2.0, 0), (1, 2.0, 0), (1, 2.0, 0), (2, 3.0, 1)], "k int, x double, y int")
+    x, y = roles.to_xy(rows, "y")
+    assert x.join(y, "_row").count() == 4 and x.columns == ["_row", "k", "x"]
+    x, y = roles.to_xy(rows.distinct(), "y", ["x"], keys=["k"])
+    assert {(r.x, r.y) for r in x.join(y, "_row").collect()} == {(2.0, 0), (3.0, 1)}
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -1,3 +1,4 @@
+import pytest
 import gzip
 
 from pyspark.sql import functions as F
@@ -54,6 +55,18 @@ def test_ingest(spark, tmp_path):
     assert rows(spark.read.parquet(target).select("id", "code")) == [(1, "123"), (2, "unknown"), (3, "unknown")]
 
 
+def test_ingest_keeps_its_state_without_the_target(spark, tmp_path):
+    """A restarted stream knows keys and class sizes from its state: what it wrote may have been moved away."""
+    source, target = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    for n, batch in enumerate([[(1, "1"), (2, "1"), (3, "2")], [(1, "1"), (4, "1"), (5, "1"), (6, "2"), (3, "9")], [(4, "1"), (5, "1"), (7, "2"), (8, "2"), (9, "3")]]):
+        spark.createDataFrame(batch, "id int, code string").write.mode("append").parquet(source)
+        ingest(spark, source, "id int, code string", f"{target}{n}", f"file://{tmp_path}/check", "id", "code", top_up=3).awaitTermination()
+    sizes = [sorted((r.code, r["count"]) for r in spark.read.parquet(f"{target}{n}").groupBy("code").count().collect()) for n in range(3)]
+    assert sizes == [[("1", 2), ("2", 1)], [("1", 1), ("2", 1)], [("2", 1), ("3", 1)]]
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(target).count()
+
+
 def test_windowed_counts(spark, small):
     events = spark.read.parquet(f"{small}/events.parquet")
     assert windowed_counts(events, "ts", "event_type").agg(F.sum("n")).first()[0] == events.count()
