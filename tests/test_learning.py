@@ -139,3 +139,46 @@ def test_queries(spark, small, name, n):
     assert out.count() >= n
     if name == "imputed_chained":
         assert out.where(" or ".join(f"{c} is null" for c in NAMES)).count() == 0
+
+
+def gradient_descent(x, y, rounds=40000, rate=0.5):
+    """A plain solver of the same problem."""
+    n, up = len(y), y.sum()
+    c = np.where(y > 0, n / (2 * up), n / (2 * (n - up)))
+    z, w = np.column_stack([x, np.ones(n)]), np.zeros(x.shape[1] + 1)
+    ridge = 1e-6 * n * np.append(np.ones(x.shape[1]), 0)
+    for _ in range(rounds):
+        w -= rate / n * (z.T @ (c * (1 / (1 + np.exp(-(z @ w))) - y)) + ridge * w)
+    return w
+
+
+def test_fit_as_a_plain_solver():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 2))
+    y = (x @ [1.0, -0.5] + rng.normal(size=200) > 1).astype(float)
+    assert np.abs(models.balanced_logistic(x, y) - gradient_descent(x, y)).max() < 1e-4
+    p = rng.integers(0, 6, 60) / 5
+    t = rng.integers(0, 2, 60).astype(float)
+    assert models.best_f(t, p) == max(2 * t[p >= c].sum() / ((p >= c).sum() + t.sum()) for c in np.unique(p))
+
+
+def test_rows_of_every_class_in_one_pass(spark):
+    """Arcs of the ring: each code gets ten times its rows from others, none of its own, and no row twice."""
+    df = spark.range(20000).select("id", F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("c"), F.col("id") % 50)).alias("code"))
+    sizes = df.groupBy("code").agg(F.count("*").alias("n"))
+    rows = models.class_rows(df, sizes, "id", "code", 10, 500).cache()
+    got = {r.code: (r.own, r.other, r.ids) for r in rows.groupBy(F.col("_code").alias("code")).agg(F.count_if(F.col("_y") == 1).alias("own"), F.count_if(F.col("_y") == 0).alias("other"), F.count_distinct("id").alias("ids")).collect()}
+    n = {r.code: r.n for r in sizes.collect()}
+    assert set(got) == set(n) and rows.where("(_y = 1) <> (code = _code)").count() == 0
+    for c, (own, other, ids) in got.items():
+        assert ids == own + other and (own == n[c] if n[c] <= 500 else 400 < own < 600)
+        want = min(20000 - n[c], 10 * min(n[c], 500))
+        assert other == want
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_scores_of_many_classes(spark):
+    df = spark.range(6000).select("id", F.concat(F.lit("c"), F.col("id") % 40).alias("code")).withColumn("x", (F.col("code") == "c3").cast("double") * 5 + F.rand(3)).withColumn("z", F.rand(4))
+    got = {r.code: r.fmax for r in models.class_scores(df, "id", "code", ["x", "z"], [f"c{k}" for k in range(40)]).collect()}
+    assert len(got) == 40 and got["c3"] > 0.99 and sum(v > 0.5 for v in got.values()) == 1
