@@ -129,11 +129,17 @@ def fit_rows(rows: list[np.ndarray], label: np.ndarray, cost: float, rounds: int
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """Labelled documents to fit on: never those whose crc32(doc_id) mod 4 is 2; about max_rows at most, drawn by a hash of the id."""
+    """Labelled documents to fit on: never those whose crc32(doc_id) mod 4 is 2; about max_rows at most, drawn by a hash of the id.
+    Rows that repeat id and text count once; where the ids drawn have more than twice max_rows rows, these are drawn by a hash of
+    id and text, to about max_rows, so that the bound holds however many rows an id has."""
     known = labels.where(F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)).groupBy("doc_id").agg(F.min(label).alias("_label"))
-    share = min(1.0, max_rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    drawn = lambda share, *keys: F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(share * (1 << 30))
+    known = known.where(drawn(min(1.0, max_rows / max(1, known.count())), "doc_id"))
+    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    n = docs.select("doc_id").join(known.select("doc_id"), "doc_id").count()
+    if n > 2 * max_rows:
+        rows = rows.where(drawn(max_rows / n, F.lit("rows"), "doc_id", "text"))
+    return rows.dropDuplicates(["doc_id", "text"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 6000, bits: int = 21, cost: float = 1.0, rounds: int = 15) -> tuple:

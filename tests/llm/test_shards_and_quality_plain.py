@@ -90,3 +90,16 @@ def test_whole_shape():
     """Words that differ only behind their first characters have different shapes."""
     a, b = nbsvm._shape("aA1" * 8 + "x"), nbsvm._shape("aA1" * 8 + "9")
     assert a != b and len(a) > 12
+
+
+def test_rows_of_one_id_keep_to_the_bound(spark):
+    """One labelled id on most rows: copies count once, and different texts are drawn to the bound."""
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 400)], "doc_id long, quality int")
+    copies = spark.range(20000).selectExpr("7L as doc_id", "'the same text' as text")
+    texts = spark.range(20000).selectExpr("9L as doc_id", "concat('text ', id) as text")
+    rest = spark.range(1, 400).selectExpr("id as doc_id", "concat('own ', id) as text")
+    assert nbsvm.train_rows(copies.union(rest), labels, "quality", 6000).count() <= 400
+    got = nbsvm.train_rows(copies.union(texts).union(rest), labels, "quality", 6000)
+    assert 2000 < got.count() <= 6600 and got.distinct().count() == got.count()
+    assert got.where("crc32(cast(doc_id as string)) % 4 = 2").count() == 0
+    assert nbsvm.train_rows(rest, labels, "quality", 6000).count() == nbsvm.train_rows(rest.union(rest), labels, "quality", 6000).count()
