@@ -16,6 +16,20 @@ from tabulon.llm.common import discard, materialize, read_table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def with_row(docs: DataFrame, *columns: str, bits: int = 64) -> DataFrame:
+    """docs with _row, a hash of columns of so many bits; where rows that differ share it, a second hash takes its place, so that
+    what is dropped by _row is never another row."""
+    first = F.xxhash64(*columns) if bits == 64 else F.pmod(F.xxhash64(*columns), F.lit(1 << bits))
+    second = F.xxhash64(F.lit("again"), *columns)
+    met = docs.select(first.alias("_row"), second.alias("_again")).groupBy("_row").agg(F.min("_again").alias("_a"), F.max("_again").alias("_b"))
+    shared = materialize(met.where("_a <> _b").select("_row"), "shared")
+    docs = docs.withColumn("_row", first)
+    if shared.isEmpty():
+        return docs
+    told = docs.join(shared.withColumn("_shared", F.lit(True)), "_row", "left")
+    return told.withColumn("_row", F.when(F.col("_shared"), second).otherwise(F.col("_row"))).drop("_shared")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier rejects. Null and empty texts are judged like others, by what they lack; whole texts,
     however long; repeated rows and rows without id each on their own."""
@@ -31,7 +45,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of the smallest id in each group, and one of rows that repeat both id and text. Null and empty texts are in no
     group; whole texts are compared."""
-    docs = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    docs = with_row(docs, "doc_id", "text")
     groups = partenum.near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text"))
     groups = groups.groupBy(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).agg(F.count("*").alias("_n"))
     own = docs.where("doc_id is not null").select("_row", "doc_id").distinct()
@@ -48,7 +62,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows whose text holds benchmark items, those without id too. Null and empty texts hold none; long ones are read whole."""
-    docs = docs.withColumn("_row", F.xxhash64("text"))  # a leak is a matter of the text alone
+    docs = with_row(docs, "text")  # a leak is a matter of the text alone
     leaks = templates.find_leaks(docs.select(F.col("_row").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
     gone = materialize(leaks.select(F.col("doc_id").alias("_row")).distinct(), "gone")
     return docs.join(gone, "_row", "left_anti").select(*COLUMNS)
