@@ -52,3 +52,16 @@ def test_stages(spark, small):
                         leaked.add(d)
             assert set(after) == set(before) - leaked
         docs = out
+
+
+def test_rows_that_share_a_hash_are_told_apart(spark):
+    rows = [(k % 40 if k % 7 else None, f"text {k % 25}" if k % 11 else None) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bits in (3, 64):
+        for columns in (["doc_id", "text"], ["text"]):
+            out = corpus_pipeline.with_row(docs, *columns, bits=bits).collect()
+            assert len(out) == 200
+            names = {}
+            for r in out:
+                names.setdefault(r["_row"], set()).add(tuple(r[c] for c in columns))
+            assert all(len(v) == 1 for v in names.values()) and len(names) == len({tuple(r[c] for c in columns) for r in out})
