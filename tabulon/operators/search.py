@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import tfidf
-from .steps import written
+from .steps import drop, written
 
 EPS = 1e-9
 
@@ -82,6 +82,7 @@ def best_codes(queries: DataFrame, key: str, index: tuple[DataFrame, DataFrame],
     terms = written(terms.withColumns({"i": F.row_number().over(order), "tail": tail}), "terms")
     floor = _kth(_sums(terms.where(F.col("i") <= first), postings, key), key, k)
     told = written(terms.join(floor, key, "left").withColumn("look", (F.col("i") <= first) | (F.col("tail") >= F.coalesce("least", F.lit(0.0)) - EPS)), "looked")
+    drop(terms)
     partial = written(_sums(told.where("look"), postings, key), "partial")
     floor = _kth(partial, key, k)
     rest = told.where("not look").groupBy(key).agg(F.sum("ub").alias("rest"))
@@ -97,11 +98,14 @@ def find_codes(rows: DataFrame, key: str, text: str, tokens, model: DataFrame, i
     """(key, code, score, rank) for rows of any table: the k codes whose documents are nearest to the row's text by cosine.
     tokens makes an array of words of the text column; rows of one text are searched once. Rows whose text has no term of the
     model, null texts among them, find nothing."""
-    own = rows.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"))
-    texts = own.select("_text").distinct()
-    counts = tfidf.term_counts(texts.select("_text", tokens(F.col("_text")).alias("_t")), "_text", "_t")
-    found = best_codes(weigh(counts, model, "_text"), "_text", index, k)
-    return own.join(found, "_text").select(key, "code", "score", "rank")
+    own = rows.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).withColumn("_id", F.md5("_text"))
+    texts = own.select("_id", "_text").dropDuplicates(["_id"]).select("_id", F.explode(tokens(F.col("_text"))).alias("term"))
+    known = model.select("term")
+    if known.count() <= 200_000:  # else terms that the model does not know go later
+        texts = texts.join(F.broadcast(known), "term", "left_semi")
+    counts = texts.groupBy("_id", "term").agg(F.count("*").alias("tf"))
+    found = best_codes(weigh(counts, model, "_id"), "_id", index, k)
+    return own.select(key, "_id").join(found, "_id").select(key, "code", "score", "rank")
 
 
 def hit_rates(found: DataFrame, rows: DataFrame, key: str, code: str, k: int) -> DataFrame:
