@@ -184,7 +184,7 @@ def cell_index(df: DataFrame, key: str, vector: str, cells: int, recall: float =
     return centers, int(at[min(len(at) - 1, int(np.ceil(recall * len(at))))]) + 1
 
 
-def neighbours(queries: DataFrame, df: DataFrame, key: str, vector: str, index: tuple[np.ndarray, int], k: int, block: int = 1000) -> DataFrame:
+def neighbours(queries: DataFrame, df: DataFrame, key: str, vector: str, index: tuple[np.ndarray, int], k: int, block: int = 8000) -> DataFrame:
     """(key, neighbour, distance, rank): for each query row its k nearest other rows of df among those in the cells that it looks at,
     by Euclidean distance to nine digits, then key. All rows are filed; pairs are ranked exactly; null vectors find nothing and are not
     found."""
@@ -199,12 +199,18 @@ def neighbours(queries: DataFrame, df: DataFrame, key: str, vector: str, index:
         if not len(a) or not len(b):
             return pd.DataFrame({"id": a["id"][:0], "neighbour": a["id"][:0], "distance": np.zeros(0)})
         b = b.sort_values("id")
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        d = np.round(_distances(_matrix(a["v"]), _matrix(b["v"])), 9)
-        d[ids[:, None] == others[None]] = np.inf
-        near = d.argsort(1, kind="stable")[:, :k]
-        at = np.arange(len(a))[:, None]
-        out = pd.DataFrame({"id": np.repeat(ids, near.shape[1]), "neighbour": others[near].ravel(), "distance": d[at, near].ravel()})
+        ids, others, x, y = a["id"].to_numpy(), b["id"].to_numpy(), _matrix(a["v"]), _matrix(b["v"])
+        most, found = min(k, len(b)) - 1, []
+        for start in range(0, len(a), 256):
+            own = ids[start : start + 256]
+            d = np.round(_distances(x[start : start + 256], y), 9)
+            d[own[:, None] == others[None]] = np.inf
+            limit = np.partition(d, most, axis=1)[:, most]
+            for i, row in enumerate(d):
+                near = np.flatnonzero(row <= limit[i])
+                near = near[row[near].argsort(kind="stable")[:k]]
+                found.append((np.full(len(near), own[i]), others[near], row[near]))
+        out = pd.DataFrame(dict(zip(("id", "neighbour", "distance"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
         return out[np.isfinite(out["distance"])]
 
     kind = df.schema[key].dataType.simpleString()

@@ -89,10 +89,10 @@ def density_clusters(spark, d):
 
 @query("vector_neighbours")
 def vector_neighbours(spark, d):
-    """The five nearest rows of every row."""
+    """The five nearest of all rows for every row whose id is divisible by 20."""
     rows = table(spark, d, "embeddings")
     index = metric.cell_index(rows, "vec_id", "embedding", 16)
-    return metric.neighbours(rows, rows, "vec_id", "embedding", index, 5).select("vec_id", "neighbour", "rank", F.round("distance", 6).alias("distance"))
+    return metric.neighbours(rows.where("vec_id % 20 = 0"), rows, "vec_id", "embedding", index, 5).select("vec_id", "neighbour", "rank", F.round("distance", 6).alias("distance"))
 
 
 @query("linkage_clusters")
