@@ -249,3 +249,39 @@ def single_linkage(edges: DataFrame, k: int, nodes: DataFrame | None = None) ->
     cut = forest.orderBy(F.desc("weight"), F.desc("a"), F.desc("b")).limit(max(0, k - parts))  # fewer than k rows
     roots = components(forest.join(F.broadcast(cut) if k < 10_000 else cut, ["a", "b"], "left_anti"))
     return ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("cluster"))
+
+
+def affinity_clusters(links: DataFrame, preference: float, damping: float = 0.7, rounds: int = 60, every: int = 5, settled: int = 3) -> DataFrame:
+    """(id, exemplar) by affinity propagation along links(a, b, s): s is how well b would stand for a, preference how well a row would
+    stand for itself. All other pairs count as impossible. A row that no exemplar is linked to, or that chose itself, is its own.
+
+    Messages between two rows are columns of their link; each round is one grouping by a (over its links, so a row must have a bounded
+    number of them, as links to its nearest rows are) and one by b (summed up before the shuffle). Every few rounds the links are
+    written; it ends when the exemplars have stayed for settled such writes, or after rounds."""
+    ids = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+    one = links.where("a <> b").groupBy("a", "b").agg(F.max("s").alias("s"))
+    rows = one.union(ids.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(float(preference)).alias("s")))
+    rows = written(rows.select("a", "b", "s", F.lit(0.0).alias("r"), F.lit(0.0).alias("v")), "messages")
+    keep = lambda old, new: F.lit(damping) * F.col(old) + F.lit(1 - damping) * new
+    same, positive = F.col("a") == F.col("b"), F.greatest(F.col("r"), F.lit(0.0))
+    last, stayed = None, 0
+    for k in range(rounds):
+        tops = rows.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.col("v") + F.col("s")), False), 1, 2).alias("t"))
+        best, next_best = F.col("t")[0], F.get(F.col("t"), F.lit(1))
+        rival = F.when(F.col("v") + F.col("s") == best, next_best).otherwise(best)
+        alone = F.abs(F.col("s")) + 1  # nothing else to choose
+        rows = rows.join(tops, "a").select("a", "b", "s", keep("r", F.coalesce(F.col("s") - rival, alone)).alias("r"), "v")
+        sums = rows.groupBy("b").agg(F.sum(F.when(~same, positive)).alias("p"), F.max(F.when(same, F.col("r"))).alias("own"))
+        p = F.coalesce("p", F.lit(0.0))
+        new = F.when(same, p).otherwise(F.least(F.lit(0.0), F.col("own") + p - positive))
+        rows = rows.join(sums, "b").select("a", "b", "s", "r", keep("v", new).alias("v"))
+        if (k + 1) % every == 0 or k + 1 == rounds:
+            rows = written(rows, "messages")
+            now = rows.where(same & (F.col("r") + F.col("v") > 0)).agg(F.count("*"), F.sum(F.xxhash64("a").cast("decimal(38,0)"))).first()
+            stayed, last = (stayed + 1 if now == last else 0), now
+            if stayed >= settled:
+                break
+    chosen = rows.where(same & (F.col("r") + F.col("v") > 0)).select(F.col("a").alias("b"))
+    to = rows.where("a <> b").join(chosen, "b").groupBy("a").agg(F.max(F.struct("s", (-F.col("b")).alias("n"))).alias("m"))
+    to = to.join(chosen.withColumnRenamed("b", "a"), "a", "left_anti").select(F.col("a").alias("id"), (-F.col("m.n")).alias("exemplar"))
+    return ids.join(to, "id", "left").select("id", F.coalesce("exemplar", "id").alias("exemplar"))

@@ -149,3 +149,46 @@ def test_linkage_query(spark, small):
     near = metric.neighbours(rows, rows, "vec_id", "embedding", metric.cell_index(rows, "vec_id", "embedding", 16), 30)
     assert got == plain_linkage([r[0] for r in rows.select("vec_id").collect()], [(r.vec_id, r.neighbour, r.distance) for r in near.collect()], 10)[1]
     assert len(set(got.values())) == 10
+
+
+def dense_affinity(x, preference, damping, rounds):
+    s = -(all_pairs(x) ** 2)
+    np.fill_diagonal(s, preference)
+    n = len(x)
+    r, v = np.zeros((n, n)), np.zeros((n, n))
+    for _ in range(rounds):
+        m = v + s
+        best = m.argmax(1)
+        top = m[np.arange(n), best].copy()
+        m[np.arange(n), best] = -np.inf
+        rival = np.where(np.arange(n)[None] == best[:, None], m.max(1)[:, None], top[:, None])
+        r = damping * r + (1 - damping) * (s - rival)
+        p = np.maximum(r, 0)
+        np.fill_diagonal(p, 0)
+        new = np.minimum(0, r.diagonal()[None] + p.sum(0)[None] - p)
+        new[np.arange(n), np.arange(n)] = p.sum(0)
+        v = damping * v + (1 - damping) * new
+    chosen = np.flatnonzero((r + v).diagonal() > 0)
+    near = s[:, chosen]
+    out = chosen[near.argmax(1)]
+    out[chosen] = chosen
+    return dict(enumerate(out.tolist()))
+
+
+def test_affinity_as_dense(spark):
+    x = np.array(points(40, 2, 4, 0.3)[:40])
+    d = -(all_pairs(x) ** 2)
+    preference = float(np.median(d[np.triu_indices(40, 1)]))
+    links = [(i, j, float(d[i, j])) for i in range(40) for j in range(40) if i != j]
+    df = spark.createDataFrame(links, "a long, b long, s double")
+    got = {r.id: r.exemplar for r in metric.affinity_clusters(df, preference, 0.5, 9, every=3, settled=99).collect()}
+    assert got == dense_affinity(x, preference, 0.5, 9)
+    assert 1 < len(set(got.values())) < 30
+
+
+def test_affinity_along_few_links(spark):
+    """Two stars, one row that is linked to nothing but through others' lists, and messages that settle."""
+    links = [(0, k, -1.0) for k in (1, 2, 3)] + [(k, 0, -1.0) for k in (1, 2, 3)] + [(10, k, -1.0) for k in (11, 12)] + [(k, 10, -1.0) for k in (11, 12)]
+    df = spark.createDataFrame([*links, (12, 99, -500.0)], "a long, b long, s double")
+    got = {r.id: r.exemplar for r in metric.affinity_clusters(df, -2.5, 0.5, 14, every=3, settled=2).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 10: 10, 11: 10, 12: 10, 99: 99}
