@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -112,6 +113,20 @@ def spectral(edges: DataFrame, k: int, rounds: int = 20) -> DataFrame:
     return PowerIterationClustering(k=k, maxIter=rounds, initMode="degree", weightCol="weight").assignClusters(edges)
 
 
+def expected_share(x: int, y: int, n: int) -> float:
+    """The mean, over all tables of n rows with margins x and y, of what their cell adds to the mutual information. Only counts within
+    twelve deviations and sixty of the mean are summed up: what lies beyond has no weight in doubles."""
+    mean = x * y / n
+    spread = 12 * math.sqrt(mean * (n - x) / n * (n - y) / max(1, n - 1)) + 60
+    low, high = max(0, x + y - n, math.floor(mean - spread)), min(x, y, math.ceil(mean + spread))
+    k = np.arange(low, high + 1, dtype=float)
+    ratio = np.log((x - k[:-1]) * (y - k[:-1])) - np.log((k[:-1] + 1) * (n - x - y + k[:-1] + 1))
+    mass = np.concatenate([[0.0], np.cumsum(ratio)])
+    mass = np.exp(mass - mass.max())
+    some = k > 0
+    return float((k[some] / n * np.log(n * k[some] / (float(x) * y)) * mass[some]).sum() / mass.sum())
+
+
 def adjusted_mutual_information(df: DataFrame, cluster: str, label: str) -> DataFrame:
     """One row: mutual information of clusters and labels above what chance gives, over the mean of both entropies above it.
 
@@ -123,13 +138,7 @@ def adjusted_mutual_information(df: DataFrame, cluster: str, label: str) -> Data
 
     @F.pandas_udf("double")
     def chance(a: pd.Series, b: pd.Series, t: pd.Series) -> pd.Series:
-        out = []
-        for x, y, n in zip(a.tolist(), b.tolist(), t.tolist(), strict=True):
-            low, high = max(1, x + y - n), min(x, y)
-            g = math.lgamma
-            fixed = g(x + 1) + g(y + 1) + g(n - x + 1) + g(n - y + 1) - g(n + 1)
-            out.append(sum(k / n * math.log(n * k / (x * y)) * math.exp(fixed - g(k + 1) - g(x - k + 1) - g(y - k + 1) - g(n - x - y + k + 1)) for k in range(low, high + 1)))
-        return pd.Series(out)
+        return pd.Series([expected_share(x, y, n) for x, y, n in zip(a.tolist(), b.tolist(), t.tolist(), strict=True)])
 
     # sizes of clusters and labels, not rows: equal margins are worked out once
     sizes = a.groupBy("a").agg(F.count("*").alias("i")).crossJoin(b.groupBy("b").agg(F.count("*").alias("j"))).crossJoin(F.broadcast(total))

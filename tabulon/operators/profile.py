@@ -56,12 +56,14 @@ def order_interval(df: DataFrame, keys: list[str], column: str, low: float = 0.0
 
 
 def with_group_count(df: DataFrame, keys: list[str], out: str = "n_group") -> DataFrame:
-    return df.withColumn(out, F.count("*").over(W.partitionBy(*keys)))
+    """Adds the size of each row's group. Sizes are counted before the shuffle and joined, so that the rows of a large group need not
+    meet in one task."""
+    return join_null_safe(df, df.groupBy(*keys).agg(F.count("*").alias(out)), keys)
 
 
 def at_group_max(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """All rows at their group's maximum."""
-    return df.withColumn("_m", F.max(column).over(W.partitionBy(*keys))).where(F.col("_m") == F.col(column)).drop("_m")
+    """All rows at their group's maximum, by a join as in with_group_count()."""
+    return join_null_safe(df, df.groupBy(*keys).agg(F.max(column).alias("_m")), keys).where(F.col("_m") == F.col(column)).drop("_m")
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -101,13 +101,19 @@ def bootstrap(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     return picks.join(rows.drop("_all"), [label, "_rank"]).select(*df.columns)
 
 
-def weighted_choice(df: DataFrame, value: str, weight: str, keys: DataFrame, key: str, seed: int = 0) -> DataFrame:
-    """(key, value): for each key one of the values, in proportion to weight, by the inverse of the cumulative weights."""
-    by = W.orderBy(value)
-    marks = df.withColumns({"_high": F.sum(weight).over(by), "_all": F.sum(weight).over(W.partitionBy(F.lit(1)))}).withColumn("_low", F.col("_high") - F.col(weight))
-    u = uniform(seed, key)
-    marks = marks.select(value, (F.col("_low") / F.col("_all")).alias("_low"), (F.col("_high") / F.col("_all")).alias("_high"))
-    return keys.withColumn("_u", u).join(F.broadcast(marks), (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high"))).select(key, value)
+def weighted_choice(df: DataFrame, value: str, weight: str, keys: DataFrame, key: str, seed: int = 0, sectors: int = 4096) -> DataFrame:
+    """(key, value): for each key one of the values, in proportion to weight, by the inverse of the cumulative weights.
+
+    Weights add up in parts, by the values' first letters. Draws and intervals meet by the sector of [0, 1) they lie in, so that a
+    draw is compared with its sector's values alone and nothing is broadcast."""
+    total = df.agg(F.sum(weight)).first()[0]
+    parts = add_totals_before(df.select(value, weight, F.substring(F.col(value).cast("string"), 1, 2).alias("_part")), [], "_part", [weight])
+    high = F.col(f"before_{weight}") + F.sum(weight).over(W.partitionBy("_part").orderBy(value))
+    marks = parts.withColumn("_high", high).select(value, ((F.col("_high") - F.col(weight)) / total).alias("_low"), (F.col("_high") / total).alias("_high")).where("_high > _low")
+    sector = lambda c: F.floor(c * sectors).cast("int")
+    marks = marks.withColumn("_sector", F.explode(F.sequence(sector(F.col("_low")), sector(F.col("_high")))))
+    drawn = keys.withColumn("_u", uniform(seed, key)).withColumn("_sector", sector(F.col("_u")))
+    return drawn.join(marks, "_sector").where((F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high"))).select(key, value)
 
 
 def round_robin(df: DataFrame, group: str, key: str, n: int, seed: int = 0) -> DataFrame:

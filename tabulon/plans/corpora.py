@@ -135,7 +135,10 @@ def nearest_labels(spark, d):
     return cluster.knn_agreement(rows, "vec_id", "embedding", "label", rows.where("vec_id % 20 = 0")).withColumn("agree", F.round("agree", 6))
 
 
-@query("labelled_pairs", "WITH r AS (SELECT p_partkey, p_brand FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY md5('0|' || p_partkey), p_partkey) <= 3), b AS (SELECT p_brand, row_number() OVER (ORDER BY md5('0|' || p_brand), p_brand) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT p_brand FROM part)), k AS (SELECT p_brand, i, n, unnest(range(1, least(10, greatest(n - 1, 1)) + 1)) AS k FROM b WHERE n > 1), o AS (SELECT k.p_brand, x.p_brand AS candidate FROM k JOIN b x ON x.i = (k.i + k.k) % k.n) SELECT p_partkey, p_brand, p_brand AS candidate, 1 AS label FROM r UNION ALL SELECT p_partkey, p_brand, candidate, 0 FROM r JOIN o USING (p_brand)")
+LABELLED = "WITH r AS (SELECT p_partkey, p_brand FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY md5('0|' || p_partkey), p_partkey) <= 3), b AS (SELECT p_brand, row_number() OVER (ORDER BY md5('0|' || p_brand), p_brand) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT p_brand FROM part)), k AS (SELECT p_brand, i, n, unnest(range(1, least(10, greatest(n - 1, 1)) + 1)) AS k FROM b WHERE n > 1), o AS (SELECT k.p_brand, x.p_brand AS candidate FROM k JOIN b x ON x.i = (k.i + k.k) % k.n) SELECT p_partkey, p_brand, p_brand AS candidate, 1 AS label FROM r UNION ALL SELECT p_partkey, p_brand, candidate, 0 FROM r JOIN o USING (p_brand)"
+
+
+@query("labelled_pairs", LABELLED)
 def labelled_pairs(spark, d):
     rows = table(spark, d, "part").select("p_partkey", "p_brand")
     return pairs.candidate_pairs(rows, rows, "p_partkey", "p_brand")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import canonical, pairs, profile, sampling
 from ..sources.files import table
+from .corpora import LABELLED
 from .registry import query
 
 
@@ -138,7 +139,7 @@ def stratified_split(spark, d):
     return sampling.split(table(spark, d, "orders"), "o_orderkey", 0.8, "o_orderstatus").select("o_orderkey", "part")
 
 
-@query("candidate_pairs")
+@query("candidate_pairs", LABELLED)
 def candidate_pairs(spark, d):
     rows = table(spark, d, "part").select("p_partkey", "p_brand")
     return pairs.candidate_pairs(rows, rows, "p_partkey", "p_brand")

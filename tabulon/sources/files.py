@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -151,13 +152,22 @@ def read_code_map(spark: SparkSession, path: str, key: str, value: str) -> DataF
 
 
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    """Records of an ARFF file, columns named and typed by its header (numeric: double, else string); ? is null."""
+    """Records of an ARFF file, columns named and typed by its header (numeric: double, else string); ? is null. Names and values may
+    stand in single or double quotes, with commas, blanks and, behind a backslash, quotes in them."""
     lines = spark.read.text(path)
-    pattern = r"(?i)^@attribute\s+['\"]?([^\s'\"]+)['\"]?\s+(\S+)"
+    pattern = r"""(?i)^\s*@attribute\s+('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|\S+)\s+(\S+)"""
     head = lines.where(F.col("value").rlike(pattern)).select(F.regexp_extract("value", pattern, 1), F.lower(F.regexp_extract("value", pattern, 2))).collect()  # one row per column
-    data = lines.where(~F.col("value").rlike(r"^\s*([@%].*)?$"))
-    cell = lambda i, kind: F.when(F.trim(F.get(F.col("c"), F.lit(i))) != "?", F.trim(F.get(F.col("c"), F.lit(i)))).cast("double" if kind in ("numeric", "real", "integer") else "string")
-    return data.select(F.split("value", ",").alias("c")).select(*[cell(i, kind).alias(name) for i, (name, kind) in enumerate(head)])
+    names = [re.sub(r"\\(.)", r"\1", n[1:-1]) if n[:1] in "'\"" else n for n, _ in head]
+    cells = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^,'"\s][^,]*|(?=,|$)"""  # quoted, plain or empty
+    data = lines.where(~F.col("value").rlike(r"^\s*([@%].*)?$")).select(F.regexp_extract_all("value", F.lit(rf"(?:^|,)\s*({cells})\s*"), 1).alias("c"))
+
+    def cell(i: int, kind: str):
+        raw = F.trim(F.get(F.col("c"), F.lit(i)))
+        quoted = F.substring(raw, 1, 1).isin("'", '"')
+        value = F.when(quoted, F.regexp_replace(F.expr(f"substring(trim(c[{i}]), 2, length(trim(c[{i}])) - 2)"), r"\\(.)", "$1")).when(~raw.isin("?", ""), raw)
+        return value.cast("double") if kind in ("numeric", "real", "integer") else value
+
+    return data.select(*[cell(i, kind).alias(name) for i, (name, (_, kind)) in enumerate(zip(names, head, strict=True))])
 
 
 def find_files(spark: SparkSession, base: str, pattern: str) -> DataFrame:

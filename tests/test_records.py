@@ -58,6 +58,13 @@ def test_made_up_records(spark):
     assert 0 < made.where("code is null").count() < 60 and made.where("code like '%-%'").count() > 20
 
 
+def test_arff_with_quotes(spark, tmp_path):
+    (tmp_path / "q.arff").write_text("@attribute 'long name' numeric\n@ATTRIBUTE \"b c\" string\n@attribute d {x,'y z'}\n@data\n1.5,'q,r','y z'\n-2 , \"it, 's\" ,x\n?,'don\\'t',?\n3,plain text,\n")
+    out = files.read_arff(spark, f"file://{tmp_path}/q.arff")
+    assert out.columns == ["long name", "b c", "d"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1.5, "q,r", "y z"), (-2.0, "it, 's", "x"), (None, "don't", None), (3.0, "plain text", None)], key=str)
+
+
 def test_ingest_over_batches(spark, tmp_path):
     source, target = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
     batches = [[(1, "a"), (2, "a"), (3, "b"), (4, None)], [(1, "a"), (5, "a"), (6, "a"), (7, "b"), (8, "b"), (9, None)], [(5, "a"), (10, "c")]]
