@@ -69,7 +69,8 @@ def around_centroid(df: DataFrame, group: str, key: str, vector: str, k: int, ne
 def dispersions(df: DataFrame, vector: str, ks: list[int], seed: int = 1) -> list[float]:
     """Sum of squared distances to the nearest of k centers, for every k."""
     rows = df.select(array_to_vector(F.col(vector)).alias("_v"))
-    return [KMeans(k=k, seed=seed, featuresCol="_v").fit(rows).summary.trainingCost for k in ks]
+    spread = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg((F.var_pop("x") * F.count("x")).alias("s"))
+    return [spread.agg(F.sum("s")).first()[0] if k == 1 else KMeans(k=k, seed=seed, featuresCol="_v").fit(rows).summary.trainingCost for k in ks]
 
 
 def gap_statistic(df: DataFrame, key: str, vector: str, ks: list[int], refs: int = 2, seed: int = 1) -> list[tuple[int, float]]:
