@@ -38,7 +38,7 @@ def _jaro(a: str, b: str) -> float:
     if not hits:
         return 0.0
     other = [c for c, u in zip(b, used, strict=True) if u]
-    swaps = sum(x != y for x, y in zip(hits, other, strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(hits, other, strict=True)) // 2  # whole transpositions
     m = len(hits)
     return (m / len(a) + m / len(b) + (m - swaps) / m) / 3
 

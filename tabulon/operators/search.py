@@ -38,8 +38,8 @@ def weigh(counts: DataFrame, model: DataFrame, key: str, sublinear: bool = False
     rows = counts.join(model, "term").select(key, "term", (tf * F.col("idf")).alias("weight"))
     if not norm:
         return rows
-    size = rows.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("_size"))
-    return rows.join(size, key).select(key, "term", (F.col("weight") / F.col("_size")).alias("weight"))
+    size = F.sqrt(F.sum(F.col("weight") ** 2).over(W.partitionBy(key)))  # over the distinct terms of one text
+    return rows.select(key, "term", (F.col("weight") / size).alias("weight"))
 
 
 def build_index(weights: DataFrame, code: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +81,8 @@ def best_codes(queries: DataFrame, key: str, index: tuple[DataFrame, DataFrame],
     tail = F.sum("ub").over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
     terms = written(terms.withColumns({"i": F.row_number().over(order), "tail": tail}), "terms")
     floor = _kth(_sums(terms.where(F.col("i") <= first), postings, key), key, k)
-    told = written(terms.join(floor, key, "left").withColumn("look", (F.col("i") <= first) | (F.col("tail") >= F.coalesce("least", F.lit(0.0)) - EPS)), "looked")
+    look = (F.col("i") <= first) | (F.col("tail") >= F.coalesce("least", F.lit(0.0)) - EPS)
+    told = written(terms.join(floor, key, "left").select(key, "term", "w", "ub", look.alias("look")), "looked")
     drop(terms)
     partial = written(_sums(told.where("look"), postings, key), "partial")
     floor = _kth(partial, key, k)
@@ -98,7 +99,7 @@ def find_codes(rows: DataFrame, key: str, text: str, tokens, model: DataFrame, i
     """(key, code, score, rank) for rows of any table: the k codes whose documents are nearest to the row's text by cosine.
     tokens makes an array of words of the text column; rows of one text are searched once. Rows whose text has no term of the
     model, null texts among them, find nothing."""
-    own = rows.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).withColumn("_id", F.md5("_text"))
+    own = rows.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).withColumn("_id", F.unhex(F.md5("_text")))
     texts = own.select("_id", "_text").dropDuplicates(["_id"]).select("_id", F.explode(tokens(F.col("_text"))).alias("term"))
     known = model.select("term")
     if known.count() <= 200_000:  # else terms that the model does not know go later
