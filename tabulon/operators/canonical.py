@@ -26,9 +26,17 @@ def canonicalize(df: DataFrame, column: str, targets: DataFrame | None = None, n
     return known.withColumn(column, F.when(F.col("_t").isNotNull() | (F.col(column) == missing), F.col(column)).otherwise(other)).drop("_t")
 
 
-def check_canonical(df: DataFrame, column: str, noisy: Iterable[str] = NOISY_CODES) -> DataFrame:
-    """One row: counts of rows, nulls, hyphens and noisy cells, over all rows."""
+def check_canonical(df: DataFrame, column: str, noisy: Iterable[str] = NOISY_CODES, targets: DataFrame | None = None) -> DataFrame:
+    """One row: counts of rows, nulls, hyphens and noisy cells, over all rows; with targets (column of the same name) also outside, the
+    rows whose code is none of them nor unknown or other."""
     c = F.col(column)
+    if targets is not None:
+        codes = df.groupBy(column).agg(F.count("*").alias("_n"))
+        known = targets.select(F.col(column).alias("_t")).where("_t is not null").distinct()
+        codes = codes.join(known, codes[column] == known["_t"], "left")
+        count = lambda which: F.coalesce(F.sum(F.when(which, F.col("_n"))), F.lit(0))
+        outside = F.col("_t").isNull() & c.isNotNull() & ~c.isin("unknown", "other")
+        return codes.agg(count(F.lit(True)).alias("n"), count(c.isNull()).alias("nulls"), count(c.contains("-")).alias("hyphens"), count(F.lower(c).isin(*noisy)).alias("noisy"), count(outside).alias("outside"))
     return df.agg(F.count("*").alias("n"), F.count_if(c.isNull()).alias("nulls"), F.count_if(c.contains("-")).alias("hyphens"), F.count_if(F.lower(c).isin(*noisy)).alias("noisy"))
 
 

@@ -70,7 +70,6 @@ def save_corpus(corpus: DataFrame, path: str) -> None:
 
 def load_corpus(spark, path: str, make: Callable[[], DataFrame] | None = None) -> DataFrame:
     """The saved corpus; if there is none, that of make(), which is saved first."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if make and not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        save_corpus(make(), path)
-    return spark.read.parquet(path)
+    from ..sources.files import load_or_make
+
+    return load_or_make(spark, path, make) if make else spark.read.parquet(path)

@@ -55,6 +55,14 @@ def acronym(token: Column, expansion: Column) -> Column:
     return F.when(fits, F.array_join(F.slice(words, F.lit(1), n), " "))
 
 
+def acronym_lookup(rows: DataFrame, token: str, acronyms: DataFrame) -> DataFrame:
+    """rows with expansions, all distinct ones that acronyms(acronym, expansion) has for the token, ignoring case, sorted; none: empty."""
+    known = acronyms.where("acronym is not null and expansion is not null").select(F.upper("acronym").alias("_a"), F.upper("expansion").alias("_e"))
+    known = known.groupBy("_a").agg(F.array_sort(F.collect_set("_e")).alias("expansions"))
+    out = rows.join(known, F.upper(F.col(token)) == F.col("_a"), "left").drop("_a")
+    return out.withColumn("expansions", F.coalesce("expansions", F.array().cast("array<string>")))
+
+
 def final_map(system: DataFrame, tokens: DataFrame) -> DataFrame:
     """(token, expansion) of system(token, expansion) and tokens(token, expansion, n): an acronym first, then the token itself
     if it is one of its expansions, then the system's, then the shortest of the most frequent."""

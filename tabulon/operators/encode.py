@@ -12,15 +12,11 @@ from .steps import written
 
 
 def ordinals(df: DataFrame, column: str) -> DataFrame:
-    """(column, ordinal): values by rank from 0. Distinct values are dealt over parts by their first letters (numbers: by their
-    size), so that no task sorts all of them."""
+    """(column, ordinal): values by rank from 0. Distinct values are dealt over parts of about equal size, so that no task sorts all
+    of them."""
     from .running import add_totals_before, in_parts
 
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    if dict(df.dtypes)[column] == "string":
-        values = values.withColumn("_part", F.substring(column, 1, 2))
-    else:
-        values = in_parts(values, column)
+    values = in_parts(df.select(column).where(F.col(column).isNotNull()).distinct(), column)
     rows = add_totals_before(values.withColumn("_one", F.lit(1)), [], "_part", ["_one"])
     place = F.col("before__one") + F.row_number().over(W.partitionBy("_part").orderBy(column))
     return rows.select(column, (place - 1).cast("int").alias("ordinal"))

@@ -11,6 +11,7 @@ from ..functions.text import clean_term, standardize
 from . import tfidf
 from .nearest import token_similarity
 from .roles import pair_names
+from .running import ranked_by
 from .sampling import negatives, per_class
 
 
@@ -45,6 +46,32 @@ def pair_features(pairs: DataFrame, rows: DataFrame, dictionary: DataFrame, key:
     return out.drop(*[f"_x_{c}" for c in texts], *[f"_y_{p}" for p in parts])
 
 
+def pair_table(pairs: DataFrame, rows: DataFrame, dictionary: DataFrame, key: str, code: str, texts: list[str], parts: list[str], kernel: Callable[[Column, Column], Column] | None = None, kinds: tuple[str, ...] = ("sdist", "tfidf"), test: bool = False) -> DataFrame:
+    """The training table of pairs: assignment (the candidate) and label, features of the kinds asked for as in pair_features(), the row's own
+    texts t_<text> and the candidate's descriptors d_<part>, cleaned, '' where there are none. test: every label is -1, as the
+    right answer is not known."""
+    clean = lambda c: clean_term(standardize(F.col(c)))
+    out = pairs
+    if kinds:
+        out = pair_features(pairs, rows, dictionary, key, code, texts, parts, kernel or F.levenshtein)
+        names = [n for _, _, n in pair_names(texts, parts)]
+        out = out.drop(*[f"{n}_{kind}" for n in names for kind in ("sdist", "tfidf") if kind not in kinds])
+    own = rows.select(key, *[clean(c).alias(f"t_{c}") for c in texts])
+    entry = dictionary.groupBy(code).agg(*[F.max(p).alias(p) for p in parts]).select(F.col(code).alias("candidate"), *[clean(p).alias(f"d_{p}") for p in parts])
+    out = out.join(own, key, "left").join(entry, "candidate", "left").fillna("", [f"t_{c}" for c in texts] + [f"d_{p}" for p in parts])
+    return out.withColumnRenamed("candidate", "assignment").withColumn("label", F.lit(-1) if test else F.col("label"))
+
+
+def ranked_predictions(scored: DataFrame, code: str, key: list[str], label: str, score: str, low: float = 0.85, top: int | None = None) -> DataFrame:
+    """scored with place, its rank in the order of label and falling score inside its code (ties by key), and doubtful, whether the score is
+    below low; top: the first so many places of every code. Places count over parts of the scores, so that no task sorts all rows of
+    a code."""
+    # labels are whole numbers and scores lie in [0, 1], so that one number gives the order of both
+    placed = ranked_by(scored.withColumn("_o", F.col(label) * 2.0 - F.col(score)), [code], "_o", key)
+    out = placed.withColumnRenamed("_rank", "place").withColumn("doubtful", F.col(score) < low).drop("_o", "_all")
+    return out.where(F.col("place") <= top) if top else out
+
+
 def train_and_test(rows: DataFrame, scores: DataFrame, dictionary: DataFrame, key: str, code: str, high: float = 0.9, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(train, test) pairs: codes that scores(code, score) finds easy give rows with their own code and others; the rest give
     rows with their own code alone."""

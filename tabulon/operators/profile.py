@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .canonical import performance_class
 from .running import join_null_safe, running_sums, values_at
 
 
@@ -81,6 +82,16 @@ def heterogeneity(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return out.withColumn("heterogeneous", F.array_max(counts) != F.array_min(counts))
 
 
+def case_report(rows: DataFrame, scores: DataFrame, code: str, columns: list[str], high: float = 0.9) -> DataFrame:
+    """(class, n_codes, ratio, n_rows, n_mixed) of the performance classes of scores(code, score): codes and their share of all codes, their
+    rows, and codes whose columns have differing numbers of distinct values."""
+    facts = heterogeneity(rows, code, columns).join(rows.groupBy(code).agg(F.count("*").alias("_n")), code)
+    told = scores.select(code, performance_class(F.col("score"), high).alias("class")).join(facts.select(code, "_n", "heterogeneous"), code, "left")
+    out = told.groupBy("class").agg(F.count("*").alias("n_codes"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.count_if("heterogeneous").alias("n_mixed"))
+    every = scores.agg(F.count("*").alias("_all"))  # one row
+    return out.crossJoin(F.broadcast(every)).select("class", "n_codes", (F.col("n_codes") / F.col("_all")).alias("ratio"), "n_rows", "n_mixed")
+
+
 def class_balance(df: DataFrame, label: str, least: float = 0.1) -> DataFrame:
     """(label, n, ratio, multiple of the rarest, is_balanced)."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 PARTS = 256
+#: Rows that one part may have before another is cut; parts of this size sort in memory.
+ROWS_A_PART = 200_000
+CUT = 64
 
 
 def join_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,11 +45,25 @@ def bucket_of(edges: list, c: Column) -> Column:
     return tree(0, len(edges))
 
 
-def in_parts(df: DataFrame, order: str, source: DataFrame | None = None) -> DataFrame:
-    """Adds _part, which rises with order and cuts the rows into up to PARTS shares of about equal size; the edges, no more than
-    PARTS values, are found in a job of their own, over source if that is cheaper to read. Any edges give the same results."""
-    edges = (source or df).agg(F.percentile_approx(order, [i / PARTS for i in range(1, PARTS)], 10_000)).first()[0] or []
-    return df.withColumn("_part", bucket_of(sorted(set(edges)), F.col(order)))
+def part_edges(df: DataFrame, order: str) -> list:
+    """Sorted edges that cut the rows into shares of about equal size: one for every ROWS_A_PART rows, PARTS at most. They are found
+    in a job of their own; any edges give the same results. Strings are cut by the first CUT letters of 4096 of them, drawn by hash."""
+    if dict(df.dtypes)[order] == "string":
+        n = df.count()
+        parts = min(PARTS, -(-n // ROWS_A_PART))
+        if parts < 2:
+            return []
+        drawn = df.where(F.col(order).isNotNull()).select(F.substring(order, 1, CUT).alias("v")).orderBy(F.xxhash64("v")).limit(4096).collect()
+        found = sorted((r[0] for r in drawn), key=lambda v: v.encode())
+        return sorted({found[len(found) * i // parts] for i in range(1, parts)}, key=lambda v: v.encode()) if found else []
+    edges, n = df.agg(F.percentile_approx(order, [i / PARTS for i in range(1, PARTS)], 10_000), F.count(order)).first()
+    parts = min(PARTS, -(-n // ROWS_A_PART))
+    return sorted({edges[PARTS * i // parts - 1] for i in range(1, parts)}) if edges else []
+
+
+def in_parts(df: DataFrame, order: str) -> DataFrame:
+    """Adds _part, which rises with order, by part_edges()."""
+    return df.withColumn("_part", bucket_of(part_edges(df, order), F.col(order)))
 
 
 def ranked_by(df: DataFrame, keys: list[str], order: str, ties: list[str]) -> DataFrame:
@@ -57,9 +74,16 @@ def ranked_by(df: DataFrame, keys: list[str], order: str, ties: list[str]) -> Da
 
 
 def running_sums(df: DataFrame, keys: list[str], order: str, columns: list[str], down: bool = False, source: DataFrame | None = None) -> DataFrame:
-    """Adds run_<c>, the sum of c over the group's rows up to and with this value of order (a number or a time), and all_<c>."""
-    rows = add_totals_before(in_parts(df, order, source), keys, "_part", columns, down)
-    by = W.partitionBy(*keys, "_part").orderBy(F.desc(order) if down else F.asc(order))
+    """Adds run_<c>, the sum of c over the group's rows up to and with this value of order (a number or a time), and all_<c>. Edges of
+    parts come from source if that is cheaper to read; where all rows fit in one part, nothing is joined."""
+    edges = part_edges(source or df, order)
+    ordered = F.desc(order) if down else F.asc(order)
+    if not edges:
+        by = W.partitionBy(*(keys or [F.lit(1)]))
+        sums = {f"run_{c}": F.sum(c).over(by.orderBy(ordered)) for c in columns}
+        return df.withColumns(sums | {f"all_{c}": F.sum(c).over(by) for c in columns})
+    rows = add_totals_before(df.withColumn("_part", bucket_of(edges, F.col(order))), keys, "_part", columns, down)
+    by = W.partitionBy(*keys, "_part").orderBy(ordered)
     rows = rows.withColumns({f"run_{c}": F.col(f"before_{c}") + F.sum(c).over(by) for c in columns})
     return rows.drop("_part", *[f"before_{c}" for c in columns])
 

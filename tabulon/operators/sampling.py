@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .profile import keep_last
-from .running import add_totals_before, ranked_by
+from .running import add_totals_before, in_parts, ranked_by
 
 
 def draw(seed: int, *keys: str) -> Column:
@@ -104,10 +104,10 @@ def bootstrap(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
 def weighted_choice(df: DataFrame, value: str, weight: str, keys: DataFrame, key: str, seed: int = 0, sectors: int = 4096) -> DataFrame:
     """(key, value): for each key one of the values, in proportion to weight, by the inverse of the cumulative weights.
 
-    Weights add up in parts, by the values' first letters. Draws and intervals meet by the sector of [0, 1) they lie in, so that a
+    Weights add up in parts of the ordered values. Draws and intervals meet by the sector of [0, 1) they lie in, so that a
     draw is compared with its sector's values alone and nothing is broadcast."""
     total = df.agg(F.sum(weight)).first()[0]
-    parts = add_totals_before(df.select(value, weight, F.substring(F.col(value).cast("string"), 1, 2).alias("_part")), [], "_part", [weight])
+    parts = add_totals_before(in_parts(df.select(value, weight), value), [], "_part", [weight])
     high = F.col(f"before_{weight}") + F.sum(weight).over(W.partitionBy("_part").orderBy(value))
     marks = parts.withColumn("_high", high).select(value, ((F.col("_high") - F.col(weight)) / total).alias("_low"), (F.col("_high") / total).alias("_high")).where("_high > _low")
     sector = lambda c: F.floor(c * sectors).cast("int")
@@ -133,6 +133,26 @@ def interval_sample(df: DataFrame, order: str, key: str, n: int, group: str, see
     return first.select("_f._row.*", "tile")
 
 
+def share_per_class(df: DataFrame, label: str, key: str, share: float, seed: int = 0) -> DataFrame:
+    """floor(share x n) rows of every class, at least one, in hashed order."""
+    wanted = F.greatest(F.floor(F.lit(share) * F.col("_all")), F.lit(1))
+    return ranked(df, label, key, seed).where(F.col("_rank") <= wanted).drop("_rank", "_all")
+
+
+def with_controls(cases: DataFrame, pool: DataFrame, key: str, times: int = 1, seed: int = 0, out: str = "control") -> DataFrame:
+    """cases (out 0) and, of pool, times as many rows that are none of them (out 1), first in hashed order. The place in that order
+    counts over its parts, so that however many are drawn, no task holds them all. Too small a pool is an error; columns that
+    one side lacks are null."""
+    wanted = times * cases.count()
+    fresh = pool.join(cases.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
+    placed = ranked(fresh.withColumn("_class", F.lit(1)), "_class", key, seed)
+    found = placed.select(F.max("_all")).first()[0] or 0
+    if found < wanted:
+        raise ValueError(f"the pool has {found} rows that are no cases, {wanted} are wanted")
+    drawn = placed.where(F.col("_rank") <= wanted).drop("_class", "_rank", "_all")
+    return cases.withColumn(out, F.lit(0)).unionByName(drawn.withColumn(out, F.lit(1)), allowMissingColumns=True)
+
+
 def two_classes_even(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """Every class cut down to the size of the rarest."""
     return cap_majority(df, label, key, 1, seed)

@@ -6,6 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import ngrams
+
+
+def given_ngrams(docs: DataFrame, tokens: str, grams: DataFrame, gram: str, ordered: bool = True) -> DataFrame:
+    """(gram, n): how often each distinct gram of grams, an array of tokens, occurs as a run in the token arrays of docs; 0 where it
+    does not. ordered=False: runs with the same tokens in any order count, and grams that differ in order only have one count
+    each. Only runs as long as some gram are made; they are counted before they meet the grams."""
+    wanted = grams.select(F.col(gram).alias("gram")).where("size(gram) > 0").distinct()
+    lengths = sorted(r[0] for r in wanted.select(F.size("gram")).distinct().collect())  # a handful
+    runs = F.flatten(F.array(*[ngrams(F.col(tokens), n, ordered) for n in lengths])) if lengths else F.array().cast("array<array<string>>")
+    counts = docs.select(F.explode(runs).alias("_g")).groupBy("_g").agg(F.count("*").alias("n"))
+    key = F.col("gram") if ordered else F.array_sort("gram")
+    return wanted.withColumn("_g", key).join(counts, "_g", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n"))
+
 
 def term_counts(docs: DataFrame, key: str, tokens: str) -> DataFrame:
     return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))

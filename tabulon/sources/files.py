@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import dehyphenate, dequote, icd_dotted, resolve_value
 from ..operators.canonical import canonicalize
-from ..operators.cleaning import clean_columns
+from ..operators.cleaning import clean_columns, process_text
 from ..operators.dictionary import one_tag
 from ..operators.profile import merge_rows
 
@@ -32,10 +33,10 @@ def read_folds(spark: SparkSession, pattern: str, schema: StructType | str) -> D
     return read_delimited(spark, pattern, schema).withColumn("fold", F.regexp_extract(F.input_file_name(), r"-(\d+)\.csv", 1).cast("int"))
 
 
-def read_acronyms(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    """Headerless: the first column is the acronym, the third its expansion; upper-cased."""
+def read_acronyms(spark: SparkSession, path: str, sep: str = "\t", expansion: int = 2) -> DataFrame:
+    """Headerless: the first column is the acronym, the column of that number (from 0) its expansion; upper-cased."""
     df = spark.read.options(sep=sep, header=False).csv(path)
-    return df.select(F.upper(F.trim("_c0")).alias("acronym"), F.upper(F.trim("_c2")).alias("expansion"))
+    return df.select(F.upper(F.trim("_c0")).alias("acronym"), F.upper(F.trim(f"_c{expansion}")).alias("expansion"))
 
 
 def read_properties(spark: SparkSession, path: str) -> DataFrame:
@@ -63,10 +64,10 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> N
     """Merges rows into a parquet table: new rows win. The merged table is written once, beside the old one, and takes its place
     by renaming; the old one is kept aside until that is done."""
     merged = merge_rows(spark.read.parquet(path), new, keys)
-    merged.write.mode("overwrite").parquet(f"{path}.new")
-    at = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old")]
+    mark = uuid.uuid4().hex  # two writers do not share folders
+    merged.write.parquet(f"{path}.{mark}.new")
+    at = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{mark}.new", f"{path}.{mark}.old")]
     fs = at[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(at[2], True)
     if not (fs.rename(at[0], at[2]) and fs.rename(at[1], at[0])):
         raise OSError(f"could not put the merged table at {path}")
     fs.delete(at[2], True)
@@ -88,14 +89,53 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def load_or_make(spark: SparkSession, path: str, make: Callable[[], DataFrame], again_if_empty: bool = False) -> DataFrame:
+    """The table at path; where none was written whole (its _SUCCESS mark is missing), that of make().
+
+    It is written beside and takes its place by renaming, so that a failed write is never taken for the table; of two writers
+    the first one's table stays. again_if_empty: a table without rows is made again too."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = exists(spark, f"{path}/_SUCCESS")
+    if whole and not (again_if_empty and spark.read.parquet(path).isEmpty()):
+        return spark.read.parquet(path)
+    new = f"{path}.{uuid.uuid4().hex}.new"
+    make().write.parquet(new)
+    if fs.exists(at) and (whole or not exists(spark, f"{path}/_SUCCESS")):  # empty, or left by a failed write
+        fs.delete(at, True)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(new)
+    if fs.exists(at) or not fs.rename(beside, at):
+        fs.delete(beside, True)
+        if not exists(spark, f"{path}/_SUCCESS"):
+            raise OSError(f"could not put the table at {path}")
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)
+
+
+def read_descriptors(spark: SparkSession, folder: str, names: list[str], schema: StructType | str, clean: bool = False, dedup: bool = False, sep: str = ",") -> dict[str, DataFrame]:
+    """name -> the variables file <folder>/<name>-vars, without nulls in its texts, for those names that have one; clean: the column of
+    that name is cleaned again, dedup: without repeated words."""
+    out = {}
+    for name in names:
+        path = f"{folder}/{name}-vars"
+        if not exists(spark, path):
+            continue
+        df = read_delimited(spark, path, schema, sep)
+        if clean:
+            df = df.withColumn(name, process_text(F.col(name), dedup=dedup))
+        out[name] = df.fillna("")
+    return out
+
+
 def silver(spark: SparkSession, raw: DataFrame, path: str, code: str, order: str, clean: list[str] | None = None, targets: DataFrame | None = None) -> DataFrame:
     """The table at path; where there is none, raw with clean columns cleaned, rows alike in all but order once (the last by
     order stays), and code made canonical, is written there first."""
-    if not exists(spark, path):
+    def make() -> DataFrame:
         rows = clean_columns(raw, clean) if clean else raw
         once = rows.groupBy(*[c for c in rows.columns if c != order]).agg(F.max(order).alias(order)).select(*raw.columns)
-        canonicalize(once, code, targets).write.parquet(path)
-    return spark.read.parquet(path)
+        return canonicalize(once, code, targets)
+
+    return load_or_make(spark, path, make)
 
 
 def import_records(df: DataFrame, name: str, value: str, texts: list[str]) -> DataFrame:
