@@ -28,6 +28,8 @@ RULES = {
     "chat": ("xox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-[A-Za-z0-9-]{10,}"),
 }
 BASE = ("assign", "access", "hex")
+#: Rules of one automaton: each has a bit of a long.
+MOST = 63
 #: Bytes of one code point that is not ASCII: first byte, then how many follow.
 _WIDE = ((0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3))
 _ASCII = (1 << 128) - 1
@@ -206,8 +208,8 @@ class Dfa:
     without way on. "back": the reversed rules; state 0 has no match under way (dead), and the class inject begins one."""
 
     def __init__(self, regexes: list[str], way: str):
-        if len(regexes) > 63:
-            raise ValueError("no more than 63 rules in one automaton")
+        if len(regexes) > MOST:
+            raise ValueError(f"no more than {MOST} rules in one automaton")
         nfa = Nfa()
         ends: dict[int, int] = {}
         begin = nfa.state()
@@ -339,9 +341,11 @@ class Dfa:
 
 
 @lru_cache(maxsize=8)
-def automata(rules: tuple[tuple[str, str], ...]) -> tuple[Dfa, list[tuple[Dfa, Dfa]]]:
-    """The combined automaton, and for each rule those that walk back and that read a match (kind 0: it matches, 1: it counts)."""
-    return Dfa([r[0] for r in rules], "scan"), [(Dfa([match], "back"), Dfa([match, counts], "match")) for match, counts in rules]
+def automata(rules: tuple[tuple[str, str], ...]) -> tuple[list[tuple[int, Dfa]], list[tuple[Dfa, Dfa]]]:
+    """The combined automata, one for every MOST rules with the number of its first rule, and for each rule those that walk back and
+    that read a match (kind 0: it matches, 1: it counts)."""
+    scans = [(low, Dfa([r[0] for r in rules[low : low + MOST]], "scan")) for low in range(0, len(rules), MOST)]
+    return scans, [(Dfa([match], "back"), Dfa([match, counts], "match")) for match, counts in rules]
 
 
 def spans_of(data: bytes, ends: dict[int, list[int]], pairs: list[tuple[Dfa, Dfa]]) -> list[tuple[int, int, int]]:
@@ -366,12 +370,13 @@ def find_secrets(docs: DataFrame, rules: dict = RULES, key: str = "doc_id") -> D
     """key and spans, an array of (kind, start, end) in code points: one row per row of docs, so repeated and null keys too;
     whole texts, however long, null as empty. Other columns are ignored.
 
-    rules: kind to the regex of a match and the regex of those matches that count; 63 at most, neither may match nothing. Texts
-    are kept apart by a byte that UTF-8 does not have, so that no match crosses them."""
+    rules: kind to the regex of a match and the regex of those matches that count; neither may match nothing. Up to MOST rules are
+    read in one pass over the bytes, more in one pass for every MOST. Texts are kept apart by a byte that UTF-8 does not have,
+    so that no match crosses them."""
     for kind, row in rules.items():
         if any(re.fullmatch(r, "") for r in row):
             raise ValueError(f"rule {kind} matches nothing")
-    scan, pairs = automata(tuple(tuple(r) for r in rules.values()))
+    scans, pairs = automata(tuple(tuple(r) for r in rules.values()))
     kinds = list(rules)
     kind_type = dict(docs.dtypes)[key]
 
@@ -383,17 +388,20 @@ def find_secrets(docs: DataFrame, rules: dict = RULES, key: str = "doc_id") -> D
             n = batch.num_rows
             apart = np.full(len(data) + n, 0xFF, np.uint8)
             apart[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(at))] = data
-            where, flags = scan.hits(apart)
-            order = np.argsort(where, kind="stable")
-            where, flags = where[order], flags[order]
-            doc = np.searchsorted(at[1:] + np.arange(1, n + 1), where, "right")
-            where = where - doc - at[doc]  # in its own text
+            ends: dict[int, dict[int, list[int]]] = {}
+            for low, scan in scans:
+                where, flags = scan.hits(apart)
+                order = np.argsort(where, kind="stable")
+                where, flags = where[order], flags[order]
+                doc = np.searchsorted(at[1:] + np.arange(1, n + 1), where, "right")
+                where = where - doc - at[doc]  # in its own text
+                first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else ()
+                for a, b in zip(first, [*first[1:], len(doc)], strict=False):
+                    found = {low + k: own.tolist() for k in range(min(MOST, len(kinds) - low)) if len(own := where[a:b][(flags[a:b] >> k & 1).astype(bool)])}
+                    ends.setdefault(int(doc[a]), {}).update(found)
             spans: list[list] = [[] for _ in range(n)]
-            first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else ()
-            for a, b in zip(first, [*first[1:], len(doc)], strict=False):
-                i = int(doc[a])
-                ends = {k: own.tolist() for k in range(len(kinds)) if len(own := where[a:b][(flags[a:b] >> k & 1).astype(bool)])}
-                spans[i] = [{"kind": kinds[k], "start": s, "end": e} for s, k, e in spans_of(data[at[i] : at[i + 1]].tobytes(), ends, pairs)]
+            for i, own in ends.items():
+                spans[i] = [{"kind": kinds[k], "start": s, "end": e} for s, k, e in spans_of(data[at[i] : at[i + 1]].tobytes(), own, pairs)]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(spans, spans_type)], names=[key, "spans"])
 
     return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind_type}, spans array<struct<kind:string,start:long,end:long>>")
