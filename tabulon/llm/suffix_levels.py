@@ -211,7 +211,7 @@ def repeats(rows: DataFrame, span: int, limit: int = 300_000) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, seen, whole, over = None, {}, {}, False
+        key, seen, whole, over, first = None, {}, {}, False, None  # first: a prefix's only body so far, not yet in seen
         for batch in batches:
             settled, crowded = pc.is_null(batch.column("body")), batch.column("hot")
             for what, rows in ((0, batch.filter(settled)), (1, batch.filter(crowded))):
@@ -221,7 +221,9 @@ def repeats(rows: DataFrame, span: int, limit: int = 300_000) -> DataFrame:
             out: list[tuple] = []
             for tag, (p1, p2, doc, start, body) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("p1", "p2", "doc_id", "start", "body")), strict=True)):  # tag: by its row
                 if (p1, p2) != key:
-                    key, seen, whole, over = (p1, p2), {}, {}, False
+                    key, seen, whole, over, first = (p1, p2), {}, {}, False, None
+                    whole[body], first = doc, (body, doc)
+                    continue
                 if whole.get(body, doc) < doc:
                     out.append((0, doc, tag, start, start + len(body), None))
                     continue
@@ -230,17 +232,22 @@ def repeats(rows: DataFrame, span: int, limit: int = 300_000) -> DataFrame:
                 if over:
                     out.append((1, doc, tag, start, start + len(body), body))
                     continue
-                begin = end = -1
-                for i in range(len(body) - span + 1):
-                    if seen.setdefault(body[i : i + span], doc) < doc:
+                if first:
+                    seen, first = dict.fromkeys([first[0][i : i + span] for i in range(len(first[0]) - span + 1)], first[1]), None
+                own = [body[i : i + span] for i in range(len(body) - span + 1)]
+                if seen.keys().isdisjoint(own):
+                    seen.update(dict.fromkeys(own, doc))
+                else:
+                    begin = end = -1
+                    for i in [i for i, w in enumerate(own) if seen.setdefault(w, doc) < doc]:
                         if begin >= 0 and i <= end:
                             end = i + span
                         else:
                             if begin >= 0:
                                 out.append((0, doc, tag, start + begin, start + end, None))
                             begin, end = i, i + span
-                if begin >= 0:
-                    out.append((0, doc, tag, start + begin, start + end, None))
+                    if begin >= 0:
+                        out.append((0, doc, tag, start + begin, start + end, None))
                 if len(seen) > limit:
                     over = True
                     out += [(2, d, None, 0, span, w) for w, d in seen.items()]
