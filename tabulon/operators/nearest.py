@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.similarity import common_substring, jaro_winkler_column
+from ..functions.similarity import common_substring
+from .jaro import closest_rows
+from .metric import meet
 from .steps import written
 
 
@@ -58,88 +60,31 @@ def nearest(values: DataFrame, value: str, targets: DataFrame, target: str, orde
     return out.select("value", F.col("b.target").alias("target"), F.col("b.d").alias("distance"))
 
 
-#: Bounds are this much wider than they need be, against rounding; it costs a few more comparisons.
-SLACK = 1e-3
-
-
-def _letters(c: Column) -> Column:
-    """Letters of a text with their running number among equal ones ("a1", "b1", "a2"): two texts share as many of them as they
-    share letters."""
-    each = F.split(c, "")
-    return F.transform(each, lambda x, i: F.concat(x, F.size(F.filter(F.slice(each, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
-
-
-def _least_shared(score: Column, a: Column, b: Column, same: int) -> Column:
-    """How many letters texts of lengths a and b must share at least for a score, if same first letters agree: Jaro's mean of m/a,
-    m/b and at most 1, lifted by a tenth of what is missing for each such letter."""
-    jaro = (score - 0.1 * same) / (1 - 0.1 * same)
-    return F.greatest(F.lit(1), F.ceil((3 * jaro - 1) * a * b / (a + b) - SLACK))
-
-
-def _candidates(values: DataFrame, words: DataFrame, counts: DataFrame) -> DataFrame:
-    """(value, target) of all pairs whose Jaro-Winkler score may reach the value's least score s: texts that must share n letters
-    share one of their rarest (length - n + 1). For 0 to 4 equal first letters, these letters are part of the key."""
-    def filed(rows: DataFrame, text: str) -> DataFrame:
-        each = rows.select(text, F.explode(F.array_distinct(f"l_{text}")).alias("g")).join(counts, "g", "left")
-        order = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))), lambda x: x["g"])
-        return rows.join(each.groupBy(text).agg(order.alias(f"o_{text}")), text)
-
-    values, words = filed(values, "value"), filed(words, "target")
-    lengths = words.agg(F.min(F.length("target")).alias("lo"), F.max(F.length("target")).alias("hi")).first()
-    out = None
-    for same in range(5):
-        a, b = F.length("value"), F.length("target")
-        jaro = (F.col("s") - 0.1 * same) / (1 - 0.1 * same)
-        low = F.greatest(F.lit(lengths[0]), F.lit(same), F.floor(a * (3 * jaro - 2) - SLACK))
-        high = F.when(3 * jaro > 2, F.least(F.lit(lengths[1]), F.ceil(a / (3 * jaro - 2) + SLACK))).otherwise(F.lit(lengths[1]))
-        mine = values.where((a >= same) & (low <= high)).withColumns({"low": low, "high": high})
-        fewest = F.least(_least_shared(F.col("s"), a, F.col("low"), same), _least_shared(F.col("s"), a, F.col("high"), same))
-        mine = mine.withColumn("keys", F.slice("o_value", F.lit(1), F.greatest(F.lit(0), a - fewest + 1).cast("int")))
-        mine = mine.select("value", "s", "l_value", "low", "high", F.substring("value", 1, same).alias("p"), F.explode("keys").alias("g"))
-        theirs = words.where(b >= same).select("target", "l_target", F.substring("target", 1, same).alias("p"), F.posexplode("o_target").alias("r", "g"))
-        need = _least_shared(F.col("s"), a, b, same)
-        met = mine.join(theirs, ["p", "g"]).where((b >= F.col("low")) & (b <= F.col("high")) & (F.col("r") <= b - need) & (need <= F.least(a, b)))
-        met = met.where(F.size(F.array_intersect("l_value", "l_target")) >= need).select("value", "target")
-        out = met if out is None else out.union(met)
-    return out.distinct()
-
-
-def nearest_jaro_winkler(values: DataFrame, value: str, targets: DataFrame, target: str, order: str, scores: tuple[float, ...] = (0.9, 0.75)) -> DataFrame:
+def nearest_jaro_winkler(values: DataFrame, value: str, targets: DataFrame, target: str, order: str, scores: tuple[float, ...] = (0.9, 0.75), block: int = 10_000, other: int = 100_000) -> DataFrame:
     """(value, target, distance): for each distinct value the target of the highest Jaro-Winkler score, the first by order of
     equals; distance is 1 less the score, to nine digits.
 
-    Exact, without comparing each value with the dictionary: for falling scores, a join on rare letters finds all pairs that may
-    reach the score, and only these are compared. A value is settled once one of its pairs does; in the last round each of the rest
-    takes the best score it has met so far as its own. Values that share no letter with any target have the first target
-    at distance 1."""
+    Exact. Blocks of values meet blocks of targets; within, pairs are taken by the most that their shared letters and first letters
+    allow, and a value is settled once nothing left can be as near as its best. Scores are the steps in which bounds are looked
+    through. With several blocks of targets, a first pass over the highest bounds gives every value a best that all of its blocks
+    go by. Values that share no letter with any target have the first target at distance 1."""
     own = values.select(F.col(value).alias("value")).where("value is not null").distinct()
     words = targets.select(F.col(target).alias("target"), F.col(order).alias("ord")).where("target is not null").groupBy("target").agg(F.min("ord").alias("ord"))
-    words = written(words.withColumn("l_target", _letters(F.col("target"))), "words")
-    first = words.agg(F.min(F.struct("ord", "target")).alias("f")).first()[0]  # one row
-    if first is None:
+    words = written(words.withColumn("cell", F.pmod(F.xxhash64("target"), F.lit(1))), "words")
+    size = words.count()
+    if not size:
         return own.select("value", F.lit(None).cast("string").alias("target"), F.lit(None).cast("double").alias("distance"))
-    counts = words.where("target <> ''").select(F.explode(F.array_distinct("l_target")).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    rows = words.where("target <> ''").select("target", "l_target")
-    left = written(own.where("value <> ''").select("value", _letters(F.col("value")).alias("l_value"), F.lit(None).cast("struct<d:double,ord:" + words.schema["ord"].dataType.simpleString() + ",target:string>").alias("best")), "values")
-    done = None
-    for score in (*scores, None):
-        least = F.lit(score) if score is not None else F.coalesce(1 - F.col("best.d"), F.lit(0.0))
-        pairs = _candidates(left.select("value", "l_value", least.alias("s")), rows, counts)
-        scored = pairs.withColumn("d", F.round(1 - jaro_winkler_column(F.col("value"), F.col("target")), 9)).join(words.select("target", "ord"), "target")
-        best = scored.groupBy("value").agg(F.min(F.struct("d", "ord", "target")).alias("b"))
-        met = left.join(best, "value", "left").select("value", "l_value", F.least("b", "best").alias("best"))
-        if score is None:
-            done = met.select("value", "best") if done is None else done.unionByName(met.select("value", "best"))
-            break
-        met = written(met, "met")
-        settled = met.where(1 - F.col("best.d") >= score).select("value", "best")
-        done = settled if done is None else done.unionByName(settled)
-        left = met.where((1 - F.col("best.d") < score) | F.col("best").isNull())
-        if left.isEmpty():
-            break
-    out = done.select("value", F.coalesce("best.target", F.lit(first["target"])).alias("target"), F.coalesce("best.d", F.lit(1.0)).alias("distance"))
-    has_empty = not words.where("target = ''").isEmpty()
-    return out.union(own.where("value = ''").select("value", F.lit("" if has_empty else first["target"]).alias("target"), F.lit(0.9 if has_empty else 1.0).alias("distance")))
+    kind = words.schema["ord"].dataType.simpleString()
+    rows = written(own.select("value", F.lit(None).cast("double").alias("start"), F.pmod(F.xxhash64("value"), F.lit(1)).alias("cell")), "values")
+
+    def best(rows: DataFrame, top_only: bool) -> DataFrame:
+        run = lambda a, b: closest_rows(a, b, scores, top_only)
+        found = meet(rows, words, "cell", ("value", "target"), run, f"value string, d double, ord {kind}, target string", block, other)
+        return found.groupBy("value").agg(F.min(F.struct("d", "ord", "target")).alias("b"))
+
+    if size > other:
+        rows = written(best(rows, True).select("value", F.col("b.d").alias("start"), F.pmod(F.xxhash64("value"), F.lit(1)).alias("cell")), "starts")
+    return best(rows, False).select("value", F.col("b.target").alias("target"), F.col("b.d").alias("distance"))
 
 
 def reexpress(values: DataFrame, value: str, abbreviations: DataFrame) -> DataFrame:

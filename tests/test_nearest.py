@@ -74,3 +74,23 @@ def test_part_features_by_both_distances(spark):
     got = {r.value: r for r in part_features(values, "v", parts, {"lv": nearest, "jw": nearest_jaro_winkler}).collect()}
     assert got["serum"].system_lv == got["serum"].system_jw == "serum" and got["serum"].system_jw_dist == 0
     assert got["blod"].system_lv == "blood" and got["blod"].system_lv_dist == 1 and got["blod"].system_jw == "blood"
+
+
+def test_jaro_winkler_of_names_that_differ_in_their_digits(spark):
+    """Blocks on both sides and two passes, against all pairs; a tenth of the names of 0.1 GB."""
+    targets = [(f"Supplier#{k:09d}", k) for k in range(600)]
+    values = [f"Customer#{k:09d}" for k in range(0, 9000, 61)]
+    got = nearest_jaro_winkler(spark.createDataFrame([(v,) for v in values], "v string"), "v", spark.createDataFrame(targets, "t string, o int"), "t", "o", block=50, other=200)
+    assert {r.value: (r.distance, r.target) for r in got.collect()} == {v: (b[0], b[2]) for v in values for b in [best(v, targets)]}
+
+
+def test_jaro_winkler_looks_at_few_pairs(monkeypatch):
+    from tabulon.operators import jaro
+
+    compared, plain = [], jaro.scores
+    monkeypatch.setattr(jaro, "scores", lambda a, x, *rest: compared.append(len(x)) or plain(a, x, *rest))
+    values, targets = [f"Customer#{k:09d}" for k in range(0, 90_000, 45)], [f"Supplier#{k:09d}" for k in range(6000)]
+    d, at = jaro.closest(values, targets, (0.9, 0.75))
+    assert sum(compared) < len(values) * len(targets) / 30
+    for k in range(0, 2000, 400):
+        assert (d[k], at[k]) == min((round(1 - jaro_winkler(values[k], t), 9), i) for i, t in enumerate(targets))
