@@ -8,6 +8,7 @@ from ..sources import files
 from ..sources.files import table
 from .corpora import LABELLED
 from .registry import QUERIES, SQL, query
+from .relational import discount_score
 from .text import clean_sql
 
 _ROWS = "WITH r AS (SELECT p_partkey, p_brand AS site, CASE WHEN p_partkey % 5 = 0 THEN CAST(p_partkey % 100 AS VARCHAR) ELSE p_name || ', ' || p_type END AS name, CASE WHEN p_partkey % 3 = 0 THEN 'high' WHEN p_partkey % 10 = 5 THEN CAST(p_partkey % 100 AS VARCHAR) ELSE '7' END AS value, p_type AS kind FROM part), s AS (SELECT p_partkey, site, upper(trim(name)) AS name, upper(value) AS value, upper(trim(kind)) AS kind FROM r), t AS (SELECT p_partkey, site, CASE WHEN try_cast(name AS DOUBLE) IS NULL THEN name WHEN name = value THEN '' WHEN try_cast(value AS DOUBLE) IS NOT NULL THEN name ELSE value END AS name, kind FROM s)"
@@ -111,7 +112,7 @@ def code_check_targets(spark, d):
 @query("case_report", "WITH f AS (SELECT l_suppkey, count(*) AS n, count(DISTINCT l_returnflag) <> count(DISTINCT l_linestatus) AS mixed, CASE WHEN count(*) < 5 THEN -1 ELSE avg(l_discount) * 18 END AS s FROM lineitem GROUP BY ALL) SELECT CASE WHEN s < 0 THEN 'low' WHEN s < 0.9 THEN 'hard' ELSE 'easy' END AS class, count(*) AS n_codes, round(count(*) / (SELECT count(*) FROM f), 9) AS ratio, CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (mixed) AS n_mixed FROM f GROUP BY ALL")
 def case_report(spark, d):
     rows = table(spark, d, "lineitem")
-    scores = rows.groupBy("l_suppkey").agg(F.when(F.count("*") < 5, -1.0).otherwise(F.avg("l_discount") * 18).alias("score"))
+    scores = rows.groupBy("l_suppkey").agg(discount_score().alias("score"))
     return profile.case_report(rows, scores, "l_suppkey", ["l_returnflag", "l_linestatus"]).withColumn("ratio", F.round("ratio", 9))
 
 
