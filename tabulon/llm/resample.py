@@ -19,6 +19,8 @@ from .common import UPPER, materialize, read_table, small_batches, tidy
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans(UPPER, UPPER.lower())
 BLOCK_ENTRIES = 1 << 15
+#: Bytes of a row group of the written blocks, so that a scan holds some dozens of them and not up to 4096.
+ROW_GROUP = 1 << 20
 BLOCK = "block long, ids array<{kind}>, words array<int>, indptr array<int>, indices array<smallint>, data array<int>"
 
 
@@ -150,7 +152,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.05, least_word
     to the weight, so that the highest scores are a draw without replacement by weight. Null and empty texts have no features
     and weight 0 and are not drawn; a null key is drawn as an empty one; rows that repeat a key count each on their own. Columns other
     than key and text are not read. An empty table gives no rows; an empty target counts as no features."""
-    own = materialize(count_blocks(docs, key, buckets=buckets), "counts")
+    own = materialize(count_blocks(docs, key, buckets=buckets), "counts", ROW_GROUP)
     gain = gains(column_sums(own, buckets), column_sums(count_blocks(target, target_key, buckets=buckets), buckets))
     rows = weights(own, gain)
     h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
