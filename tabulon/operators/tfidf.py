@@ -9,16 +9,25 @@ from pyspark.sql import Window as W
 from ..functions.text import ngrams
 
 
-def given_ngrams(docs: DataFrame, tokens: str, grams: DataFrame, gram: str, ordered: bool = True) -> DataFrame:
+def given_ngrams(docs: DataFrame, tokens: str, grams: DataFrame, gram: str, ordered: bool = True, few: int = 200_000) -> DataFrame:
     """(gram, n): how often each distinct gram of grams, an array of tokens, occurs as a run in the token arrays of docs; 0 where it
     does not. ordered=False: runs with the same tokens in any order count, and grams that differ in order only have one count
-    each. Only runs as long as some gram are made; they are counted before they meet the grams."""
+    each. Only runs as long as some gram are made. Up to few grams are broadcast after a count, so that other runs are left out
+    before they are counted; beyond, all runs are counted before they meet the grams."""
     wanted = grams.select(F.col(gram).alias("gram")).where("size(gram) > 0").distinct()
-    lengths = sorted(r[0] for r in wanted.select(F.size("gram")).distinct().collect())  # a handful
-    runs = F.flatten(F.array(*[ngrams(F.col(tokens), n, ordered) for n in lengths])) if lengths else F.array().cast("array<array<string>>")
-    counts = docs.select(F.explode(runs).alias("_g")).groupBy("_g").agg(F.count("*").alias("n"))
-    key = F.col("gram") if ordered else F.array_sort("gram")
-    return wanted.withColumn("_g", key).join(counts, "_g", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n"))
+    sizes = dict(wanted.groupBy(F.size("gram")).count().collect())  # a handful
+    # runs are joined to strings; each token stands behind its length, so that no two runs give one string
+    marked = lambda t: F.transform(t, lambda x: F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")))
+    one = lambda t: F.array_join(t if ordered else F.sort_array(t), "")
+    runs = lambda t, n: t if n == 1 else F.transform(ngrams(t, n), one)
+    wanted = wanted.withColumn("_g", one(marked(F.col("gram"))))
+    docs = docs.select(marked(F.col(tokens)).alias("_t"))
+    made = F.flatten(F.array(*[runs(F.col("_t"), n) for n in sorted(sizes)])) if sizes else F.array().cast("array<string>")
+    met = docs.select(F.explode(made).alias("_g"))
+    if sum(sizes.values()) <= few:
+        met = met.join(F.broadcast(wanted.select("_g").distinct()), "_g", "left_semi")
+    counts = met.groupBy("_g").agg(F.count("*").alias("n"))
+    return wanted.join(counts, "_g", "left").select("gram", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def term_counts(docs: DataFrame, key: str, tokens: str) -> DataFrame:
