@@ -18,4 +18,4 @@ def test_blocks_are_read_by_small_row_groups(spark, monkeypatch):
     assert resample.resample(docs, target).count() == 300
     files = [pq.ParquetFile(p).metadata for p in Path(written[0]._written_at.removeprefix("file://")).glob("*.parquet")]
     assert sum(f.num_rows for f in files) == 300
-    assert max(f.row_group(k).total_byte_size for f in files for k in range(f.num_row_groups)) < 4 << 20
+    assert max(f.row_group(k).total_byte_size for f in files for k in range(f.num_row_groups)) < 2 << 20
