@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .profile import keep_last
-from .running import add_totals_before, in_parts, ranked_by
+from .running import add_totals_before, in_parts, join_null_safe, ranked_by
+from .steps import written
 
 
 def draw(seed: int, *keys: str) -> Column:
@@ -80,9 +81,33 @@ def negatives(codes: DataFrame, column: str, k: int, seed: int = 0) -> DataFrame
 
 def split(df: DataFrame, key: str, ratio: float, label: str | None = None, seed: int = 0, out: str = "part") -> DataFrame:
     """Adds part: train for the first floor(ratio x n) rows of each class in hashed order, else test. Without label, all rows
-    are one class."""
-    rows = ranked(df.withColumn("_class", F.col(label) if label else F.lit(1)), "_class", key, seed)
-    return rows.withColumn(out, F.when(F.col("_rank") <= F.floor(F.lit(ratio) * F.col("_all")), "train").otherwise("test")).drop("_class", "_rank", "_all")
+    are one class.
+
+    Rows stay where they are: counts of the hash's parts tell in which part a class is cut, the rows of that part alone are ranked,
+    and every row is compared with its class's cut. Where that falls among rows of one key, these are dealt out by a rank of their own."""
+    own = F.col(label) if label else F.lit(1)
+    rows = df.withColumns({"_class": own, "_d": draw(seed, key)}).withColumn("_part", F.substring("_d", 1, 3))
+    by = W.partitionBy("_class")
+    sizes = rows.groupBy("_class", "_part").agg(F.count("*").alias("_n"))
+    sizes = sizes.withColumns({"_before": F.sum("_n").over(by.orderBy("_part")) - F.col("_n"), "_train": F.floor(F.lit(ratio) * F.sum("_n").over(by)).cast("long")})
+    at = sizes.where((F.col("_before") < F.col("_train")) & (F.col("_train") <= F.col("_before") + F.col("_n")))
+    at = written(at.select("_class", "_part", "_before", "_train"), "at")  # a row per class: rows meet it without a shuffle of their own
+    placed = join_null_safe(rows.select("_class", "_part", F.struct("_d", F.col(key).alias("_k")).alias("_cut")), at, ["_class", "_part"])
+    place = F.row_number().over(W.partitionBy("_class", "_part").orderBy("_cut"))
+    ties = F.count("*").over(W.partitionBy("_class", "_part").orderBy("_cut"))  # rows up to and with this key
+    less = F.rank().over(W.partitionBy("_class", "_part").orderBy("_cut")) - 1  # rows before this key
+    cuts = placed.withColumns({"_r": place, "_ties": ties, "_less": less}).where(F.col("_r") == F.col("_train") - F.col("_before"))
+    cuts = cuts.select(F.col("_class").alias("_key"), "_cut", (F.col("_ties") > F.col("_r")).alias("_tied"), (F.col("_r") - F.col("_less")).alias("_need"))
+    cuts = written(cuts, "cuts")
+    met = rows.join(cuts, F.col("_class").eqNullSafe(F.col("_key")), "left")
+    mine = F.struct("_d", F.col(key).alias("_k"))
+    side = lambda train: F.when(train, "train").otherwise("test").alias(out)
+    if cuts.where("_tied").isEmpty():
+        return met.select(*df.columns, side(mine <= F.col("_cut")))  # no cut: a class without train rows
+    at_cut = F.coalesce(F.col("_tied") & (mine == F.col("_cut")), F.lit(False))
+    of_key = F.row_number().over(W.partitionBy("_class").orderBy("_d"))  # of the rows of one key
+    tied = met.where(at_cut).select(*df.columns, side(of_key <= F.col("_need")))
+    return met.where(~at_cut).select(*df.columns, side(mine <= F.col("_cut"))).unionByName(tied)
 
 
 def folds(df: DataFrame, key: str, label: str, k: int, seed: int = 0, out: str = "fold") -> DataFrame:
