@@ -192,3 +192,22 @@ def test_affinity_along_few_links(spark):
     df = spark.createDataFrame([*links, (12, 99, -500.0)], "a long, b long, s double")
     got = {r.id: r.exemplar for r in metric.affinity_clusters(df, -2.5, 0.5, 14, every=3, settled=2).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 10: 10, 11: 10, 12: 10, 99: 99}
+
+
+def test_blocks_meet_without_copies(spark):
+    """What is shuffled for the pairs of a table does not hold its vectors; ids need not be longs."""
+    x = np.random.default_rng(3).normal(size=(300, 4))
+    filed = spark.createDataFrame([(i, x[i].tolist(), 1, i % 2, [1 - i % 2] if i % 3 else []) for i in range(300)], "id int, v array<double>, n long, cell int, cells array<int>")
+
+    def run(pairs):
+        met = [(len(a.id), len(b.id), same) for a, b, same in pairs]
+        yield metric.pd.DataFrame({"id": [0], "n": [sum(p * q if not same else p * (p + 1) // 2 for p, q, same in met)]})
+
+    blocks = metric.pack(filed, 20)
+    out = metric.meet_blocks(blocks, run, "id int, n long")
+    assert sum(blocks.select(metric.F.size("id")).toPandas().iloc[:, 0]) == 300 and blocks.count() >= 16
+    inside, border = (sum((i % 3 > 0) == near and i % 2 == 0 for i in range(300)) for near in (False, True))
+    of_cell = (inside + border) * (inside + border + 1) // 2
+    assert sum(r.n for r in out.collect()) == 2 * of_cell + border * border
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
