@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DataType, IntegerType, StructField, StructType
 
 from . import tfidf
 from .steps import drop, written
@@ -95,11 +99,71 @@ def best_codes(queries: DataFrame, key: str, index: tuple[DataFrame, DataFrame],
     return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def find_codes(rows: DataFrame, key: str, text: str, tokens, model: DataFrame, index: tuple[DataFrame, DataFrame], k: int = 3) -> DataFrame:
+def _small_index(model: DataFrame, index: tuple[DataFrame, DataFrame], cells: int) -> tuple | None:
+    """(terms, idf, codes in their order, weights as terms x codes) if terms times codes are at most cells, else None. Weights that are not
+    positive go the general way."""
+    postings, _ = index
+    terms, codes = model.count(), postings.select("code").distinct()
+    n, least = postings.agg(F.count("*"), F.min("weight")).first()
+    if not n or least is None or least <= 0 or terms * codes.count() > cells or n > cells:
+        return None
+    known = model.select("term", "idf").toPandas()  # bounded by cells, as are the rows below
+    order = codes.orderBy("code").toPandas()["code"].tolist()
+    place, column = {t: i for i, t in enumerate(known["term"])}, {c: i for i, c in enumerate(order)}
+    weights = np.zeros((len(place), len(order)))
+    for r in postings.select("term", "code", "weight").toLocalIterator():
+        if r.term in place:
+            weights[place[r.term], column[r.code]] += r.weight
+    return known["term"].tolist(), known["idf"].to_numpy(), order, weights
+
+
+def _find_in_small(own: DataFrame, key: str, tokens, small: tuple, code: DataType, k: int) -> DataFrame:
+    """find_codes() where every task holds the index: texts are scored where they are, nothing is shuffled."""
+    spark = own.sparkSession
+    shipped = spark.sparkContext.broadcast(small)
+
+    def run(batches):
+        terms, idf, order, weights = shipped.value
+        known, most = pa.array(terms, pa.string()), min(k, len(order))
+        for batch in batches:
+            lists = batch.column(1)
+            place = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            cell, tf = np.unique((row * len(terms) + place)[place >= 0], return_counts=True)
+            row, place = np.divmod(cell, len(terms))
+            w = tf * idf[place]
+            size = np.sqrt(np.bincount(row, w * w, len(lists)))
+            w = w / np.where(size > 0, size, 1)[row]
+            at, i, score = [], [], []
+            for start in range(0, len(lists), 256):
+                few = slice(*np.searchsorted(row, [start, start + 256]))
+                dense = np.zeros((min(256, len(lists) - start), len(terms)))
+                dense[row[few] - start, place[few]] = w[few]
+                s = dense @ weights
+                limit = np.partition(s, len(order) - most, axis=1)[:, len(order) - most]
+                x, y = np.nonzero((s >= limit[:, None] - 2e-9) & (s > 0))
+                at.append(x + start), i.append(y), score.append(s[x, y])
+            ends = np.searchsorted(np.concatenate(at), np.arange(len(lists) + 1)) if at else np.zeros(1)
+            found = pa.StructArray.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in ((i, pa.int32()), (score, pa.float64()))], ["i", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], [key, "_f"])
+
+    kind = own.schema[key].dataType.simpleString()
+    found = own.select(key, tokens(F.col("_text")).alias("_t")).mapInArrow(run, f"`{key}` {kind}, _f array<struct<i:int,s:double>>")
+    best = F.array_sort(F.transform("_f", lambda x: F.struct((-F.round(x["s"], 9)).alias("s"), x["i"].alias("i"))))
+    rows = found.select(key, F.posexplode(F.slice(best, 1, k)).alias("_p", "_b")).select(key, (-F.col("_b.s") + 0.0).alias("score"), (F.col("_p") + 1).alias("rank"), F.col("_b.i").alias("_i"))
+    names = spark.createDataFrame(list(enumerate(small[2])), StructType([StructField("_i", IntegerType()), StructField("code", code)]))
+    return rows.join(F.broadcast(names), "_i").select(key, "code", "score", "rank")
+
+
+def find_codes(rows: DataFrame, key: str, text: str, tokens, model: DataFrame, index: tuple[DataFrame, DataFrame], k: int = 3, cells: int = 4_000_000) -> DataFrame:
     """(key, code, score, rank) for rows of any table: the k codes whose documents are nearest to the row's text by cosine.
     tokens makes an array of words of the text column; rows of one text are searched once. Rows whose text has no term of the
-    model, null texts among them, find nothing."""
-    own = rows.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).withColumn("_id", F.unhex(F.md5("_text")))
+    model, null texts among them, find nothing. An index of up to cells terms times codes is given to every task."""
+    own = rows.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"))
+    small = _small_index(model, index, cells)
+    if small:
+        return _find_in_small(own, key, tokens, small, index[0].schema["code"].dataType, k)
+    own = own.withColumn("_id", F.unhex(F.md5("_text")))
     texts = own.select("_id", "_text").dropDuplicates(["_id"]).select("_id", F.explode(tokens(F.col("_text"))).alias("term"))
     known = model.select("term")
     if known.count() <= 200_000:  # else terms that the model does not know go later

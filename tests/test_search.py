@@ -76,3 +76,19 @@ def test_components(spark):
 @pytest.mark.parametrize("name", ["code_search", "code_search_hits", "item_search"])
 def test_queries(spark, name):
     compare(spark, "/root/testdata/sf0.01", QUERIES[name], SQL[name])
+
+
+def test_small_index_in_every_task(spark):
+    """The same rows as by the general way, with nothing shuffled, keys that repeat and texts without known terms among them."""
+    entries, _ = corpus(spark, 40, 1)
+    rows, _ = corpus(spark, 300, 2, words=90)
+    rows = rows.union(rows.limit(20)).union(spark.createDataFrame([(900, None), (901, ""), (902, "zz")], rows.schema))
+    tokens = lambda c: F.split(c, " ")
+    counts = tfidf.term_counts(entries.select("id", tokens(F.col("text")).alias("t")), "id", "t")
+    model = search.fit_terms(counts, "id")
+    index = search.build_index(search.weigh(counts, model, "id"), "id")
+    few, general = (search.find_codes(rows, "id", "text", tokens, model, index, 3, cells) for cells in (4_000_000, 0))
+    assert few.dtypes == general.dtypes
+    plain = lambda df: sorted((r.id, r["rank"], r.code, round(r.score, 7)) for r in df.collect())
+    assert plain(few) == plain(general)
+    assert "hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
