@@ -13,6 +13,7 @@ from .nearest import token_similarity
 from .roles import pair_names
 from .running import ranked_by
 from .sampling import negatives, per_class
+from .steps import written
 
 
 def candidate_pairs(rows: DataFrame, dictionary: DataFrame, key: str, code: str, per_code: int = 3, k: int = 10, seed: int = 0) -> DataFrame:
@@ -26,17 +27,22 @@ def candidate_pairs(rows: DataFrame, dictionary: DataFrame, key: str, code: str,
 def pair_features(pairs: DataFrame, rows: DataFrame, dictionary: DataFrame, key: str, code: str, texts: list[str], parts: list[str], kernel: Callable[[Column, Column], Column]) -> DataFrame:
     """Adds to pairs(key, code, candidate, label), for every text column of rows and every part of the candidate's dictionary
     entry, <text>_<part>_sdist (mean of the best token similarities) and <text>_<part>_tfidf (cosine of term weights, learned
-    on the dictionary's and the rows' distinct texts). Distinct texts are compared once."""
+    on the dictionary's and the rows' distinct texts). Distinct texts are compared once.
+
+    Rows without a pair are left out first, and rows and entries meet pairs by a merge join: a small file may hold a large table, which
+    a plan that goes by the size of files would send through the driver."""
     clean = lambda c: clean_term(standardize(F.col(c)))
-    own = rows.select(key, *[clean(c).alias(f"_x_{c}") for c in texts])
-    entry = dictionary.groupBy(code).agg(*[F.max(p).alias(p) for p in parts]).select(F.col(code).alias("candidate"), *[clean(p).alias(f"_y_{p}") for p in parts])
-    out = pairs.join(own, key).join(entry, "candidate")
+    pairs = written(pairs, "pairs")
+    entry = dictionary.groupBy(code).agg(*[F.max(p).alias(p) for p in parts])
+    paired = rows.join(pairs.select(key).distinct(), key, "left_semi").select(key, *[clean(c).alias(f"_x_{c}") for c in texts])
+    cleaned = entry.select(F.col(code).alias("candidate"), *[clean(p).alias(f"_y_{p}") for p in parts])
+    out = written(pairs.join(paired.hint("merge"), key).join(cleaned.hint("merge"), "candidate"), "paired")
     every = None
-    for frame, names in ((own, [f"_x_{c}" for c in texts]), (entry, [f"_y_{p}" for p in parts])):
+    for frame, names in ((rows, texts), (entry, parts)):
         for n in names:
             one = frame.select(F.col(n).alias("text"))
             every = one if every is None else every.unionByName(one)
-    words = every.where("text <> ''").distinct()
+    words = every.distinct().select(clean("text").alias("text")).where("text <> ''").distinct()
     weights = tfidf.tfidf(words.withColumn("t", F.split("text", " ")), "text", "t")
     for a, b, name in pair_names(texts, parts):
         both = out.select(f"_x_{a}", f"_y_{b}").distinct().toDF("a", "b")
@@ -56,9 +62,10 @@ def pair_table(pairs: DataFrame, rows: DataFrame, dictionary: DataFrame, key: st
         out = pair_features(pairs, rows, dictionary, key, code, texts, parts, kernel or F.levenshtein)
         names = [n for _, _, n in pair_names(texts, parts)]
         out = out.drop(*[f"{n}_{kind}" for n in names for kind in ("sdist", "tfidf") if kind not in kinds])
-    own = rows.select(key, *[clean(c).alias(f"t_{c}") for c in texts])
+    out = written(out, "pairs")  # rows and entries meet it as in pair_features()
+    own = rows.join(out.select(key).distinct(), key, "left_semi").select(key, *[clean(c).alias(f"t_{c}") for c in texts])
     entry = dictionary.groupBy(code).agg(*[F.max(p).alias(p) for p in parts]).select(F.col(code).alias("candidate"), *[clean(p).alias(f"d_{p}") for p in parts])
-    out = out.join(own, key, "left").join(entry, "candidate", "left").fillna("", [f"t_{c}" for c in texts] + [f"d_{p}" for p in parts])
+    out = out.join(own.hint("merge"), key, "left").join(entry.hint("merge"), "candidate", "left").fillna("", [f"t_{c}" for c in texts] + [f"d_{p}" for p in parts])
     return out.withColumnRenamed("candidate", "assignment").withColumn("label", F.lit(-1) if test else F.col("label"))
 
 

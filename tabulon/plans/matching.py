@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..operators import cleaning, dictionary, models, nearest, pairs, tfidf
+from ..operators.steps import written
 from ..sources.files import table
 from .registry import SQL, query
 from .text import _W, STOP, _weights, clean_sql
@@ -142,6 +143,6 @@ def pair_features(spark, d):
 
 @query("scored_pairs")
 def scored_pairs(spark, d):
-    rows = _pairs(spark, d)
+    rows = written(_pairs(spark, d), "features")  # read by every pass of the fit
     names = [c for c in rows.columns if c.endswith(("_sdist", "_tfidf"))]
     return models.score_candidates(rows.where("p_partkey % 5 <> 0"), rows.where("p_partkey % 5 = 0"), names, "label")
