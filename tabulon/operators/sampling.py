@@ -11,17 +11,26 @@ from .running import add_totals_before, in_parts, join_null_safe, ranked_by
 from .steps import written
 
 
+#: Counts that go to every task: of about a dozen classes, in all parts of the hash.
+FEW = 50_000
+
+
 def draw(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
 def ranked(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """Adds _rank, the place from 1 in the class's hashed order, and _all, the class size. A class is dealt over the parts of
-    the hash, so that no task sorts a whole class."""
-    rows = df.withColumns({"_d": draw(seed, key), "_one": F.lit(1)}).withColumn("_part", F.substring("_d", 1, 3))
-    rows = add_totals_before(rows, [label], "_part", ["_one"])
-    rank = F.col("before__one") + F.row_number().over(W.partitionBy(label, "_part").orderBy("_d", key))
-    return rows.withColumns({"_rank": rank, "_all": F.col("all__one")}).drop("_d", "_one", "_part", "before__one", "all__one")
+    the hash, so that no task sorts a whole class. Counts of the parts are written first; up to FEW of them go to every task, so that
+    rows move once, to be ranked."""
+    rows = df.withColumn("_d", F.unhex(draw(seed, key))).withColumn("_part", F.substring(F.hex("_d"), 1, 3))
+    by = W.partitionBy(label)
+    sizes = rows.groupBy(label, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(by.orderBy("_part")) - F.col("_n")
+    sizes = written(sizes.select(label, "_part", before.alias("_before"), F.sum("_n").over(by).alias("_all")), "sizes")
+    placed = join_null_safe(rows, F.broadcast(sizes) if sizes.count() <= FEW else sizes, [label, "_part"])
+    rank = F.col("_before") + F.row_number().over(W.partitionBy(label, "_part").orderBy("_d", key))
+    return placed.withColumn("_rank", rank).select(*df.columns, "_rank", "_all")
 
 
 def per_class(df: DataFrame, label: str, key: str, n: int | Column, seed: int = 0) -> DataFrame:
