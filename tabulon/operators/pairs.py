@@ -27,7 +27,7 @@ def candidate_pairs(rows: DataFrame, dictionary: DataFrame, key: str, code: str,
 def pair_features(pairs: DataFrame, rows: DataFrame, dictionary: DataFrame, key: str, code: str, texts: list[str], parts: list[str], kernel: Callable[[Column, Column], Column]) -> DataFrame:
     """Adds to pairs(key, code, candidate, label), for every text column of rows and every part of the candidate's dictionary
     entry, <text>_<part>_sdist (mean of the best token similarities) and <text>_<part>_tfidf (cosine of term weights, learned
-    on the dictionary's and the rows' distinct texts). Distinct texts are compared once.
+    on the dictionary's and the rows' distinct texts). Distinct texts are compared once, and those of no pair get no weights.
 
     Rows without a pair are left out first, and rows and entries meet pairs by a merge join: a small file may hold a large table, which
     a plan that goes by the size of files would send through the driver."""
@@ -42,8 +42,9 @@ def pair_features(pairs: DataFrame, rows: DataFrame, dictionary: DataFrame, key:
         for n in names:
             one = frame.select(F.col(n).alias("text"))
             every = one if every is None else every.unionByName(one)
-    words = every.distinct().select(clean("text").alias("text")).where("text <> ''").distinct()
-    weights = tfidf.tfidf(words.withColumn("t", F.split("text", " ")), "text", "t")
+    words = written(every.distinct().select(clean("text").alias("text")).where("text <> ''").distinct(), "words")
+    met = out.select(F.explode(F.array(*[f"_x_{c}" for c in texts], *[f"_y_{p}" for p in parts])).alias("text"))
+    weights = written(tfidf.tfidf(words.withColumn("t", F.split("text", " ")), "text", "t", of=met), "weights")
     for a, b, name in pair_names(texts, parts):
         both = out.select(f"_x_{a}", f"_y_{b}").distinct().toDF("a", "b")
         both = token_similarity(both, "a", "b", kernel).withColumnRenamed("similarity", f"{name}_sdist")

@@ -105,13 +105,20 @@ def term_counts(docs: DataFrame, key: str, tokens: str) -> DataFrame:
     return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(docs: DataFrame, key: str, tokens: str, sublinear: bool = False, smooth: bool = True, norm: bool = True, counts: DataFrame | None = None) -> DataFrame:
-    """smooth: idf = ln((1 + N) / (1 + df)) + 1, else 1 + ln(N / df); sublinear: 1 + ln(tf); norm: rows of length 1."""
+def tfidf(docs: DataFrame, key: str, tokens: str, sublinear: bool = False, smooth: bool = True, norm: bool = True, counts: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
+    """smooth: idf = ln((1 + N) / (1 + df)) + 1, else 1 + ln(N / df); sublinear: 1 + ln(tf); norm: rows of length 1.
+    of: only the keys in its column key get weights; N and df are those of all documents.
+
+    Counts meet their terms by an outer join, though every term has an idf: the many counts of a small file are so never broadcast;
+    nor, with of, are the terms."""
     tf = term_counts(docs, key, tokens) if counts is None else counts
     n = docs.agg(F.count("*").alias("_n"))  # one row
     df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))
     idf = F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1 if smooth else 1 + F.log(F.col("_n") / F.col("df"))
-    weighted = tf.join(df.select("term", idf.alias("idf")), "term").select(key, "term", ((1 + F.log("tf") if sublinear else F.col("tf")) * F.col("idf")).alias("weight"))
+    df = df.select("term", idf.alias("idf"))
+    if of is not None:
+        tf, df = tf.join(of.select(key).distinct(), key, "left_semi"), df.hint("merge")
+    weighted = tf.where("term is not null").join(df, "term", "left").select(key, "term", ((1 + F.log("tf") if sublinear else F.col("tf")) * F.col("idf")).alias("weight"))
     if not norm:
         return weighted
     return weighted.withColumn("weight", F.col("weight") / F.sqrt(F.sum(F.col("weight") ** 2).over(W.partitionBy(key))))
