@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .profile import keep_last
-from .running import add_totals_before, in_parts, join_null_safe, ranked_by
+from .running import join_null_safe, ranked_by, running_sums
 from .steps import written
 
 
@@ -141,9 +141,8 @@ def weighted_choice(df: DataFrame, value: str, weight: str, keys: DataFrame, key
     Weights add up in parts of the ordered values. Draws and intervals meet by the sector of [0, 1) they lie in, so that a
     draw is compared with its sector's values alone and nothing is broadcast."""
     total = df.agg(F.sum(weight)).first()[0]
-    parts = add_totals_before(in_parts(df.select(value, weight), value), [], "_part", [weight])
-    high = F.col(f"before_{weight}") + F.sum(weight).over(W.partitionBy("_part").orderBy(value))
-    marks = parts.withColumn("_high", high).select(value, ((F.col("_high") - F.col(weight)) / total).alias("_low"), (F.col("_high") / total).alias("_high")).where("_high > _low")
+    rows, high = running_sums(df.select(value, weight), [], value, [weight]), F.col(f"run_{weight}")
+    marks = rows.select(value, ((high - F.col(weight)) / total).alias("_low"), (high / total).alias("_high")).where("_low < _high")
     sector = lambda c: F.floor(c * sectors).cast("int")
     marks = marks.withColumn("_sector", F.explode(F.sequence(sector(F.col("_low")), sector(F.col("_high")))))
     drawn = keys.withColumn("_u", uniform(seed, key)).withColumn("_sector", sector(F.col("_u")))

@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from tabulon.operators import sampling
+from tabulon.operators import running, sampling
 
 
 def plain(rows, ratio, seed):
@@ -35,3 +35,13 @@ def test_rows_of_one_key_at_the_cut(spark):
     df = spark.createDataFrame([(7, "a")] * 10 + [(i, "b") for i in range(10)], "id long, c string")
     got = {(r.c, r.part): r["count"] for r in sampling.split(df, "id", 0.5, "c").groupBy("c", "part").count().collect()}
     assert got == {(c, p): 5 for c in "ab" for p in ("train", "test")}
+
+
+def test_weighted_choice_is_the_same_in_one_part_and_in_many(spark, monkeypatch):
+    weights = spark.createDataFrame([(f"v{i:03d}", i % 5) for i in range(300)], "v string, w long")
+    keys = spark.range(400)
+    draws = []
+    for rows in (200_000, 40):
+        monkeypatch.setattr(running, "ROWS_A_PART", rows)
+        draws.append(sorted(map(tuple, sampling.weighted_choice(weights, "v", "w", keys, "id").collect())))
+    assert len(draws[0]) == 400 and draws[0] == draws[1]
